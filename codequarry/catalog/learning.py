@@ -11,6 +11,7 @@ from codequarry.operators import reduction as R
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.scoring import score_batches
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed
+from codequarry.session import spread
 
 
 @query(
@@ -78,7 +79,7 @@ def svd_norms(spark, folder):
 
 @query("svd_text")
 def svd_text(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     features = fit_hashed_tfidf(docs, "text", 512).transform(docs, "text")
     _, scored = R.fit_svd(features.select("doc_id", "features"), 20)
     return scored.select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
@@ -86,7 +87,7 @@ def svd_text(spark, folder):
 
 @query("svd_text_variance")
 def svd_text_variance(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     features = fit_hashed_tfidf(docs, "text", 512).transform(docs, "text")
     model, _ = R.fit_svd(features.select("doc_id", "features"), 20)
     return R.variance_table(spark, model.ratios)
@@ -98,7 +99,7 @@ def svd_text_variance(spark, folder):
                             THEN 1e0 ELSE 0e0 END AS norm FROM documents""",
 )
 def hashed_vectors(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     embedded = hash_embed(fit_hashed_tfidf(docs, "text", 1024), docs)
     return embedded.select("doc_id", r6(R.norm2(F.col("vec"))).alias("norm"))
 

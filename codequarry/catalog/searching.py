@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from codequarry.catalog import query, r6, table, vectors
@@ -11,6 +10,7 @@ from codequarry.operators import search as S
 from codequarry.operators.aggregates import histogram
 from codequarry.operators.clustering import cluster_profile
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed
+from codequarry.session import spread
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
 
@@ -183,20 +183,15 @@ def pairwise_histogram(spark, folder):
     return histogram(scores, "score", 100).select("bin", "n")
 
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
-
-def letter_shares(text: Column) -> Column:
-    """Share of each letter in a text: a row-local vector SQL can repeat."""
-    low = F.lower(text)
-    size = F.nullif(F.length(low), F.lit(0))
-    return F.array(
-        *[(size - F.length(F.replace(low, F.lit(x), F.lit("")))) / size for x in _LETTERS]
-    )
+_LETTERS = "aeinorst"
 
 
 def _embed_letters(df, column, out):
-    return df.withColumn(out, letter_shares(F.col(column)))
+    """Share of common letters in a text: a row-local vector SQL can repeat."""
+    low = df.withColumn("_low", F.lower(column))
+    size = F.nullif(F.length("_low"), F.lit(0))
+    without = [F.length(F.replace("_low", F.lit(x), F.lit(""))) for x in _LETTERS]
+    return low.withColumn(out, F.array(*[(size - n) / size for n in without])).drop("_low")
 
 
 _TYPED = "  Where is the Function that reads a table and joins it?  "
@@ -217,7 +212,8 @@ _SHARES = "[{}]".format(
 )
 def text_search(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    embedded = _embed_letters(docs.select("id", "text"), "text", "vec").select("id", "vec")
+    texts = spread(docs.select("id", "text"), "id")
+    embedded = _embed_letters(texts, "text", "vec").select("id", "vec")
     labels = table(spark, folder, "labels").selectExpr("doc_id AS id", "quality")
     found = S.text_search(
         embedded,
@@ -232,12 +228,13 @@ def text_search(spark, folder):
 @query("text_search_hashed")
 def text_search_hashed(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
+    docs = spread(docs.select("id", "text"), "id")
     model = fit_hashed_tfidf(docs, "text", 1024)
 
     def embed(df, column, out):
         return hash_embed(model, df, column, out)
 
-    embedded = embed(docs.select("id", "text"), "text", "vec").select("id", "vec")
+    embedded = embed(docs, "text", "vec").select("id", "vec")
     return _scores(S.text_search(embedded, _TYPED, embed, 10, "cosine"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from codequarry.catalog import query, r6, table, vectors
-from codequarry.session import scratch_path
+from codequarry.session import scratch_path, spread
 from codequarry.sources import archives, tables
 from codequarry.sources import vectors as vector_io
 
@@ -128,7 +128,7 @@ def zip_members(spark, folder):
     def zipped(doc_id: pd.Series, lang: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([_archive(*row) for row in zip(doc_id, lang, text)])
 
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
     packed = docs.select("doc_id", zipped("doc_id", "lang", "text").alias("data"))
     members = archives.unpack_archives(packed, "data", ["doc_id"])
     return members.select("doc_id", "file", F.md5("content").alias("digest"), "status")

@@ -10,6 +10,7 @@ from codequarry.functions import text as T
 from codequarry.functions.source_code import BodySplit
 from codequarry.operators import tfidf as M
 from codequarry.plans import corpus
+from codequarry.session import spread
 
 
 @query(
@@ -314,7 +315,8 @@ def _source_files(spark, folder):
         F.when(F.col("lang") == "de", F.lit("(a, b:\n")).otherwise(F.lit("(a, b):\n")),
         F.lit("    return (a +\n            b)\n"),
     ]
-    return table(spark, folder, "documents").select(
+    docs = spread(table(spark, folder, "documents"), "doc_id")
+    return docs.select(
         F.col("doc_id").alias("file_id"),
         F.substring("source", 4, 9).cast("bigint").alias("repo"),
         F.concat(*lines).alias("content"),

@@ -142,12 +142,12 @@ def fit_svd(
     pass per step and the driver holds d × k numbers. Ratios are the variance
     of each score column over the total variance of the input columns.
     """
-    spread = Summarizer.metrics("variance")
     held = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        total = held.select(spread.summary(F.col(features)).alias("s")).first().s.variance
+        metrics = Summarizer.metrics("count", "mean", "variance").summary(F.col(features))
+        seen = held.select(metrics.alias("s")).first().s
         rows = RowMatrix(MLUtils.convertVectorColumnsFromML(held, features))
-        if total.size <= GRAM_COLUMNS:
+        if seen.mean.size <= GRAM_COLUMNS:
             squares, vectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
             top = np.argsort(squares)[::-1][:k]
             singular, components = np.sqrt(np.maximum(squares[top], 0.0)), vectors[:, top]
@@ -157,10 +157,13 @@ def fit_svd(
     finally:
         held.unpersist()
     components = fix_signs(components)
-    scored = df.withColumn("vec", project_sparse(F.col(features), components))
-    parts = scored.select(spread.summary(array_to_vector("vec")).alias("s")).first().s.variance
-    ratios = parts.toArray() / total.toArray().sum()
-    return SvdModel(components, singular, [float(r) for r in ratios]), scored.drop(features)
+    # A score column's sum of squares is its singular value squared, so its
+    # variance needs no further pass.
+    n = seen["count"]
+    spread_of = singular**2 - n * (seen.mean.toArray() @ components) ** 2
+    ratios = spread_of / max(n - 1, 1) / seen.variance.toArray().sum()
+    scored = df.withColumn("vec", project_sparse(F.col(features), components)).drop(features)
+    return SvdModel(components, singular, [float(r) for r in ratios]), scored
 
 
 def variance_table(spark: SparkSession, ratios: list[float]) -> DataFrame:

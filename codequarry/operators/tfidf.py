@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codequarry.session import spread
+
 # Fixed value: a token is a run of two or more word characters, any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -37,15 +39,13 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     Sorting the words puts equal ones next to each other; where a run starts
     and where the next one starts give its length.
     """
-    words = df.select(id_col, F.sort_array(tokens(F.col(text))).alias("w")).where("size(w) > 0")
+    texts = spread(df.select(id_col, text), id_col)
+    words = texts.select(id_col, F.sort_array(tokens(F.col(text))).alias("w"))
     # An array is not a cheap expression, so Spark keeps these steps apart
     # and sorts once per row.
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
     starts = words.withColumn(
-        "s",
-        F.filter(
-            F.sequence(F.lit(0), F.size("w") - 1),
-            lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)),
-        ),
+        "s", F.filter(places, lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
     )
     runs = F.transform(
         "s",
@@ -54,7 +54,9 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
             (F.coalesce(F.get("s", i + 1), F.size("w")) - start).alias("tf"),
         ),
     )
-    return starts.select(id_col, F.inline(runs))
+    # A term is never NULL; saying so makes the plans of all readers alike, and
+    # Spark then computes what they share once.
+    return starts.select(id_col, F.inline(runs)).where("term IS NOT NULL")
 
 
 def document_counts(postings: DataFrame) -> DataFrame:
@@ -128,7 +130,8 @@ def _hashed(df: DataFrame, text: str, dim: int) -> DataFrame:
 
 def fit_hashed_tfidf(df: DataFrame, text: str = "text", dim: int = 1 << 14) -> HashedTfidf:
     """Count documents per hashed column over the whole table."""
-    return HashedTfidf(dim, IDF(inputCol="_tf", outputCol="_unused").fit(_hashed(df, text, dim)))
+    hashed = _hashed(spread(df.select(text), text), text, dim)
+    return HashedTfidf(dim, IDF(inputCol="_tf", outputCol="_unused").fit(hashed))
 
 
 def hash_embed(

@@ -10,7 +10,7 @@ from codequarry.functions.text import archive_url, first_link, preferred_branch,
 from codequarry.operators.aggregates import dedup_first
 from codequarry.operators.joins import attach_repo
 from codequarry.operators.rows import with_row_index
-from codequarry.session import durable
+from codequarry.session import durable, spread
 from codequarry.sources.archives import read_zip_members
 
 FUNCTION_COLUMNS = ("name", "args", "args_types", "args_defaults", "body", "docstring", "lineno")
@@ -64,7 +64,7 @@ def extract_functions(
     functions gives no row.
     """
     found = FunctionsIn(F.col(content).outer())
-    return files.lateralJoin(found).select(*keep, *FUNCTION_COLUMNS, "error")
+    return spread(files, keep[0]).lateralJoin(found).select(*keep, *FUNCTION_COLUMNS, "error")
 
 
 def reject_counts(extracted: DataFrame) -> DataFrame:

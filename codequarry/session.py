@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,22 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="codequarry-package-")) / "codequarry"
+        archive = shutil.make_archive(str(base), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -58,3 +75,26 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Input bytes per core below which a costly per-row step is spread by hand.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Split a small input over all cores ahead of a costly per-row step.
+
+    A scan cannot split a row group, so a small file is read by one task and a
+    parser or tokeniser behind it would use one core. An input that is large,
+    or in many files, is left as it is: it has partitions enough and moving it
+    would cost more than it gains.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= 2 * cores:
+        return df
+    sizes = spark.read.format("binaryFile").load(files).select("length")
+    if sum(row.length for row in sizes.collect()) >= cores * SPREAD_BYTES:
+        return df
+    return df.repartition(2 * cores, key)

@@ -123,13 +123,21 @@ def read_json_rows(
 def read_records(
     spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False
 ) -> DataFrame:
-    """JSON records under a stated schema; records that are ``null`` are dropped."""
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", str(multi_line).lower())
-        .json(path)
-        .dropna(how="all")
-    )
+    """JSON records under a stated schema; records that are ``null`` are dropped.
+
+    One record per line, or with ``multi_line=True`` an array of them per file.
+    Spark's own reader rejects an array holding a ``null``, so the array is
+    parsed as a value.
+    """
+    record = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+    if multi_line:
+        text = spark.read.text(path, wholetext=True)
+        items = F.from_json("value", T.ArrayType(record))
+        records = text.select(F.explode(items).alias("r")).where("r IS NOT NULL")
+    else:
+        text = spark.read.text(path).where(~F.trim("value").isin("", "null"))
+        records = text.select(F.from_json("value", record).alias("r"))
+    return records.select("r.*")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
