@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codequarry.catalog import query, r6, table, vectors
-from codequarry.operators.rows import changed_rows
 from codequarry.plans import curation
 
 
@@ -89,18 +88,12 @@ def curate_dataset(spark, folder):
                 count(*) FILTER (WHERE filtered <> docstring) AS changed FROM j""",
 )
 def curate_counts(spark, folder):
-    judged = _judged(spark, folder)
-    kept = judged.where("filtered_docstring IS NOT NULL")
-    changed = changed_rows(kept, "filtered_docstring", "docstring").select(
-        "id", F.lit(1).alias("changed")
-    )
-    return (
-        judged.join(changed, "id", "left")
-        .agg(
-            F.count("filtered_docstring").alias("kept"),
-            F.count("*").alias("judged"),
-            F.count("changed").alias("changed"),
-        )
+    kept = F.col("filtered_docstring").isNotNull()
+    changed = kept & ~F.col("filtered_docstring").eqNullSafe(F.col("docstring"))
+    return _judged(spark, folder).agg(
+        F.count("filtered_docstring").alias("kept"),
+        F.count("*").alias("judged"),
+        F.count_if(changed).alias("changed"),
     )
 
 

@@ -196,9 +196,7 @@ def sweep(spark, folder):
 @query("best_clustering")
 def best_clustering(spark, folder):
     _, fit = C.best_clustering(vectors(spark, folder), ks=(8, 12), n_init=2)
-    return C.cluster_profile(
-        vectors(spark, folder).select("id", "vec").join(fit.labels, "id"), "cluster"
-    ).select("cluster", "n")
+    return C.cluster_profile(fit.labelled).select("cluster", "n")
 
 
 @query(

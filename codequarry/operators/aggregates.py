@@ -134,9 +134,32 @@ def _edges(lo: Column, hi: Column, bins: int) -> tuple[Column, Column]:
 
 
 def histogram(df: DataFrame, col: str, bins: int, density: bool = False) -> DataFrame:
-    """(bin, lo, hi, n) over ``bins`` equal-width bins; empty bins are listed."""
-    tagged = df.select(F.lit(0).alias("_all"), col)
-    return histogram_by(tagged, "_all", col, bins, density, groups=1).drop("_all")
+    """(bin, lo, hi, n) over ``bins`` equal-width bins; empty bins are listed.
+
+    One pass finds the range, which the other takes as a constant.
+    """
+    values = df.select(F.col(col).cast("double").alias("_x"))
+    span = values.agg(
+        F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("_x").alias("total"))
+    ).scalar()
+    filled = values.groupBy(_bin(F.col("_x"), span["lo"], span["hi"], bins).alias("bin")).agg(
+        F.count("*").alias("_count")
+    )
+    listed = df.sparkSession.range(1, bins + 1).select(
+        F.col("id").cast("int").alias("bin"),
+        span["lo"].alias("_lo"),
+        span["hi"].alias("_hi"),
+        span["total"].alias("_total"),
+    )
+    return _shown(listed.where("_total > 0").join(filled, "bin", "left"), bins, density)
+
+
+def _shown(listed: DataFrame, bins: int, density: bool, *keys: str) -> DataFrame:
+    lo, hi = _edges(F.col("_lo"), F.col("_hi"), bins)
+    count = F.coalesce("_count", F.lit(0)).cast("bigint")
+    shown = (count / (F.col("_total") * (hi - lo))) if density else count
+    name = "density" if density else "n"
+    return listed.select(*keys, "bin", lo.alias("lo"), hi.alias("hi"), shown.alias(name))
 
 
 def histogram_by(
@@ -169,12 +192,7 @@ def histogram_by(
         group, _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")
     ).agg(F.count("*").alias("_count"))
     listed = ranges.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    lo, hi = _edges(F.col("_lo"), F.col("_hi"), bins)
-    count = F.coalesce("_count", F.lit(0)).cast("bigint")
-    shown = (count / (F.col("_total") * (hi - lo))) if density else count
-    return listed.join(filled, [group, "bin"], "left").select(
-        group, "bin", lo.alias("lo"), hi.alias("hi"), shown.alias("density" if density else "n")
-    )
+    return _shown(listed.join(filled, [group, "bin"], "left"), bins, density, group)
 
 
 def histogram_compare(populations: dict[str, DataFrame], col: str, bins: int) -> DataFrame:
@@ -188,11 +206,10 @@ def raster_counts(
     df: DataFrame, x: str, y: str, cat: str, width: int = 800, height: int = 600
 ) -> DataFrame:
     """Points per pixel and category; the far edges fall in the last pixel."""
-    span = extents(df, [x, y])
+    span = extents(df, [x, y]).select(F.struct("*")).scalar()
 
     def pixel(col: str, size: int) -> Column:
-        lo = span.select(f"{col}_min").scalar()
-        hi = span.select(f"{col}_max").scalar()
+        lo, hi = span[f"{col}_min"], span[f"{col}_max"]
         at = F.coalesce(F.try_divide(F.col(col) - lo, hi - lo), F.lit(0.0)) * size
         return F.least(F.floor(at).cast("int"), F.lit(size - 1))
 

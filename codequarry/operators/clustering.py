@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from codequarry.functions.vectors import lengths, matrix
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.sampling import sample_n as take_sample
+from codequarry.session import durable
 
 # Clusters and restarts of the main fit, its iteration limit,
 # restarts where none are stated, and the cluster numbers that are tried.
@@ -35,6 +36,7 @@ SAMPLE_BLOCK_ROWS = 4096
 
 @dataclass
 class KMeansResult:
+    labelled: DataFrame  # the input with its cluster
     labels: DataFrame  # (id, cluster)
     centres: DataFrame  # (cluster, vec)
     cost: float
@@ -55,8 +57,8 @@ def kmeans(
     The input is held across the fits, in memory and on disk; lost parts are
     computed again, and the start depends on the seed only.
     """
-    points = df.where(F.col(vec).isNotNull()).select(id_col, array_to_vector(vec).alias("features"))
-    held = points.persist(StorageLevel.MEMORY_AND_DISK)
+    points = df.where(F.col(vec).isNotNull()).withColumn("features", array_to_vector(vec))
+    held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = [
             KMeans(k=k, initMode="random", maxIter=max_iter, seed=seed + i).fit(held)
@@ -66,12 +68,13 @@ def kmeans(
         held.unpersist()
     costs = [fit.summary.trainingCost for fit in fits]
     best = fits[int(np.argmin(costs))]
-    labels = best.setPredictionCol("cluster").transform(points).select(id_col, "cluster")
+    labelled = best.setPredictionCol("cluster").transform(points).drop("features")
     centres = df.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())],
         "cluster int, vec array<double>",
     )
-    return KMeansResult(labels, centres, min(costs), costs)
+    labels = labelled.select(id_col, "cluster")
+    return KMeansResult(labelled, labels, centres, min(costs), costs)
 
 
 def cluster_profile(df: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
@@ -215,6 +218,7 @@ def silhouette_samples(
     points = df.where(F.col(vec).isNotNull() & F.col(cluster).isNotNull()).select(
         F.col(id_col), F.col(vec).alias("vec"), F.col(cluster).cast("bigint").alias("cluster")
     )
+    points = durable(points)  # drawn once, read several times
     shape = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     if shape.n * (shape.d or 1) > sample_cells:
         return _silhouette_blocks(points, id_col, max(shape.n // block_rows, 1))
@@ -344,8 +348,7 @@ def sweep(
         results = []
         for k in ks:
             fit = kmeans(held, k, n_init, seed, id_col=id_col, vec=vec)
-            labelled = held.join(fit.labels, id_col)
-            score = silhouette(labelled, silhouette_n, seed, id_col, vec).first()[0]
+            score = silhouette(fit.labelled, silhouette_n, seed, id_col, vec).first()[0]
             results.append((k, float(score), float(fit.cost)))
     finally:
         held.unpersist()

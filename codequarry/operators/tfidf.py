@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.session import spread
+from codequarry.session import durable, spread
 
 # Fixed value: a token is a run of two or more word characters, any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -68,13 +68,14 @@ def tfidf(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """(id, term, weight) with smoothed idf and rows of length one.
 
     ``idf = ln((1 + n) / (1 + df)) + 1``; n counts every text, also one with no
-    terms. The postings move twice: to meet their term's idf, and to be scaled
-    by their text's length. Frequent terms are known from the counts, so only
-    their rows are salted.
+    terms. The counts, one row per term, are used three times and are written
+    to the shared folder. The postings move twice: to meet their term's idf,
+    and to be scaled by their text's length. Frequent terms are known from the
+    counts, so only their rows are salted.
     """
     postings = term_counts(df, id_col, text)
     total = df.agg(F.count("*")).scalar()
-    counts = document_counts(postings)
+    counts = durable(document_counts(postings))
     hot_mark = counts.agg(F.sum("df")).scalar() / HOT_PARTS
     shards = F.when(F.col("df") > hot_mark, F.lit(SHARDS)).otherwise(F.lit(1))
     idf = counts.select(

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as T
 from codequarry.functions import vectors as V
 from codequarry.operators.aggregates import dedup_first, histogram_compare
-from codequarry.operators.joins import not_in, pair_vectors
-from codequarry.operators.rows import filter_len, union_fill
+from codequarry.operators.joins import pair_vectors
 from codequarry.operators.sampling import is_test
 from codequarry.operators.search import pairwise_similarity
 
@@ -49,12 +48,22 @@ def curate(
     """The curated set: kept summaries, plus brief docstrings of all other functions.
 
     Functions whose summary was dropped count as "other", so a brief one
-    returns. It has no filtered text.
+    returns. It has no filtered text. One full join on the key decides both
+    parts, so neither table is read or moved twice.
     """
-    kept = judged.where(F.col("filtered_docstring").isNotNull()).drop("distance")
-    documented = functions.where(F.col("docstring").isNotNull())
-    others = filter_len(not_in(documented, kept, key), "docstring", lt=return_shorter_than)
-    return union_fill(kept, others)
+    kept = F.col("j.filtered_docstring").isNotNull()
+    brief = F.length("f.docstring") < return_shorter_than
+    both = functions.where("docstring IS NOT NULL").alias("f").join(
+        judged.drop("distance").alias("j"), F.col(f"f.{key}") == F.col(f"j.{key}"), "full"
+    )
+    columns = []
+    for name in dict.fromkeys([*judged.columns, *functions.columns]):
+        if name == "distance":
+            continue
+        other = F.col(f"f.{name}") if name in functions.columns else F.lit(None)
+        value = F.when(kept, F.col(f"j.{name}")) if name in judged.columns else F.when(kept, None)
+        columns.append(value.otherwise(other).alias(name))
+    return both.where(kept | F.coalesce(brief, F.lit(False))).select(*columns)
 
 
 def training_pairs(
