@@ -11,6 +11,7 @@ from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +21,12 @@ from codequarry.operators.sampling import sample_n as take_sample
 from codequarry.session import durable
 
 # Clusters and restarts of the main fit, its iteration limit,
+# the centre movement, relative to the variance, at which a fit is done,
 # restarts where none are stated, and the cluster numbers that are tried.
 CLUSTERS = 150
 RESTARTS = 5
 MAX_ITER = 300
+TOLERANCE = 1e-4
 SWEEP_RESTARTS = 10
 SWEEP_KS = (*range(10, 150, 10), *range(150, 300, 10))
 FINE_SWEEP_KS = tuple(range(75, 120, 5))
@@ -55,13 +58,18 @@ def kmeans(
     """Best of ``n_init`` fits from random starts, by the summed squared distance.
 
     The input is held across the fits, in memory and on disk; lost parts are
-    computed again, and the start depends on the seed only.
+    computed again, and the start depends on the seed only. A fit ends when the
+    centres together move less than a share of the data's variance, so it
+    makes no passes that cannot matter at the scale of the data.
     """
     points = df.where(F.col(vec).isNotNull()).withColumn("features", array_to_vector(vec))
     held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        variance = held.select(Summarizer.variance(F.col("features"))).first()[0].toArray()
+        # Spark tests each centre by distance, hence the share of one and the root.
+        tol = float(np.sqrt(TOLERANCE * variance.mean() / k))
         fits = [
-            KMeans(k=k, initMode="random", maxIter=max_iter, seed=seed + i).fit(held)
+            KMeans(k=k, initMode="random", maxIter=max_iter, tol=tol, seed=seed + i).fit(held)
             for i in range(n_init)
         ]
     finally:
