@@ -6,11 +6,11 @@ the other rows or on which executor runs it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from codequarry.operators.joins import BROADCAST_ROWS
-from codequarry.operators.rows import with_row_index
+from codequarry.operators.rows import LIMIT_ROWS, with_row_index
 
 # Fixed value: the share of rows held out for testing.
 TEST_SHARE = 0.15
@@ -36,25 +36,39 @@ def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42) -> DataFra
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) without replacement.
 
-    The rows with the ``n`` lowest draws. Counting the draws by their first
-    four digits finds the digits below which n rows lie; only keys below that
-    mark are sorted, and the row at place n gives the cut that filters the
-    table. Whole rows are never sorted or brought together.
+    The rows with the ``n`` lowest draws: one filter on the draw at place n.
+    Whole rows are never sorted or brought together, whatever ``n`` is.
     """
-    keyed = df.select(draw(key, seed).alias("d"), F.col(key).alias("k"))
-    cells = keyed.groupBy(F.substring("d", 1, 4).alias("cell")).agg(F.count("*").alias("n"))
-    seen = cells.select("cell", F.expr("sum(n) OVER (ORDER BY cell)").alias("upto"))
-    mark = F.coalesce(seen.where(F.col("upto") >= n).agg(F.min("cell")).scalar(), F.lit("g"))
-    place = F.struct("d", "k")
-    cut = (
-        keyed.where(F.substring("d", 1, 4) <= mark)
-        .select(place.alias("place"))
-        .orderBy("place")
-        .limit(n)
-        .agg(F.max("place"))
-        .scalar()
-    )
-    return df.where(F.struct(draw(key, seed).alias("d"), F.col(key).alias("k")) <= cut)
+    if n <= 0:
+        return df.limit(0)
+    place = F.struct(draw(key, seed).alias("d"), F.col(key).alias("k"))
+    last = _place_of(df.select(place.alias("place")).select("place.*"), n)
+    if last is None:
+        return df
+    kind = df.schema[key].dataType
+    return df.where(place <= F.struct(F.lit(last.d).alias("d"), F.lit(last.k).cast(kind).alias("k")))
+
+
+def _place_of(draws: DataFrame, n: int) -> Row | None:
+    """The ``n``-th lowest (draw, key), or None if there are fewer.
+
+    Draws are counted by their leading digits, four at a time, until those
+    that share the digits of the n-th are few enough to sort.
+    """
+    near = draws
+    digits = 0
+    while True:
+        digits += 4
+        cells = near.groupBy(F.substring("d", 1, digits).alias("cell")).agg(F.count("*").alias("n"))
+        for cell in cells.orderBy("cell").collect():  # at most 16 ** 4 rows
+            if cell.n >= n:
+                break
+            n -= cell.n
+        else:
+            return None
+        near = draws.where(F.startswith("d", F.lit(cell.cell)))
+        if cell.n <= LIMIT_ROWS or digits == 32:
+            return near.orderBy("d", "k").offset(n - 1).limit(1).first()
 
 
 def sample_n_repl(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

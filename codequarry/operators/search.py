@@ -22,8 +22,13 @@ TOP_DOT = 5
 TOP_FULL = 100
 TOP_LATENT = 500
 
-# Query numbers per block of a batch search: 8 MiB of doubles to each executor.
+# Query numbers per block of a batch search (8 MiB of doubles), blocks that go
+# through the driver, vectors per block where blocks meet in a shuffle, and
+# winners whose ids are listed in a filter.
 QUERY_BLOCK_CELLS = 1 << 20
+DRIVER_BLOCKS = 16
+VECTOR_BLOCK_ROWS = 1 << 16
+LISTED_IDS = 1000
 
 
 def query_vector(df: DataFrame, key, id_col: str = "id", vec: str = "vec") -> list[float]:
@@ -79,7 +84,10 @@ def knn_hydrated(
         return winners.join(texts, id_col, "left")
     rows = winners.collect()  # at most k
     found = vectors.sparkSession.createDataFrame(rows, winners.schema)
-    wanted = texts.where(F.col(id_col).isin([row[0] for row in rows]))
+    if k <= LISTED_IDS:
+        wanted = texts.where(F.col(id_col).isin([row[0] for row in rows]))
+    else:
+        wanted = texts.join(F.broadcast(found.select(id_col)), id_col, "left_semi")
     return found.join(wanted, id_col, "left")
 
 
@@ -120,17 +128,56 @@ def _search_block(
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for q, (_, target) in enumerate(queries):
                 best.add(q, sign * against(kernel, batch.column(1), target), ids)
-        qids = np.concatenate(
-            [np.full(len(s), qid, np.int64) for (qid, _), s in zip(queries, best.scores)]
-        )
-        columns = [pa.array(qids), pa.array(np.concatenate(best.ids))]
-        columns.append(pa.array(sign * np.concatenate(best.scores)))
+        qids = np.repeat([qid for qid, _ in queries], [len(s) for s in best.scores])
+        columns = [
+            pa.array(qids.astype(np.int64)),
+            pa.array(np.concatenate([np.empty(0, np.int64), *best.ids])),
+            pa.array(sign * np.concatenate([np.empty(0), *best.scores])),
+        ]
         yield pa.RecordBatch.from_arrays(columns, ["qid", id_col, "score"])
 
     narrow = df.select(F.col(id_col).cast("bigint").alias(id_col), vec)
     return narrow.mapInArrow(best_of_task, f"qid bigint, {id_col} bigint, score double")
 
 
+def _search_pairs(
+    df: DataFrame, queries: DataFrame, blocks: int, k: int, metric: str, p: float, id_col: str, vec: str
+) -> DataFrame:
+    """Best ``k`` per query and block of vectors; both sides are shuffled in blocks."""
+    kernel, larger_is_nearer = metric_kernel(metric, p)
+    sign = -1.0 if larger_is_nearer else 1.0
+    rows = max(df.count() // VECTOR_BLOCK_ROWS, 1)
+    every_row_block = F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("vb")
+    every_query_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb")
+    left = df.select(
+        F.col(id_col).cast("bigint").alias("id"),
+        F.col(vec).alias("vec"),
+        F.pmod(F.xxhash64(id_col), F.lit(rows)).cast("int").alias("vb"),
+        every_query_block,
+    )
+    right = queries.select(
+        "qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("qb"), every_row_block
+    )
+
+    def best_of_pair(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        best = _Best(len(asked), k)
+        ids = vectors["id"].to_numpy()
+        block = vectors["vec"].combine_chunks()
+        for q, target in enumerate(asked["qvec"].to_pylist()):
+            best.add(q, sign * against(kernel, block, np.asarray(target, np.float64)), ids)
+        qids = np.repeat(asked["qid"].to_numpy(), [len(s) for s in best.scores])
+        return pa.table(
+            {
+                "qid": qids.astype(np.int64),
+                id_col: np.concatenate([np.empty(0, np.int64), *best.ids]),
+                "score": sign * np.concatenate([np.empty(0), *best.scores]),
+            }
+        )
+
+    pairs = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
+    return pairs.applyInArrow(best_of_pair, f"qid bigint, {id_col} bigint, score double")
+
+
 def knn_batch(
     df: DataFrame,
     queries: DataFrame,
@@ -142,24 +189,26 @@ def knn_batch(
 ) -> DataFrame:
     """(qid, id, score, rank): the ``k`` nearest rows to each of many queries.
 
-    ``queries`` holds (qid bigint, qvec). It is read block by block, each of a
-    fixed size in bytes; a longer list means more passes, never a larger
-    broadcast. A task returns at most ``k`` rows per query, and Spark ranks
-    those.
+    ``queries`` holds (qid bigint, qvec). Their size is measured first. Up to
+    ``DRIVER_BLOCKS`` blocks of a fixed size are sent to the executors, a pass
+    over the vectors each. More queries than that stay on the executors: blocks
+    of queries meet blocks of vectors in a shuffle. Either way a task returns
+    at most ``k`` rows per query, and Spark ranks those.
     """
-    blocks: list[list[tuple[int, list[float]]]] = [[]]
-    cells = 0
-    for row in queries.select("qid", "qvec").orderBy("qid").toLocalIterator():
-        if cells + len(row.qvec) > QUERY_BLOCK_CELLS and blocks[-1]:
-            blocks.append([])
-            cells = 0
-        blocks[-1].append((row.qid, list(row.qvec)))
-        cells += len(row.qvec)
-    parts = [_search_block(df, block, k, metric, p, id_col, vec) for block in blocks]
+    cells = queries.agg(F.sum(F.size("qvec"))).first()[0] or 0
+    count = int(cells // QUERY_BLOCK_CELLS) + 1
+    if count > DRIVER_BLOCKS:
+        found = _search_pairs(df, queries, count, k, metric, p, id_col, vec)
+    else:
+        asked = [(row.qid, list(row.qvec)) for row in queries.select("qid", "qvec").collect()]
+        size = max(-(-len(asked) // count), 1)
+        blocks = [asked[at : at + size] for at in range(0, len(asked), size)] or [[]]
+        parts = [_search_block(df, block, k, metric, p, id_col, vec) for block in blocks]
+        found = reduce(DataFrame.union, parts)
     _, larger_is_nearer = metric_kernel(metric, p)
     best = F.desc("score") if larger_is_nearer else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(best, id_col))
-    return reduce(DataFrame.union, parts).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def pairwise_similarity(

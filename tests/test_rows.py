@@ -92,6 +92,13 @@ def test_sample_n_is_exact_and_stable(skewed, n):
     assert found == pairs(sampling.sample_n(skewed.repartition(9), n, "id").select("id"))
 
 
+def test_sample_n_by_more_digits(skewed, monkeypatch):
+    plain = pairs(sampling.sample_n(skewed, 77, "id").select("id"))
+    monkeypatch.setattr(sampling, "LIMIT_ROWS", 0)
+    assert pairs(sampling.sample_n(skewed, 77, "id").select("id")) == plain
+    assert sampling.sample_n(skewed, 0, "id").count() == 0
+
+
 def test_split_is_disjoint_and_complete(skewed):
     train, test = sampling.split(skewed, "id")
     assert train.count() + test.count() == 3000

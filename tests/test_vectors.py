@@ -67,8 +67,10 @@ def test_knn_returns_all_when_k_is_large(points):
 def test_knn_batch_equals_single_queries(spark, points, monkeypatch):
     queries = [(q, [float(q), 1.0, 2.0]) for q in range(5)]
     df = spark.createDataFrame(queries, "qid bigint, qvec array<double>")
-    for cells in (1 << 20, 4):  # one block, then a block per query
+    monkeypatch.setattr(S, "VECTOR_BLOCK_ROWS", 30)
+    for cells, driver in ((1 << 20, 16), (4, 16), (4, 0)):  # one block, several, shuffled
         monkeypatch.setattr(S, "QUERY_BLOCK_CELLS", cells)
+        monkeypatch.setattr(S, "DRIVER_BLOCKS", driver)
         for metric in ("dot", "l2"):
             batch = S.knn_batch(points, df, 7, metric).orderBy("qid", "rank").collect()
             single = [
@@ -86,6 +88,22 @@ def test_hydrate_keeps_ids_without_text(spark, points):
     assert {row.id: row.text for row in found.collect()}[3] == "three"
 
 
+def test_hydrate_beyond_listed_ids(spark, points, monkeypatch):
+    texts = spark.range(50).selectExpr("id", "CAST(id AS STRING) AS text")
+    listed = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60)
+    monkeypatch.setattr(S, "LISTED_IDS", 0)
+    joined = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60)
+    assert sorted(map(str, listed.collect())) == sorted(map(str, joined.collect()))
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    plain = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60)
+    assert sorted(map(str, listed.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_no_queries(spark, points):
+    none = spark.createDataFrame([], "qid bigint, qvec array<double>")
+    assert S.knn_batch(points, none, 3).collect() == []
+
+
 def test_query_vector(points):
     assert S.query_vector(points, 3) == [3.0, 1.0, 0.0]
     for key in (102, 999):
