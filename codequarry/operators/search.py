@@ -80,15 +80,24 @@ def knn_hydrated(
     filter, so finding k texts does not shuffle the text table.
     """
     winners = knn(vectors, query, k, metric, p, farthest, id_col, vec)
+    return _attach(winners, k, [texts], id_col)
+
+
+def _attach(winners: DataFrame, k: int, tables: Sequence[DataFrame], id_col: str) -> DataFrame:
+    """At most ``k`` winners with the columns of each table, NULL where it lacks an id."""
     if k > BROADCAST_ROWS:
-        return winners.join(texts, id_col, "left")
+        return reduce(lambda out, table: out.join(table, id_col, "left"), tables, winners)
     rows = winners.collect()  # at most k
-    found = vectors.sparkSession.createDataFrame(rows, winners.schema)
-    if k <= LISTED_IDS:
-        wanted = texts.where(F.col(id_col).isin([row[0] for row in rows]))
-    else:
-        wanted = texts.join(F.broadcast(found.select(id_col)), id_col, "left_semi")
-    return found.join(wanted, id_col, "left")
+    found = winners.sparkSession.createDataFrame(rows, winners.schema)
+    ids = [row[id_col] for row in rows]
+    out = found
+    for table in tables:
+        if k <= LISTED_IDS:
+            wanted = table.where(F.col(id_col).isin(ids))
+        else:
+            wanted = table.join(F.broadcast(found.select(id_col)), id_col, "left_semi")
+        out = out.join(wanted, id_col, "left")
+    return out
 
 
 class _Best:
@@ -246,11 +255,6 @@ def text_search(
     row = embed(typed, "text", "vec").select("vec").first()
     if row is None:
         found = knn(vectors.limit(0), [0.0], 1, metric, p, False, id_col, vec)
-        return reduce(lambda out, table: out.join(table, id_col, "left"), attach, found)
-    if not attach:
-        return knn(vectors, row.vec, k, metric, p, False, id_col, vec)
-    first, *others = attach
-    out = knn_hydrated(vectors, first, row.vec, k, metric, p, False, id_col, vec)
-    for table in others:
-        out = out.join(table, id_col, "left")
-    return out
+    else:
+        found = knn(vectors, row.vec, k, metric, p, False, id_col, vec)
+    return _attach(found, k, attach, id_col) if attach else found

@@ -131,7 +131,7 @@ def _hashed(df: DataFrame, text: str, dim: int) -> DataFrame:
 
 def fit_hashed_tfidf(df: DataFrame, text: str = "text", dim: int = 1 << 14) -> HashedTfidf:
     """Count documents per hashed column over the whole table."""
-    hashed = _hashed(spread(df.select(text), text), text, dim)
+    hashed = _hashed(spread(df.select(text)), text, dim)
     return HashedTfidf(dim, IDF(inputCol="_tf", outputCol="_unused").fit(hashed))
 
 

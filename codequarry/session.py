@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,20 +82,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 SPREAD_BYTES = 64 << 20
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Split a small input over all cores ahead of a costly per-row step.
 
     A scan cannot split a row group, so a small file is read by one task and a
     parser or tokeniser behind it would use one core. An input that is large,
     or in many files, is left as it is: it has partitions enough and moving it
-    would cost more than it gains.
+    would cost more than it gains. A unique ``key`` makes the split cheap;
+    without one the rows are dealt out in turn.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     files = df.inputFiles()
     if not files or len(files) >= 2 * cores:
         return df
-    sizes = spark.read.format("binaryFile").load(files).select("length")
+    sizes = spark.read.format("binaryFile").load([unquote(f) for f in files]).select("length")
     if sum(row.length for row in sizes.collect()) >= cores * SPREAD_BYTES:
         return df
-    return df.repartition(2 * cores, key)
+    return df.repartition(2 * cores, *([key] if key else []))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,10 +86,10 @@ def write_table(
         if _is_path(target):
             places = [_plain(target)]
         elif spark.catalog.tableExists(target):
-            places = [_plain(f) for f in spark.table(target).inputFiles()]
+            places = [_plain(unquote(f)) for f in spark.table(target).inputFiles()]
         else:
             places = []
-        for source in map(_plain, df.inputFiles()):
+        for source in (_plain(unquote(file)) for file in df.inputFiles()):
             if any(source == place or source.startswith(place + "/") for place in places):
                 raise ValueError(f"refusing to overwrite {target}: it is being read")
     writer = df.write.mode(mode)
@@ -185,7 +186,7 @@ def stitch_csv(
                 seen.add(file)
                 by_header.setdefault(header, []).append(file)
         for files in by_header.values():
-            part = spark.read.options(**_CSV).csv(files)
+            part = spark.read.options(**_CSV).csv([unquote(file) for file in files])
             indexed = index_column in part.columns
             parts.append(
                 part.select(

@@ -53,7 +53,9 @@ def test_term_counts_shuffle_nothing(spark):
     assert "Exchange" not in plan(tfidf.term_counts(frame, "id", "text"))
 
 
-def test_spread_only_moves_small_inputs(spark, monkeypatch):
+def test_spread_only_moves_small_inputs(spark, tmp_path, monkeypatch):
+    spark.range(5).write.parquet(str(tmp_path / "with space"))
+    assert spread(spark.read.parquet(str(tmp_path / "with space"))).count() == 5
     docs = table(spark, FOLDER, "documents")
     assert "Exchange" in plan(spread(docs, "doc_id"))
     monkeypatch.setattr("codequarry.session.SPREAD_BYTES", 1)

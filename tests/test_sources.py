@@ -35,11 +35,13 @@ def test_records_drop_null(spark, tmp_path):
 
 
 def test_stitch_csv_from_pandas_files(spark, tmp_path):
-    (tmp_path / "repo_info-0-2.csv").write_text(
+    tmp_path = tmp_path / "with space"
+    tmp_path.mkdir()
+    (tmp_path / "slice-0-2.csv").write_text(
         ",full_name,size,note\n0,a/a,5,\"two\nlines, \"\"quoted\"\"\"\n1,b/b,6,x\n"
     )
-    (tmp_path / "repo_info-2-4.csv").write_text(",full_name,topics\n0,a/a,['late']\n1,c/c,['t']\n")
-    df = tables.stitch_csv(spark, [str(tmp_path / "repo_info-*.csv")], "full_name")
+    (tmp_path / "slice-2-4.csv").write_text(",full_name,topics\n0,a/a,['late']\n1,c/c,['t']\n")
+    df = tables.stitch_csv(spark, [str(tmp_path / "slice-*.csv")], "full_name")
     assert df.columns == ["full_name", "size", "note", "topics"]
     assert df.orderBy("full_name").collect() == [
         ("a/a", "5", 'two\nlines, "quoted"', None),
@@ -56,7 +58,7 @@ def test_csv_roundtrip(spark, tmp_path):
 
 
 def test_write_refuses_its_own_source(spark, tmp_path):
-    path = str(tmp_path / "t")
+    path = str(tmp_path / "a table")
     tables.write_table(spark.range(5), path)
     tables.write_table(spark.range(3), path)
     back = tables.read_table(spark, path, key="id", partitions=3)
