@@ -26,8 +26,10 @@ exceptions.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,19 @@ MARK = b"PFR1"
 BLOCK = 128
 PERCENT = 90
 # Ids after which a segment is closed; a longer document has a segment to itself.
-SEGMENT_IDS = 1 << 16
-WORDS = 300_000
+SEGMENT_IDS = 1 << 17
+# Words that each Python worker remembers.
+WORDS = 400_000
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs; 0 needs none."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    if values.size and values.max() < len(_BITS):
+        return _BITS[values]
+    return np.frexp(values.astype(np.float64))[1].astype(np.int8)
+
+
+_BITS = np.repeat(np.arange(17, dtype=np.int8), [1, *(1 << b for b in range(16))])
 
 
 def pack_columns(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,29 +94,33 @@ def pack(ids: np.ndarray) -> bytes:
     least = rows.min(axis=1)
     rest = (rows - least[:, None]).astype(np.uint64)
     needed = bit_lengths(rest)
-    widths = np.sort(needed, axis=1)[:, -(-BLOCK * PERCENT // 100) - 1]
-    parts: list[bytes] = [b""] * blocks
-    outside = needed > widths[:, None]
-    for width in np.unique(widths).tolist():
+    place = -(-BLOCK * PERCENT // 100) - 1
+    widths = np.partition(needed, place, axis=1)[:, place].astype(np.int64)
+    block, where = np.nonzero(needed > widths[:, None])
+    exceptions = np.bincount(block, minlength=blocks)
+    sizes = 6 + 16 * widths + 5 * exceptions
+    head = 16 + 4 * blocks
+    starts = head + np.cumsum(sizes) - sizes
+    if starts[-1] >= 1 << 32:
+        raise ValueError("a payload of 4 GB or more: the document has too many ids")
+    out = np.zeros(head + int(sizes.sum()), np.uint8)
+    out[:head] = np.frombuffer(
+        MARK + struct.pack("<QI", n, blocks) + starts.astype("<u4").tobytes(), np.uint8
+    )
+    out[starts[:, None] + np.arange(4)] = least.astype("<u4")[:, None].view(np.uint8)
+    out[starts + 4], out[starts + 5] = widths, exceptions
+    for width in np.unique(widths[widths > 0]).tolist():
         own = np.flatnonzero(widths == width)
         low = np.ascontiguousarray((rest[own] & np.uint64((1 << width) - 1)).T)
         packed = np.ascontiguousarray(pack_columns(low, width).T).astype("<u8")
-        for k, block in enumerate(own.tolist()):
-            where = np.flatnonzero(outside[block])
-            high = (rest[block, where] >> np.uint64(width)).astype("<u4")
-            parts[block] = b"".join(
-                (
-                    struct.pack("<IBB", least[block], width, len(where)),
-                    packed[k].tobytes(),
-                    where.astype(np.uint8).tobytes(),
-                    high.tobytes(),
-                )
-            )
-    sizes = np.fromiter(map(len, parts), np.int64, blocks)
-    starts = 16 + 4 * blocks + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    if starts[-1] >= 1 << 32:
-        raise ValueError("a payload of 4 GB or more: the document has too many ids")
-    return b"".join((MARK, struct.pack("<QI", n, blocks), starts.astype("<u4").tobytes(), *parts))
+        out[starts[own][:, None] + 6 + np.arange(16 * width)] = packed.view(np.uint8)
+    first = starts + 6 + 16 * widths  # of the exceptions
+    turn = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    out[first[block] + turn] = where
+    high = (rest[block, where] >> widths[block].astype(np.uint64)).astype("<u4")
+    at = first[block] + exceptions[block] + 4 * turn
+    out[at[:, None] + np.arange(4)] = high[:, None].view(np.uint8)
+    return out.tobytes()
 
 
 def unpack(payload: bytes, first: int = 0, stop: int | None = None) -> np.ndarray:
@@ -129,24 +141,42 @@ def unpack(payload: bytes, first: int = 0, stop: int | None = None) -> np.ndarra
         at = starts[own][:, None] + 6 + np.arange(16 * width)
         words = np.ascontiguousarray(raw[at]).view("<u8") if width else np.zeros((len(own), 0))
         rows[own] = unpack_columns(np.ascontiguousarray(words.T), width).T
-    for block in np.flatnonzero(exceptions).tolist():
-        width, count = int(widths[block]), int(exceptions[block])
-        at = int(starts[block]) + 6 + 16 * width
-        where = np.frombuffer(payload, np.uint8, count, at)
-        high = np.frombuffer(payload, "<u4", count, at + count).astype(np.int64)
-        rows[block, where] += high << width
+    block = np.repeat(np.arange(stop - first), exceptions)
+    turn = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    begin = (starts + 6 + 16 * widths.astype(np.int64))[block]
+    at = begin + exceptions[block] + 4 * turn
+    high = raw[at[:, None] + np.arange(4)].view("<u4")[:, 0].astype(np.int64)
+    rows[block, raw[begin + turn]] += high << widths[block].astype(np.int64)
     ids = (rows + least[:, None]).reshape(-1)
     return ids[: min(n, stop * BLOCK) - first * BLOCK].astype(np.uint32)
 
 
+# Lower-case Latin letters that neither composition nor case folding changes.
+_SMALL = "a-z" + "".join(
+    c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c == c.lower() == normalize("NFC", c)
+)
+# Words of such letters and of printable ASCII; quotes may begin a contraction,
+# and "<|" a special token.
+_SIMPLE = re.compile(rf"(?!.*(?:'|<\|))[{_SMALL}!-@\[-~]+")
+_PARTS = re.compile(rf"[{_SMALL}]+|[0-9]|[^{_SMALL}0-9]+")
+
+
+def _shown(byte: int) -> str:
+    """The character by which byte-level models show a byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    if byte in plain:
+        return chr(byte)
+    return chr(256 + sum(b not in plain for b in range(byte)))
+
+
 class WordEncoder:
     """The ids of whole texts, put together from the ids of their words.
 
     Spaces and line ends part the pieces of such a tokenizer, so a word's ids
     depend on nothing around it, and the library is asked for each word once.
-    It folds case itself; a word of ASCII letters is folded first, so that its
-    spellings share an entry, and a comma or full stop after a letter is a
-    piece of its own.
+    Simple words (see _SIMPLE) are cut here into the pieces its pattern takes:
+    runs of letters, single digits, runs of anything else; each goes straight
+    to the library's model. Any other word goes to the whole library.
     """
 
     def __init__(self, path: str):
@@ -154,18 +184,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Recent(self._word, WORDS)
-
-    def _word(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-            return self.words[word[:-1]] + self.words[word[-1]]
-        if word.isascii() and word.isalpha() and not word.islower():
-            return self.words[word.lower()]
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.show = {byte: _shown(byte) for byte in range(256)}
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isascii() and text.isalpha():
+            return self._piece(text)
+        if not _SIMPLE.fullmatch(text):
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        parts = _PARTS.findall(text)
+        if len(parts) > 1:
+            return b"".join([self.words[part.encode()] for part in parts])
+        return self._piece("".join(map(self.show.__getitem__, word)))
+
+    def _piece(self, shown: str) -> bytes:
+        return _packed([token.id for token in self.tokenizer.model.tokenize(shown)])
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        return b"".join(map(self.words.__getitem__, filter(None, words)))
+        raw = text.encode().replace(b"\n", b" ")
+        if b"<|" not in raw:
+            raw = raw.lower()  # A to Z, as the library would; a special token has its own case
+        return b"".join(map(self.words.__getitem__, filter(None, raw.split(b" "))))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @functools.lru_cache(maxsize=2)
