@@ -331,8 +331,10 @@ def _merged(families: DataFrame, span: int) -> DataFrame:
         )
 
     dealt = families.select("family", "body_name", "body", "count", "weight")
+    # A number is named so that few bytes, much work each, stay over all tasks.
+    tasks = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        dealt.repartition("family")
+        dealt.repartition(tasks, "family")
         .sortWithinPartitions("family", "body_name")
         .mapInArrow(run, "family binary, body_name binary, first int, last int")
     )
@@ -415,7 +417,7 @@ def repeated_runs(docs: DataFrame, span: int) -> DataFrame:
         one = small.groupBy("family", "body_name").agg(
             F.first("body").alias("body"), F.max("count").alias("count"), F.sum("weight").alias("weight")
         )
-        hits = _merged(one, span)
+        hits = durable(_merged(one, span))
         results.append(
             small.select("h", "context", "family", "body_name", "base")
             .join(hits, ["family", "body_name"])
