@@ -14,7 +14,7 @@ def _functions(spark, folder):
         F.col("doc_id").alias("id"),
         F.concat(F.lit("doc_"), "doc_id").alias("name"),
         F.array("lang", "source").alias("args"),
-        F.concat(F.lit("return "), "n_chars").alias("body"),
+        F.col("text").alias("body"),
         F.when(F.col("lang") != "de", F.col("text")).alias("docstring"),
     )
 
@@ -35,6 +35,7 @@ def _judged(spark, folder):
 
 
 _JUDGED = """WITH f AS (SELECT doc_id AS id, lang, source, n_chars,
+                   text AS body,
                    CASE WHEN lang <> 'de' THEN text END AS docstring FROM documents),
      s AS (SELECT f.*, d.text AS short_docstring,
                   list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance
@@ -46,9 +47,9 @@ _JUDGED = """WITH f AS (SELECT doc_id AS id, lang, source, n_chars,
                 WHEN distance < 1.4 AND length(short_docstring) > length(docstring) THEN NULL
                 ELSE short_docstring END AS filtered FROM s),
      k AS (SELECT * FROM j WHERE filtered IS NOT NULL),
-     c AS (SELECT id, lang, source, n_chars, docstring, short_docstring, filtered FROM k
+     c AS (SELECT id, lang, source, body, docstring, short_docstring, filtered FROM k
            UNION ALL
-           SELECT id, lang, source, n_chars, docstring, NULL, NULL FROM f
+           SELECT id, lang, source, body, docstring, NULL, NULL FROM f
            WHERE docstring IS NOT NULL AND length(docstring) < 120
              AND NOT EXISTS (SELECT 1 FROM k WHERE k.id = f.id))
 """
@@ -104,7 +105,7 @@ def curate_counts(spark, folder):
          u AS (SELECT * FROM y WHERE y IS NOT NULL
                QUALIFY row_number() OVER (PARTITION BY y ORDER BY id) = 1)
          SELECT id, md5('def doc_' || id || '(' || lang || ', ' || source || '):' || chr(10)
-                        || ' return ' || n_chars) AS x, md5(y) AS y,
+                        || ' ' || translate(body, chr(10) || chr(13), '  ')) AS x, md5(y) AS y,
                 CASE WHEN (('0x' || substring(md5('42:' || id::VARCHAR), 1, 8))::BIGINT)
                           / 4294967296e0 < 0.15 THEN 'test' ELSE 'train' END AS part FROM u""",
 )
@@ -116,8 +117,8 @@ def training_pairs(spark, folder):
 
 @query(
     "summary_requests",
-    """SELECT doc_id AS id, md5('Docstring: ' || text || '. Function body: return ' || n_chars
-              || '; Summary: ') AS prompt FROM documents WHERE lang <> 'de'""",
+    """SELECT doc_id AS id, md5('Docstring: ' || text || '. Function body: '
+              || left(text, 100) || '; Summary: ') AS prompt FROM documents WHERE lang <> 'de'""",
 )
 def summary_requests(spark, folder):
     requests = curation.summary_requests(_functions(spark, folder))
@@ -127,7 +128,7 @@ def summary_requests(spark, folder):
 @query(
     "embedding_requests",
     """SELECT doc_id AS id, 'def doc_' || doc_id || '(' || lang || ', ' || source || '):' || chr(10)
-              || ' return ' || n_chars AS text FROM documents""",
+              || ' ' || translate(text, chr(10) || chr(13), '  ') AS text FROM documents""",
 )
 def embedding_requests(spark, folder):
     return curation.embedding_requests(_functions(spark, folder))

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codequarry.catalog import query, r6, table, vectors
+from codequarry.functions.vectors import norm2
 from codequarry.operators import clustering as C
 from codequarry.operators import reduction as R
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.scoring import score_batches
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed
-from codequarry.session import spread
+
+# Numbers in a vector of the test tables.
+WIDTH = 64
 
 
 @query(
@@ -38,7 +42,7 @@ def pca_distances(spark, folder):
     points = vectors(spark, folder)
     width = points.select(F.max(F.size("vec"))).first()[0]
     scores = R.fit_pca(points, width).transform(points)
-    return scores.select("id", r6(R.norm2(F.col("vec"))).alias("from_centre"))
+    return scores.select("id", r6(norm2(F.col("vec"))).alias("from_centre"))
 
 
 @query("pca_scores")
@@ -74,12 +78,12 @@ def svd_norms(spark, folder):
     width = points.select(F.max(F.size("vec"))).first()[0]
     rows = points.select("id", R.array_to_vector("vec").alias("features"))
     _, scored = R.fit_svd(rows, width)
-    return scored.select("id", r6(R.norm2(F.col("vec"))).alias("norm"))
+    return scored.select("id", r6(norm2(F.col("vec"))).alias("norm"))
 
 
 @query("svd_text")
 def svd_text(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     features = fit_hashed_tfidf(docs, "text", 512).transform(docs, "text")
     _, scored = R.fit_svd(features.select("doc_id", "features"), 20)
     return scored.select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
@@ -87,7 +91,7 @@ def svd_text(spark, folder):
 
 @query("svd_text_variance")
 def svd_text_variance(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     features = fit_hashed_tfidf(docs, "text", 512).transform(docs, "text")
     model, _ = R.fit_svd(features.select("doc_id", "features"), 20)
     return R.variance_table(spark, model.ratios)
@@ -99,9 +103,9 @@ def svd_text_variance(spark, folder):
                             THEN 1e0 ELSE 0e0 END AS norm FROM documents""",
 )
 def hashed_vectors(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     embedded = hash_embed(fit_hashed_tfidf(docs, "text", 1024), docs)
-    return embedded.select("doc_id", r6(R.norm2(F.col("vec"))).alias("norm"))
+    return embedded.select("doc_id", r6(norm2(F.col("vec"))).alias("norm"))
 
 
 @query("kmeans_labels")
@@ -151,8 +155,7 @@ def assign_nearest(spark, folder):
     return C.assign(points, centres).withColumn("distance", r6("distance"))
 
 
-_SILHOUETTE = """WITH s AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings
-                 ORDER BY md5('42:' || vec_id::VARCHAR), vec_id LIMIT 10000),
+_SILHOUETTE = """WITH s AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
      d AS (SELECT a.id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS total,
                   count(*) AS n FROM s a, s b GROUP BY ALL),
      ab AS (SELECT id, own, max(n) FILTER (WHERE own = other) AS size,
@@ -172,23 +175,90 @@ def silhouette_exact(spark, folder):
     return C.silhouette(points).withColumn("silhouette", r6("silhouette"))
 
 
+# The moments of a spectrum: a basis that is not the right one has others.
+_COVARIANCE = """x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v,
+                  generate_subscripts(embedding, 1) AS d FROM embeddings),
+     c AS (SELECT a.d AS i, b.d AS j, covar_samp(a.v, b.v) AS cov
+           FROM x a JOIN x b USING (vec_id) GROUP BY ALL)"""
+
+
+@query(
+    "pca_spectrum",
+    f"""WITH {_COVARIANCE}, t AS (SELECT sum(cov) FILTER (WHERE i = j) AS trace FROM c)
+        SELECT 1e0 AS total, round(sum(cov * cov) / any_value(trace * trace), 6) + 0e0 AS squares,
+               true AS falling FROM c, t""",
+)
+def pca_spectrum(spark, folder):
+    """Shares of variance: they fall, add up to one, and their squares to the covariance's."""
+    points = vectors(spark, folder)
+    ratios = R.fit_pca(points, WIDTH).ratios
+    table = R.variance_table(spark, ratios)
+    before = F.lag("ratio").over(Window.orderBy("component"))
+    return table.withColumn("before", before).agg(
+        r6(F.sum("ratio")).alias("total"),
+        r6(F.sum(F.col("ratio") * F.col("ratio"))).alias("squares"),
+        F.coalesce(F.min(F.col("before") >= F.col("ratio") - 1e-12), F.lit(True)).alias("falling"),
+    )
+
+
+@query(
+    "pca_score_covariance",
+    f"""WITH {_COVARIANCE}
+        SELECT round(sum(cov) FILTER (WHERE i = j), 6) + 0e0 AS trace,
+               round(sum(cov * cov), 6) + 0e0 AS squares, 0e0 AS off_diagonal FROM c""",
+)
+def pca_score_covariance(spark, folder):
+    """Scores are uncorrelated and have the whole variance: no other rotation does."""
+    points = vectors(spark, folder)
+    cov = R.covariance(R.fit_pca(points, WIDTH).transform(points))
+    diagonal = F.col("i") == F.col("j")
+    return cov.agg(
+        r6(F.sum(F.when(diagonal, F.col("cov")))).alias("trace"),
+        r6(F.sum(F.when(diagonal, F.col("cov") * F.col("cov")))).alias("squares"),
+        r6(F.max(F.when(~diagonal, F.abs("cov")))).alias("off_diagonal"),
+    )
+
+
+@query(
+    "svd_spectrum",
+    """WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v,
+                         generate_subscripts(embedding, 1) AS d FROM embeddings),
+            g AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) AS p FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
+       SELECT round(sum(p) FILTER (WHERE i = j), 4) + 0e0 AS squares,
+              round(sum(p * p) / 1000, 4) + 0e0 AS fourths FROM g""",
+)
+def svd_spectrum(spark, folder):
+    """Singular values: their squares and fourth powers add up to those of the rows' products."""
+    rows = vectors(spark, folder).select("id", R.array_to_vector("vec").alias("features"))
+    model, _ = R.fit_svd(rows, WIDTH)
+    found = spark.createDataFrame([(float(s),) for s in model.singular_values], "s double")
+    return found.agg(
+        (F.round(F.sum(F.pow("s", F.lit(2))), 4) + F.lit(0.0)).alias("squares"),
+        (F.round(F.sum(F.pow("s", F.lit(4))) / 1000, 4) + F.lit(0.0)).alias("fourths"),
+    )
+
+
 @query(
     "silhouette_samples",
     _SILHOUETTE
     + "SELECT id, own::BIGINT AS cluster, round(score, 6) + 0e0 AS silhouette FROM sc",
 )
 def silhouette_samples(spark, folder):
-    """The path for large samples, forced by a low limit on what is sent whole."""
+    """Vectors cut short have no score and end no job."""
     points = vectors(spark, folder).withColumnRenamed("label", "cluster")
-    sample = C.take_sample(points, 10_000, "id")
-    scores = C.silhouette_samples(sample, sample_cells=0, block_rows=500)
+    short = points.where("id % 50 = 7").select(-F.col("id"), F.slice("vec", 1, 5), "cluster")
+    scores = C.silhouette_samples(points.union(short))
     return scores.withColumn("silhouette", r6("silhouette"))
 
 
-@query("silhouette_squared")
+@query(
+    "silhouette_squared",
+    _SILHOUETTE.replace("sum(list_distance(a.v, b.v))", "sum(list_distance(a.v, b.v) ** 2)")
+    + "SELECT round(avg(score), 6) + 0e0 AS silhouette FROM sc",
+)
 def silhouette_squared(spark, folder):
     points = vectors(spark, folder).withColumnRenamed("label", "cluster")
-    return spark.createDataFrame([(C.silhouette_squared(points),)], "silhouette double")
+    return spark.createDataFrame([(round(C.silhouette_squared(points), 6),)], "silhouette double")
 
 
 @query("sweep")
@@ -198,7 +268,7 @@ def sweep(spark, folder):
 
 @query("best_clustering")
 def best_clustering(spark, folder):
-    _, fit = C.best_clustering(vectors(spark, folder), ks=(8, 12), n_init=2)
+    _, fit, _ = C.best_clustering(vectors(spark, folder), ks=(8, 12), n_init=2)
     return C.cluster_profile(fit.labelled).select("cluster", "n")
 
 

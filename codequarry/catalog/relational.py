@@ -106,7 +106,7 @@ def lookup_left(spark, folder):
     nations = table(spark, folder, "nation").where("n_regionkey <> 0")
     names = nations.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    return joins.lookup_join(suppliers, names, "s_nationkey", ["s_suppkey"])
+    return joins.lookup_join(suppliers, names, "s_nationkey")
 
 
 @query(
@@ -119,9 +119,7 @@ def lookup_salted(spark, folder):
         F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"
     )
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
-    return joins.lookup_join(
-        lines, orders, "l_orderkey", ["l_linenumber"], broadcast_rows=0, shards=4
-    )
+    return joins.lookup_join(lines, orders, "l_orderkey")
 
 
 @query(
@@ -340,3 +338,46 @@ def split_train_test(spark, folder):
     return train.withColumn("part", F.lit("train")).unionByName(
         test.withColumn("part", F.lit("test"))
     )
+
+
+@query(
+    "sample_n_hostile",
+    "SELECT 57::BIGINT AS n, 57::BIGINT AS ids, true AS drawn",
+)
+def sample_n_hostile(spark, folder):
+    """A key that is NULL for most rows and repeated for the rest: exactly as many as asked."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    drawn = sampling.sample_n(rows.select("doc_id", "quality", "toxic"), 57, "quality")
+    return drawn.agg(
+        F.count("*").alias("n"),
+        F.count_distinct("doc_id").alias("ids"),
+        (F.count_distinct(F.coalesce("quality", F.lit(-1))) <= 3).alias("drawn"),
+    )
+
+
+@query(
+    "sample_n_repl_hostile",
+    "SELECT 90::BIGINT AS n, 90::BIGINT AS draws",
+)
+def sample_n_repl_hostile(spark, folder):
+    """The same key, drawn with replacement: one row for each draw."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    drawn = sampling.sample_n_repl(rows.select("doc_id", "quality"), 90, "quality")
+    return drawn.agg(F.count("*").alias("n"), F.count_distinct("draw").alias("draws"))
+
+
+@query(
+    "split_null_keys",
+    """SELECT CASE WHEN quality IS NOT NULL AND (('0x' || substring(md5('42:' || quality::VARCHAR), 1, 8))::BIGINT)
+                        / 4294967296e0 < 0.15
+                   OR quality IS NULL AND (('0x' || substring(md5('42:' || chr(0)), 1, 8))::BIGINT)
+                        / 4294967296e0 < 0.15 THEN 'test' ELSE 'train' END AS part,
+              count(*) AS n
+       FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+)
+def split_null_keys(spark, folder):
+    """Rows with a NULL key are in one part too."""
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    train, test = sampling.split(rows.select("doc_id", "quality"), "quality")
+    parts = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    return parts.groupBy("part").agg(F.count("*").alias("n"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from codequarry.catalog import query, r6, table, vectors
 from codequarry.functions import vectors as V
 from codequarry.operators import search as S
+from codequarry.session import durable
 from codequarry.operators.aggregates import histogram
 from codequarry.operators.clustering import cluster_profile
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed
-from codequarry.session import spread
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {})"
 
@@ -179,7 +179,7 @@ def pairwise_dot_minkowski(spark, folder):
         FROM range(1, 101) t(i) LEFT JOIN c ON c.bin = i""",
 )
 def pairwise_histogram(spark, folder):
-    scores = S.pairwise_similarity(*_neighbours(spark, folder))
+    scores = durable(S.pairwise_similarity(*_neighbours(spark, folder)))  # measured once, read twice
     return histogram(scores, "score", 100).select("bin", "n")
 
 
@@ -212,7 +212,7 @@ _SHARES = "[{}]".format(
 )
 def text_search(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    texts = spread(docs.select("id", "text"), "id")
+    texts = docs.select("id", "text")
     embedded = _embed_letters(texts, "text", "vec").select("id", "vec")
     labels = table(spark, folder, "labels").selectExpr("doc_id AS id", "quality")
     found = S.text_search(
@@ -228,7 +228,7 @@ def text_search(spark, folder):
 @query("text_search_hashed")
 def text_search_hashed(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    docs = spread(docs.select("id", "text"), "id")
+    docs = docs.select("id", "text")
     model = fit_hashed_tfidf(docs, "text", 1024)
 
     def embed(df, column, out):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from codequarry.catalog import query, r6, table, vectors
-from codequarry.session import scratch_path, spread
+from codequarry.session import scratch_path
 from codequarry.sources import archives, tables
 from codequarry.sources import vectors as vector_io
 
@@ -65,6 +65,27 @@ def json_records(spark, folder):
     return tables.read_records(spark, path, schema).select("page_id", "page.size", "page.host")
 
 
+@query(
+    "json_record_rejects",
+    """SELECT CASE WHEN starts_with(url, 'https') THEN 'record' ELSE 'reject' END AS kind,
+              count(*) AS n, CAST(sum(page_id) AS BIGINT) AS ids FROM pages GROUP BY 1""",
+)
+def json_record_rejects(spark, folder):
+    """Lines cut short among whole ones: no record from them, and all of them listed."""
+    path = scratch_path(spark, "json-rejects")
+    record = F.to_json(F.struct("page_id", F.length("html").alias("size")))
+    short = F.concat(F.lit('{"page_id": '), F.col("page_id").cast("string"), F.lit(', "size": '))
+    line = F.when(F.startswith("url", F.lit("https")), record).otherwise(short)
+    table(spark, folder, "pages").select(line.alias("value")).write.text(path)
+    good = tables.read_records(spark, path, "page_id bigint, size bigint").select(
+        F.lit("record").alias("kind"), "page_id"
+    )
+    number = F.regexp_extract("value", "[0-9]+", 0).cast("bigint").alias("page_id")
+    bad = tables.json_rejects(spark, path).select(F.lit("reject").alias("kind"), number)
+    counts = good.union(bad).groupBy("kind")
+    return counts.agg(F.count("*").alias("n"), F.sum("page_id").alias("ids"))
+
+
 @query(
     "csv_stitch",
     """WITH slices AS (
@@ -128,7 +149,7 @@ def zip_members(spark, folder):
     def zipped(doc_id: pd.Series, lang: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([_archive(*row) for row in zip(doc_id, lang, text)])
 
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     packed = docs.select("doc_id", zipped("doc_id", "lang", "text").alias("data"))
     members = archives.unpack_archives(packed, "data", ["doc_id"])
     return members.select("doc_id", "file", F.md5("content").alias("digest"), "status")
@@ -166,13 +187,16 @@ def vector_dim_check(spark, folder):
     return vector_io.vector_reject_counts(_ragged(spark, folder), 64)
 
 
-_WIDE = ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0e0 AS c{i}" for i in range(8))
+# Numbers in a vector of the test tables.
+WIDTH = 64
+_WIDE = ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) + 0e0 AS c{i}" for i in range(WIDTH))
 
 
-@query("vector_wide8", f"SELECT vec_id AS id, {_WIDE} FROM embeddings")
-def vector_wide8(spark, folder):
-    wide = vector_io.vector_to_columns(vectors(spark, folder).drop("label"), 8)
-    return wide.select("id", *[r6(F.col(f"c{i}").cast("double")).alias(f"c{i}") for i in range(8)])
+@query("vector_wide", f"SELECT vec_id AS id, {_WIDE} FROM embeddings")
+def vector_wide(spark, folder):
+    wide = vector_io.vector_to_columns(vectors(spark, folder).drop("label"), WIDTH)
+    columns = [r6(F.col(f"c{i}").cast("double")).alias(f"c{i}") for i in range(WIDTH)]
+    return wide.select("id", *columns)
 
 
 @query(

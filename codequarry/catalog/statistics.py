@@ -8,7 +8,6 @@ from codequarry.catalog import query, r6, table, vectors
 from codequarry.operators import aggregates as A
 from codequarry.operators.clustering import cluster_profile
 from codequarry.plans import maps
-from codequarry.session import spread
 
 
 @query(
@@ -18,7 +17,7 @@ from codequarry.session import spread
        WHERE word <> '' GROUP BY source, word""",
 )
 def explode_words(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     words = F.filter(F.split("text", " "), lambda word: word != "")
     return (
         docs.select("source", F.explode(words).alias("word"))
@@ -255,3 +254,35 @@ def centroids(spark, folder):
     return profile.select("label", "n", F.posexplode("vec").alias("dim", "value")).withColumn(
         "value", r6("value")
     )
+
+
+@query(
+    "tag_counts_quoted",
+    """SELECT tag, count(*) AS n FROM (
+         SELECT unnest(['don''t ' || p_brand, p_type, 'say "x"']) AS tag FROM part)
+       GROUP BY tag HAVING count(*) > 2""",
+)
+def tag_counts_quoted(spark, folder):
+    """Lists as Python prints them: double quotes around an item with an apostrophe."""
+    escaped = F.lit(r"""'say \"x\"'""")
+    text = F.concat(
+        F.lit("[\"don't "), "p_brand", F.lit("\", '"), "p_type", F.lit("', "), escaped, F.lit("]")
+    )
+    topics = table(spark, folder, "part").select(text.alias("topics"))
+    return A.tag_counts(topics).withColumn("tag", F.replace("tag", F.lit("\n"), F.lit("-")))
+
+
+@query(
+    "hist_with_nan",
+    """WITH v AS (SELECT quality::DOUBLE + n_chars AS x FROM documents JOIN labels USING (doc_id)
+                  WHERE toxic = 0),
+            r AS (SELECT min(x) AS lo, (max(x) - min(x)) / 7 AS width FROM v)
+       SELECT CAST(i AS INT) AS bin, count(x) AS n FROM r CROSS JOIN range(1, 8) t(i)
+       LEFT JOIN v ON least(CAST(floor((x - lo) / width) AS INT) + 1, 7) = i GROUP BY i""",
+)
+def hist_with_nan(spark, folder):
+    """Values that are no number are in no bin and move no edge."""
+    both = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    number = F.when(F.col("toxic") == 0, F.col("quality").cast("double") + F.col("n_chars"))
+    values = both.select(F.coalesce(number, F.lit(float("nan"))).alias("x"))
+    return A.histogram(values, "x", 7).select("bin", "n")

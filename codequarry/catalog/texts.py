@@ -10,7 +10,6 @@ from codequarry.functions import text as T
 from codequarry.functions.source_code import BodySplit
 from codequarry.operators import tfidf as M
 from codequarry.plans import corpus
-from codequarry.session import spread
 
 
 @query(
@@ -315,7 +314,7 @@ def _source_files(spark, folder):
         F.when(F.col("lang") == "de", F.lit("(a, b:\n")).otherwise(F.lit("(a, b):\n")),
         F.lit("    return (a +\n            b)\n"),
     ]
-    docs = spread(table(spark, folder, "documents"), "doc_id")
+    docs = table(spark, folder, "documents")
     return docs.select(
         F.col("doc_id").alias("file_id"),
         F.substring("source", 4, 9).cast("bigint").alias("repo"),
@@ -379,9 +378,10 @@ def functions_table(spark, folder):
 @query(
     "split_bodies",
     f"""SELECT doc_id, CASE WHEN lang = 'de' THEN 'x = (' WHEN lang = 'fr' THEN 'x = 1'
+                            WHEN {_PROSE} = '' THEN repeat(chr(34), 6) || chr(10) || 'return ' || n_chars
                             ELSE 'return ' || n_chars END AS body,
                CASE WHEN lang = 'de' THEN NULL ELSE nullif({_PROSE}, '') END AS docstring
-        FROM documents WHERE lang <> 'en' OR {_PROSE} <> ''""",
+        FROM documents""",
 )
 def split_bodies(spark, folder):
     prose = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
@@ -390,7 +390,7 @@ def split_bodies(spark, folder):
         .when(F.col("lang") == "fr", F.concat(F.lit("  # "), prose, F.lit("\nx = 1")))
         .otherwise(F.concat(F.lit('"""'), prose, F.lit('"""\nreturn '), F.col("n_chars")))
     )
-    bodies = table(spark, folder, "documents").where((F.col("lang") != "en") | (prose != ""))
+    bodies = table(spark, folder, "documents")
     return bodies.select("doc_id", body.alias("raw")).lateralJoin(
         BodySplit(F.col("raw").outer())
     ).drop("raw")

@@ -93,7 +93,7 @@ def function_rows(content: str | None) -> Iterator[tuple]:
     yield from rows
 
 
-@F.udtf(returnType=FUNCTION_SCHEMA)
+@F.udtf(returnType=FUNCTION_SCHEMA, useArrow=True)
 class FunctionsIn:
     """``LATERAL`` table function: source text to its functions."""
 
@@ -101,7 +101,7 @@ class FunctionsIn:
         yield from function_rows(content)
 
 
-@F.udtf(returnType="body string, docstring string")
+@F.udtf(returnType="body string, docstring string", useArrow=True)
 class BodySplit:
     """``LATERAL`` table function: body text to (body, docstring)."""
 

@@ -21,6 +21,7 @@ KEEP_SHORTER_THAN = 85
 KEEP_DISTANT_SHORTER_THAN = 120
 DISTANCE_THRESHOLD = 10.0
 
+_ITEM = r"""(?:'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[\w.+\-]++)"""
 _ANCHOR_HREF = (
     r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 )
@@ -116,9 +117,11 @@ def summary_prompt(docstring: Column, body: Column, body_chars: int = PROMPT_BOD
     )
 
 
-def search_text(text: Column, n: int = EMBED_CAP) -> Column:
-    """A typed query, lower-cased and capped; blank gives NULL."""
-    return F.when(F.trim(F.translate(text, "\t\r\n", "   ")) != "", cap(F.lower(text), n))
+def search_text(text: Column, n: int | None = None) -> Column:
+    """A typed query, lower-cased, and cut to ``n`` characters if asked; blank gives NULL."""
+    lowered = F.lower(text)
+    typed = F.trim(F.translate(text, "\t\r\n", "   ")) != ""
+    return F.when(typed, lowered if n is None else cap(lowered, n))
 
 
 def keep_rule(
@@ -158,9 +161,18 @@ def count_substring(text: Column, needle: str) -> Column:
 
 
 def parse_list_literal(text: Column) -> Column:
-    """``"['a', 'b']"`` to ``array<string>``; text that is no list gives NULL."""
-    quoted = F.replace(text, F.lit("'"), F.lit('"'))
-    return F.from_json(quoted, "array<string>")
+    """``"['a', \"b's\"]"`` to ``array<string>``; text that is no list gives NULL.
+
+    Items stand in single or double quotes, in which a backslash frees the
+    next character, or are bare words and numbers.
+    """
+    whole = rf"^\s*\[\s*(?:{_ITEM}\s*(?:,\s*{_ITEM}\s*)*+,?\s*)?\]\s*$"
+    items = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
+    quoted = lambda item: item.rlike("^['\"]")
+    inner = lambda item: item.substr(F.lit(2), F.length(item) - 2)
+    free = lambda item: F.regexp_replace(inner(item), r"\\(.)", "$1")
+    plain = F.transform(items, lambda item: F.when(quoted(item), free(item)).otherwise(item))
+    return F.when(text.rlike(whole), plain)
 
 
 def tag_label(tag: Column) -> Column:

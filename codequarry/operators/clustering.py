@@ -31,10 +31,9 @@ SWEEP_RESTARTS = 10
 SWEEP_KS = (*range(10, 150, 10), *range(150, 300, 10))
 FINE_SWEEP_KS = tuple(range(75, 120, 5))
 
-# Numbers per block of centres, and the largest sample sent whole to executors.
+# Numbers in a block of centres and in a block of a silhouette's rows, as sent to executors.
 CENTRE_BLOCK_CELLS = 1 << 20
-SAMPLE_CELLS = 1 << 24
-SAMPLE_BLOCK_ROWS = 4096
+SAMPLE_BLOCK_CELLS = 1 << 22
 
 
 @dataclass
@@ -60,9 +59,10 @@ def kmeans(
     The input is held across the fits, in memory and on disk; lost parts are
     computed again, and the start depends on the seed only. A fit ends when the
     centres together move less than a share of the data's variance, so it
-    makes no passes that cannot matter at the scale of the data.
+    makes no passes that cannot matter at the scale of the data. Vectors of
+    another than the usual width, or with gaps, are left out.
     """
-    points = df.where(F.col(vec).isNotNull()).withColumn("features", array_to_vector(vec))
+    points = usual_width(df, vec).withColumn("features", array_to_vector(vec))
     held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         variance = held.select(Summarizer.variance(F.col("features"))).first()[0].toArray()
@@ -85,6 +85,13 @@ def kmeans(
     return KMeansResult(labelled, labels, centres, min(costs), costs)
 
 
+def usual_width(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """Rows whose vector has the width that most have (the least of equals) and no gaps."""
+    widths = df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("width")).count()
+    width = widths.orderBy(F.desc("count"), "width").limit(1).select("width").scalar()
+    return df.where((F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull()))
+
+
 def cluster_profile(df: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
     """(cluster, n, vec): size and centre of every cluster.
 
@@ -187,12 +194,10 @@ def assign(
     )
 
 
-def _distance_sums(x: np.ndarray, y: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
-    """Summed distance from each row of ``x`` to the rows of ``y`` per cluster code."""
+def _distance_sums(x: np.ndarray, y: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Summed distance from each row of ``x`` to the rows of ``y`` that each column marks."""
     squares = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)
     gaps = np.sqrt(np.maximum(squares - 2.0 * (x @ y.T), 0.0))
-    member = np.zeros((len(y), k))
-    member[np.arange(len(y)), codes] = 1.0
     return gaps @ member
 
 
@@ -202,125 +207,105 @@ def _scores(own: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     within = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
     means = sums / sizes
     means[rows, own] = np.inf
-    other = means.min(axis=1)
+    other = means.min(axis=1)  # infinite if there is one cluster
     with np.errstate(all="ignore"):
         score = (other - within) / np.maximum(other, within)
     return np.where((sizes[own] > 1) & np.isfinite(score), score, 0.0)
 
 
+def _labelled_silhouettes(points: DataFrame, id_col: str) -> DataFrame:
+    """(id, labels, scores): the silhouettes of rows (id, vec, labels) under several labellings.
+
+    ``labels`` has a cluster for each labelling. Distances are measured once
+    for all of them: the rows are sent out in blocks of a fixed size, and each
+    block is passed by all rows where they lie, adding in the row what it is
+    away from each cluster. So every pair is measured, and no pair is a row.
+    """
+    points = durable(usual_width(points, "vec"))
+    counts = points.select(F.posexplode("labels").alias("way", "cluster")).groupBy("way", "cluster")
+    table = counts.agg(F.count("*").alias("n")).orderBy("way", "cluster").collect()  # clusters
+    column = {(row.way, row.cluster): i for i, row in enumerate(table)}
+    sizes = np.array([row.n for row in table], dtype=np.float64)
+    ways = 1 + max((row.way for row in table), default=-1)
+    cells = points.agg(F.sum(F.size("vec"))).first()[0] or 0
+    blocks = -(-cells // SAMPLE_BLOCK_CELLS)
+    kind = points.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, vec array<double>, labels array<bigint>, sums array<double>"
+    vec = F.col("vec").cast("array<double>")
+    rows = points.select(id_col, vec.alias("vec"), "labels", F.lit(None).cast("array<double>").alias("sums"))
+    for number in range(blocks):
+        own = points.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == number)
+        sample = own.select("vec", "labels").toArrow().combine_chunks()
+        if not sample.num_rows:
+            continue
+        y = matrix(sample["vec"].combine_chunks(), len(sample["vec"][0]))
+        member = np.zeros((len(y), len(table)))
+        for i, labels in enumerate(sample["labels"].to_pylist()):
+            member[i, [column[way, cluster] for way, cluster in enumerate(labels)]] = 1.0
+        # Measured from the middle of the block, so that few digits cancel.
+        middle = y.mean(axis=0)
+        shared = points.sparkSession.sparkContext.broadcast((y - middle, member, middle))
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            y, member, middle = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    x = matrix(part.column(1), y.shape[1]) - middle
+                    sums = _distance_sums(x, y, member)
+                    if part.column(3).null_count == 0:
+                        sums += matrix(part.column(3), member.shape[1])
+                    ends = pa.array(np.arange(len(x) + 1) * member.shape[1], pa.int32())
+                    flat = pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:3], flat], names=[id_col, "vec", "labels", "sums"]
+                    )
+
+        rows = durable(rows.mapInArrow(add, schema))
+
+    starts = [min((i for (w, _), i in column.items() if w == way)) for way in range(ways)] + [len(table)]
+
+    @F.arrow_udf("array<double>")
+    def score(labels: pa.Array, sums: pa.Array) -> pa.Array:
+        every = matrix(sums, len(table))
+        lists = labels.to_pylist()
+        out = np.empty((len(lists), ways))
+        for way in range(ways):
+            part = slice(starts[way], starts[way + 1])
+            own = np.array([column[way, x[way]] - starts[way] for x in lists], dtype=np.int64)
+            out[:, way] = _scores(own, every[:, part].copy(), sizes[part])
+        ends = pa.array(np.arange(len(lists) + 1) * ways, pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+    return rows.select(id_col, "labels", score("labels", "sums").alias("scores"))
+
+
 def silhouette_samples(
-    df: DataFrame,
-    id_col: str = "id",
-    vec: str = "vec",
-    cluster: str = "cluster",
-    sample_cells: int = SAMPLE_CELLS,
-    block_rows: int = SAMPLE_BLOCK_ROWS,
+    df: DataFrame, id_col: str = "id", vec: str = "vec", cluster: str = "cluster"
 ) -> DataFrame:
     """(id, cluster, silhouette) by Euclidean distance, exact over the rows given.
 
-    The work grows with the square of the rows: give it a sample. Up to
-    ``sample_cells`` numbers the sample goes whole to the executors and each
-    batch of rows is measured against it. A larger one is cut into blocks and
-    pairs of blocks are measured as separate tasks.
+    The work grows with the square of the rows: name a sample, or use
+    :func:`silhouette_squared`. A single cluster scores 0. Rows without a
+    cluster, and vectors of another than the usual width, have no row.
     """
     points = df.where(F.col(vec).isNotNull() & F.col(cluster).isNotNull()).select(
-        F.col(id_col), F.col(vec).alias("vec"), F.col(cluster).cast("bigint").alias("cluster")
+        F.col(id_col), F.col(vec).alias("vec"), F.array(F.col(cluster).cast("bigint")).alias("labels")
     )
-    points = durable(points)  # drawn once, read several times
-    shape = points.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if shape.n * (shape.d or 1) > sample_cells:
-        return _silhouette_blocks(points, id_col, max(shape.n // block_rows, 1))
-    whole = points.select("vec", "cluster").toArrow().combine_chunks()
-    y = matrix(whole["vec"].combine_chunks(), shape.d or 1)
-    names, codes = np.unique(whole["cluster"].to_numpy(), return_inverse=True)
-    sizes = np.bincount(codes, minlength=len(names))
-    # Measured from the centre of the sample, so that few digits cancel.
-    centre = y.mean(axis=0) if len(y) else 0.0
-    sample = df.sparkSession.sparkContext.broadcast(y - centre)
-
-    @F.arrow_udf("double")
-    def score(vectors: pa.Array, clusters: pa.Array) -> pa.Array:
-        x = matrix(vectors, sample.value.shape[1]) - centre
-        own = np.searchsorted(names, clusters.to_numpy(zero_copy_only=False))
-        out = np.empty(len(x))
-        for start in range(0, len(x), 1024):
-            part = slice(start, start + 1024)
-            sums = np.zeros((len(x[part]), len(names)))
-            for at in range(0, len(codes), 8192):
-                near = slice(at, at + 8192)
-                sums += _distance_sums(x[part], sample.value[near], codes[near], len(names))
-            out[part] = _scores(own[part], sums, sizes)
-        return pa.array(out)
-
-    if len(names) < 2:
-        return points.select(id_col, "cluster", F.lit(0.0).alias("silhouette"))
-    return points.select(id_col, "cluster", score("vec", "cluster").alias("silhouette"))
-
-
-def _silhouette_blocks(points: DataFrame, id_col: str, blocks: int) -> DataFrame:
-    """The same scores from block pairs; only distance sums are shuffled on."""
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.select(id_col, "vec", block.alias("lb"), every.alias("rb"))
-    right = points.select("vec", "cluster", block.alias("rb"), every.alias("lb"))
-    kind = points.schema[id_col].dataType.simpleString()
-
-    def pair_sums(rows: pa.Table, others: pa.Table) -> pa.Table:
-        names, codes = np.unique(others["cluster"].to_numpy(), return_inverse=True)
-        ids = rows[id_col].combine_chunks()
-        if len(ids) and len(codes):
-            width = len(rows["vec"][0])
-            x = matrix(rows["vec"].combine_chunks(), width)
-            y = matrix(others["vec"].combine_chunks(), width)
-            sums = _distance_sums(x, y, codes, len(names))
-        else:
-            sums = np.zeros((len(ids), len(names)))
-        at = np.repeat(np.arange(len(ids)), len(names))
-        return pa.table(
-            {
-                id_col: ids.take(pa.array(at)),
-                "other": np.tile(names, len(ids)),
-                "total": sums.ravel(),
-            }
-        )
-
-    sums = (
-        left.groupBy("lb", "rb")
-        .cogroup(right.groupBy("lb", "rb"))
-        .applyInArrow(pair_sums, f"`{id_col}` {kind}, other bigint, total double")
-        .groupBy(id_col, "other")
-        .agg(F.sum("total").alias("total"))
-    )
-    sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("size"))
-    own = F.col("other") == F.col("cluster")
-    measured = (
-        sums.join(sizes, "other")
-        .join(points.select(id_col, "cluster"), id_col)
-        .groupBy(id_col, "cluster")
-        .agg(
-            F.max(F.when(own, F.col("size"))).alias("size"),
-            F.max(F.when(own, F.col("total"))).alias("within"),
-            F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"),
-        )
-    )
-    a = F.col("within") / F.greatest(F.col("size") - 1, F.lit(1))
-    score = F.try_divide(F.col("b") - a, F.greatest(F.col("b"), a))
-    return measured.select(
-        id_col,
-        "cluster",
-        F.when(F.col("size") > 1, F.coalesce(score, F.lit(0.0))).otherwise(0.0).alias("silhouette"),
+    return _labelled_silhouettes(points, id_col).select(
+        id_col, F.get("labels", F.lit(0)).alias("cluster"), F.get("scores", F.lit(0)).alias("silhouette")
     )
 
 
 def silhouette(
     df: DataFrame,
-    sample_n: int | None = 10_000,
+    sample_n: int | None = None,
     seed: int = 42,
     id_col: str = "id",
     vec: str = "vec",
     cluster: str = "cluster",
 ) -> DataFrame:
-    """One row: the mean silhouette of ``sample_n`` rows among themselves."""
+    """One row: the mean silhouette of ``sample_n`` rows, or of all, among themselves."""
     rows = df if sample_n is None else take_sample(df, sample_n, id_col, seed)
     return silhouette_samples(rows, id_col, vec, cluster).agg(
         F.avg("silhouette").alias("silhouette")
@@ -339,27 +324,35 @@ def silhouette_squared(df: DataFrame, vec: str = "vec", cluster: str = "cluster"
 def sweep(
     df: DataFrame,
     ks: Sequence[int] = SWEEP_KS,
-    sample_n: int | None = 100_000,
-    silhouette_n: int | None = 10_000,
+    sample_n: int | None = None,
+    silhouette_n: int | None = None,
     n_init: int = SWEEP_RESTARTS,
     seed: int = 42,
     id_col: str = "id",
     vec: str = "vec",
 ) -> DataFrame:
-    """(k, score, cost) for every k, fitted on one sample of the rows.
+    """(k, score, cost) for every k, fitted on ``sample_n`` of the rows, or on all.
 
-    The loop is over k; each fit and each score is a Spark job.
+    Each fit is a Spark job of its own. Scores are silhouettes among
+    ``silhouette_n`` of those rows, measured for all k in one pass.
     """
     rows = df if sample_n is None else take_sample(df, sample_n, id_col, seed)
-    held = rows.select(id_col, vec).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        results = []
-        for k in ks:
-            fit = kmeans(held, k, n_init, seed, id_col=id_col, vec=vec)
-            score = silhouette(fit.labelled, silhouette_n, seed, id_col, vec).first()[0]
-            results.append((k, float(score), float(fit.cost)))
-    finally:
-        held.unpersist()
+    held = durable(rows.select(id_col, vec))
+    scored = held if silhouette_n is None else take_sample(held, silhouette_n, id_col, seed)
+    costs = []
+    labelled = durable(scored.withColumn("labels", F.array().cast("array<bigint>")))
+    for k in ks:
+        fit = kmeans(held, k, n_init, seed, id_col=id_col, vec=vec)
+        costs.append(float(fit.cost))
+        own = assign(labelled, fit.centres, id_col, vec).select(id_col, "cluster")
+        both = labelled.join(own, id_col).withColumn(
+            "labels", F.concat("labels", F.array(F.col("cluster").cast("bigint")))
+        )
+        labelled = durable(both.drop("cluster"))
+    points = labelled.where(F.get("labels", F.lit(0)).isNotNull()).withColumnRenamed(vec, "vec")
+    scores = _labelled_silhouettes(points, id_col)
+    means = scores.agg(*[F.avg(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(len(ks))]).first()
+    results = [(int(k), means[i], costs[i]) for i, k in enumerate(ks)]
     return df.sparkSession.createDataFrame(results, "k int, score double, cost double")
 
 
@@ -371,16 +364,18 @@ def choose_k(scores: DataFrame) -> int:
 def best_clustering(
     df: DataFrame,
     ks: Sequence[int] = FINE_SWEEP_KS,
-    sample_n: int | None = 200_000,
-    silhouette_n: int | None = 25_000,
+    sample_n: int | None = None,
+    silhouette_n: int | None = None,
     n_init: int = SWEEP_RESTARTS,
     seed: int = 42,
     id_col: str = "id",
     vec: str = "vec",
-) -> tuple[DataFrame, KMeansResult]:
-    """Choose k on a sample, then fit all rows with it: (scores, fit)."""
+) -> tuple[DataFrame, KMeansResult, float]:
+    """Choose k on a sample, then fit all rows with it: (scores, fit, score of the fit)."""
     scores = sweep(df, ks, sample_n, silhouette_n, n_init, seed, id_col, vec)
-    return scores, kmeans(df, choose_k(scores), n_init, seed, id_col=id_col, vec=vec)
+    fit = kmeans(df, choose_k(scores), n_init, seed, id_col=id_col, vec=vec)
+    final = silhouette(fit.labelled, silhouette_n, seed, id_col, vec).first()[0]
+    return scores, fit, final
 
 
 def cluster_subset(df: DataFrame, start: int, end: int, cluster: str = "cluster") -> DataFrame:

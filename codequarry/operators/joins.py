@@ -2,54 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup table is broadcast up to this many rows; beyond it the join is
-# salted. Counted, not guessed.
-BROADCAST_ROWS = 100_000
-SHARDS = 16
 
+def lookup_join(facts: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left lookup into a table with one row per key.
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    Nothing is forced: Spark broadcasts the table if its bytes are few, and
+    adaptive execution splits the partition of a hot key, the facts' side of a
+    left join, over several tasks.
+    """
+    return facts.join(table, key, "left")
 
 
-def lookup_join(
-    facts: DataFrame,
-    table: DataFrame,
-    key: str,
-    spread_on: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
-    shards: int = SHARDS,
-) -> DataFrame:
-    """Left lookup into a table with one row per key, safe for a hot key.
-
-    A table of checked size is broadcast and the facts do not move. A larger
-    one is copied into ``shards`` shards and the facts are spread over them by
-    a hash of ``spread_on``, so the rows of one key meet in ``shards`` tasks.
-    """
-    if is_small(table.select(key), broadcast_rows):
-        return facts.join(F.broadcast(table), key, "left")
-    shard = F.pmod(F.xxhash64(*spread_on), F.lit(shards)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    return (
-        facts.withColumn("_shard", shard)
-        .join(table.withColumn("_shard", copies), [key, "_shard"], "left")
-        .drop("_shard")
-    )
-
-
-def attach_repo(files: DataFrame, repos: DataFrame, spread_on: str = "file") -> DataFrame:
+def attach_repo(files: DataFrame, repos: DataFrame) -> DataFrame:
     """Files by archive name to the lowest repository index of that name.
 
     A file of an archive with no known repository keeps NULL.
     """
     by_name = repos.groupBy(F.col("name").alias("archive")).agg(F.min("index").alias("repo"))
-    return lookup_join(files, by_name, "archive", [spread_on])
+    return lookup_join(files, by_name, "archive")
 
 
 def join_coords(coords: DataFrame, clusters: DataFrame, key: str = "id") -> DataFrame:

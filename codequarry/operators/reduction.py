@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -15,9 +14,10 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.functions.vectors import lengths, matrix, norm2  # noqa: F401
+from codequarry.functions.vectors import lengths, matrix
 from codequarry.operators.rows import cumulative
 from codequarry.operators.sampling import sample_frac
+from codequarry.session import durable
 
 # Components kept for text, and for vectors before clustering
 # and before plotting.
@@ -26,10 +26,6 @@ CLUSTER_COMPONENTS = 100
 PLOT_COMPONENTS = 2
 
 
-# Columns up to which the d × d products of an SVD fit on the driver.
-GRAM_COLUMNS = 2048
-
-
 def fix_signs(components: np.ndarray) -> np.ndarray:
     """Turn each column so that its largest entry is positive."""
     peaks = np.abs(components).argmax(axis=0)
@@ -121,11 +117,18 @@ def project_sparse(features: Column, components: np.ndarray) -> Column:
 
     @F.arrow_udf("array<double>")
     def scores(indices: pa.Array, values: pa.Array) -> pa.Array:
-        out = np.empty((len(values), k))
-        for row, (where, weights) in enumerate(zip(indices, values)):
-            weight = weights.values.to_numpy(zero_copy_only=False)
-            at = slice(None) if not where.is_valid else where.values.to_numpy()
-            out[row] = weight @ components[at]
+        weights = values.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(values.offsets.to_numpy())
+        if indices.null_count:  # dense rows name no columns
+            given = [np.arange(n) if x is None else x for x, n in zip(indices.to_pylist(), sizes)]
+            columns = np.concatenate([np.zeros(0, np.int64), *given]).astype(np.int64)
+        else:
+            columns = indices.flatten().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(values), k))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(components[columns] * weights[:, None], starts, axis=0)
         ends = pa.array(np.arange(len(out) + 1) * k, pa.int32())
         return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
 
@@ -133,29 +136,31 @@ def project_sparse(features: Column, components: np.ndarray) -> Column:
 
 
 def fit_svd(
-    df: DataFrame, k: int = TEXT_COMPONENTS, features: str = "features"
+    df: DataFrame, k: int = TEXT_COMPONENTS, features: str = "features", solver: str = "gram"
 ) -> tuple[SvdModel, DataFrame]:
     """Truncated SVD of uncentred rows: (model, ``df`` with score column ``vec``).
 
-    Up to ``GRAM_COLUMNS`` columns, one pass sums the outer products and the
-    driver solves a d × d problem. Beyond it Spark's iterative solver makes a
-    pass per step and the driver holds d × k numbers. Ratios are the variance
-    of each score column over the total variance of the input columns.
+    The ``gram`` solver sums the outer products in one pass and the driver
+    solves a d × d problem, for up to some thousand columns. ``steps`` makes a
+    pass for each step of Spark's iterative solver and the driver holds d × k
+    numbers. Ratios are the variance of each score column over the total
+    variance of the input columns. The features are written once and read by
+    every pass.
     """
-    held = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        metrics = Summarizer.metrics("count", "mean", "variance").summary(F.col(features))
-        seen = held.select(metrics.alias("s")).first().s
-        rows = RowMatrix(MLUtils.convertVectorColumnsFromML(held, features))
-        if seen.mean.size <= GRAM_COLUMNS:
-            squares, vectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
-            top = np.argsort(squares)[::-1][:k]
-            singular, components = np.sqrt(np.maximum(squares[top], 0.0)), vectors[:, top]
-        else:
-            found = rows.computeSVD(k)
-            singular, components = found.s.toArray(), found.V.toArray()
-    finally:
-        held.unpersist()
+    if solver not in ("gram", "steps"):
+        raise ValueError("solver must be gram or steps")
+    df = durable(df)
+    held = df.select(features)
+    metrics = Summarizer.metrics("count", "mean", "variance").summary(F.col(features))
+    seen = held.select(metrics.alias("s")).first().s
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(held, features))
+    if solver == "gram":
+        squares, vectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
+        top = np.argsort(squares)[::-1][:k]
+        singular, components = np.sqrt(np.maximum(squares[top], 0.0)), vectors[:, top]
+    else:
+        found = rows.computeSVD(k)
+        singular, components = found.s.toArray(), found.V.toArray()
     components = fix_signs(components)
     # A score column's sum of squares is its singular value squared, so its
     # variance needs no further pass.

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Rows a single task may sort for a limit; a longer slice goes by row number.
-LIMIT_ROWS = 100_000
-_SAMPLE_CELLS = 4096
+from codequarry.session import durable
 
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -20,10 +18,7 @@ def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:
     """Rows ``start`` to ``end - 1`` in a stated, unique order."""
-    if end <= LIMIT_ROWS:
-        return df.orderBy(*order).offset(start).limit(max(end - start, 0))
-    numbered = with_row_index(df, order, "_row")
-    return numbered.where((F.col("_row") >= start) & (F.col("_row") < end)).drop("_row")
+    return df.orderBy(*order).offset(start).limit(max(end - start, 0))
 
 
 def filter_len(
@@ -63,98 +58,50 @@ def argmax_row(df: DataFrame, score: str, tie: str) -> DataFrame:
     return top_n(df, score, 1, tie)
 
 
-def _splitters(df: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
-    """At most ``buckets - 1`` order keys that cut the rows into like parts.
-
-    One row is drawn from each of 4,096 hash cells, so the sample is even
-    whatever the file order is, and its size does not grow with the table.
-    """
-    if buckets < 2:
-        return []
-    key = F.struct(*order)
-    mixed = F.xxhash64(F.lit("cut"), *[F.col(c) for c in order])
-    sample = (
-        df.groupBy(F.pmod(F.xxhash64(*order), F.lit(_SAMPLE_CELLS)).alias("_cell"))
-        .agg(F.max_by(key, mixed).alias("_key"))
-        .select("_key.*")
-        .orderBy(*order)
-        .collect()
-    )
-    step = max(len(sample) / buckets, 1.0)
-    cuts = {int(i * step) for i in range(1, buckets) if int(i * step) < len(sample)}
-    return [tuple(sample[i]) for i in sorted(cuts)]
+# Spark numbers rows within a partition in the low bits, partitions above them.
+_ROW_BITS = 33
 
 
-def _bucket(df: DataFrame, order: Sequence[str], cuts: list[tuple]) -> Column:
-    """How many cuts lie at or below the row's order key: its range bucket.
-
-    Two comparisons sweeps of about √n cuts each, rather than one of n.
-    """
-    if not cuts:
-        return F.lit(0)
-    types = [df.schema[c].dataType for c in order]
-    key = F.struct(*order)
-
-    def literal(cut: tuple) -> Column:
-        pairs = zip(order, cut, types)
-        return F.struct(*[F.lit(value).cast(t).alias(c) for c, value, t in pairs])
-
-    stride = max(int(len(cuts) ** 0.5), 1)
-    runs = [cuts[i : i + stride] for i in range(0, len(cuts), stride)]
-    heads = F.array(*[literal(run[0]) for run in runs])
-    bodies = F.array(*[F.array(*[literal(cut) for cut in run]) for run in runs])
-    run = F.size(F.filter(heads, lambda cut: cut <= key)) - 1
-    within = F.size(F.filter(F.get(bodies, run), lambda cut: cut <= key))
-    return F.when(run < 0, 0).otherwise(run * stride + within)
-
-
-def _scan(
-    df: DataFrame, order: Sequence[str], partial: Column, running, out: str
-) -> DataFrame:
-    """Prefix aggregate in a global order without a one-task window.
+def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` in order, with its partition and its place there, written once.
 
-    Rows go to range buckets through fixed cuts, so both passes agree on the
-    buckets even if a task is run again. One pass totals each bucket; the
-    totals, one row per bucket, become offsets; the other pass runs inside
-    the buckets.
+    Spark's range partitioner samples the order and sorts the ranges. What it
+    decided is kept with the rows, so a task that is run again, or another
+    reader, sees the same places.
     """
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _splitters(df, order, buckets)
-    inside = running(Window.partitionBy("_bucket").orderBy(*order))
-    bucketed = df.withColumn("_bucket", _bucket(df, order, cuts))
-    if not cuts:
-        return bucketed.withColumn(out, inside).drop("_bucket")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        bucketed.groupBy("_bucket")
-        .agg(partial.alias("_part"))
-        .select("_bucket", F.coalesce(F.sum("_part").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        bucketed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_bucket")  # at most one row per bucket
-        .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_bucket", "_inside", "_offset")
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = durable(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_at", _ROW_BITS)).withColumn(
+        "_at", F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1)
     )
 
 
+def _offsets(numbered: DataFrame, total: Column) -> DataFrame:
+    """What all partitions before each one add up to: a row for each partition."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = numbered.groupBy("_part").agg(total.alias("_total"))
+    return parts.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+
+
 def with_row_index(df: DataFrame, order: Sequence[str], out: str = "row") -> DataFrame:
-    """0-based row number in a stated, unique order."""
-    return _scan(
-        df,
-        order,
-        F.count("*"),
-        lambda window: F.row_number().over(window).cast("bigint") - 1,
-        out,
+    """0-based row number in a stated order; equal rows are numbered in turn."""
+    numbered = _numbered(df, order)
+    offsets = _offsets(numbered, F.count("*"))
+    return (
+        numbered.join(F.broadcast(offsets), "_part")  # one row for each partition
+        .withColumn(out, F.col("_at") + F.col("_offset"))
+        .drop("_part", "_at", "_offset")
     )
 
 
 def cumulative(df: DataFrame, order: Sequence[str], col: str, out: str) -> DataFrame:
-    """Running total of ``col`` in a stated, unique order."""
-    return _scan(
-        df,
-        order,
-        F.sum(col),
-        lambda window: F.sum(col).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-        out,
+    """Running total of ``col`` in a stated order."""
+    numbered = _numbered(df, order)
+    offsets = _offsets(numbered, F.sum(col))
+    upto = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        numbered.withColumn("_inside", F.sum(col).over(upto))
+        .join(F.broadcast(offsets), "_part")  # one row for each partition
+        .withColumn(out, F.coalesce("_inside", F.lit(0)) + F.col("_offset"))
+        .drop("_part", "_at", "_inside", "_offset")
     )

@@ -6,20 +6,19 @@ the other rows or on which executor runs it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.operators.joins import BROADCAST_ROWS
-from codequarry.operators.rows import LIMIT_ROWS, with_row_index
+from codequarry.operators.rows import with_row_index
 
 # Fixed value: the share of rows held out for testing.
 TEST_SHARE = 0.15
 
 
 def draw(key: str | Column, seed: int | str) -> Column:
-    """32 hex digits, uniform over keys."""
+    """32 hex digits, uniform over keys; NULL is a key like any other."""
     column = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("\0"))))
 
 
 def unit_draw(key: str | Column, seed: int | str) -> Column:
@@ -36,57 +35,52 @@ def sample_frac(df: DataFrame, frac: float, key: str, seed: int = 42) -> DataFra
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) without replacement.
 
-    The rows with the ``n`` lowest draws: one filter on the draw at place n.
+    The rows with the ``n`` lowest draws. Draws are counted by their leading
+    digits, four more at a time, until one row, or rows of one draw, stand at
+    place n; what lies below is one filter. Rows of one key share a draw: of
+    those at place n, the lowest by their whole content fill the number up.
     Whole rows are never sorted or brought together, whatever ``n`` is.
     """
     if n <= 0:
         return df.limit(0)
-    place = F.struct(draw(key, seed).alias("d"), F.col(key).alias("k"))
-    last = _place_of(df.select(place.alias("place")).select("place.*"), n)
-    if last is None:
-        return df
-    kind = df.schema[key].dataType
-    return df.where(place <= F.struct(F.lit(last.d).alias("d"), F.lit(last.k).cast(kind).alias("k")))
-
-
-def _place_of(draws: DataFrame, n: int) -> Row | None:
-    """The ``n``-th lowest (draw, key), or None if there are fewer.
-
-    Draws are counted by their leading digits, four at a time, until those
-    that share the digits of the n-th are few enough to sort.
-    """
-    near = draws
-    digits = 0
+    place = draw(key, seed)
+    draws = df.select(place.alias("d"))
+    prefix, digits = "", 0
     while True:
         digits += 4
+        near = draws.where(F.startswith("d", F.lit(prefix)))
         cells = near.groupBy(F.substring("d", 1, digits).alias("cell")).agg(F.count("*").alias("n"))
         for cell in cells.orderBy("cell").collect():  # at most 16 ** 4 rows
             if cell.n >= n:
                 break
             n -= cell.n
         else:
-            return None
-        near = draws.where(F.startswith("d", F.lit(cell.cell)))
-        if cell.n <= LIMIT_ROWS or digits == 32:
-            return near.orderBy("d", "k").offset(n - 1).limit(1).first()
+            return df
+        prefix = cell.cell
+        if cell.n == 1 or digits == 32:
+            break
+    whole = F.xxhash64(*[F.col(c) for c in df.columns])
+    below = df.where(F.substring(place, 1, digits) < prefix)
+    return below.union(df.where(F.startswith(place, F.lit(prefix))).orderBy(key, whole).limit(n))
 
 
 def sample_n_repl(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` draws with replacement, as rows with the number of the draw.
 
-    Keys alone are numbered; the draws pick numbers; the picked keys pick rows.
+    Rows are numbered in key order and the draws pick numbers, so repeated and
+    NULL keys are drawn as often as any.
     """
-    numbered = with_row_index(df.select(key), [key], "_row")
-    total = df.count()
+    numbered = with_row_index(df, [key], "_row")
+    total = numbered.count()
+    if not total:
+        return df.withColumn("draw", F.lit(0).cast("bigint")).limit(0)
     bits = F.conv(F.substring(draw("draw", seed), 1, 12), 16, 10).cast("bigint")
     draws = (
         df.sparkSession.range(n)
         .withColumnRenamed("id", "draw")
-        .withColumn("_row", F.pmod(bits, F.lit(max(total, 1))))
+        .withColumn("_row", F.pmod(bits, F.lit(total)))
     )
-    few = n <= BROADCAST_ROWS
-    picked = numbered.join(F.broadcast(draws) if few else draws, "_row").drop("_row")
-    return df.join(F.broadcast(picked) if few else picked, key)
+    return numbered.join(draws, "_row").drop("_row")
 
 
 def split(

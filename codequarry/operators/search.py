@@ -7,13 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from codequarry.functions.text import search_text
 from codequarry.functions.vectors import against, measure, measure_to, metric_kernel
-from codequarry.operators.joins import BROADCAST_ROWS, pair_vectors
+from codequarry.operators.joins import pair_vectors
 
 # Results shown for a snippet, for a dot-product ranking, for a
 # search on whole vectors and for a search on latent points.
@@ -22,13 +24,8 @@ TOP_DOT = 5
 TOP_FULL = 100
 TOP_LATENT = 500
 
-# Query numbers per block of a batch search (8 MiB of doubles), blocks that go
-# through the driver, vectors per block where blocks meet in a shuffle, and
-# winners whose ids are listed in a filter.
+# Query numbers per block of a batch search: 8 MiB of doubles.
 QUERY_BLOCK_CELLS = 1 << 20
-DRIVER_BLOCKS = 16
-VECTOR_BLOCK_ROWS = 1 << 16
-LISTED_IDS = 1000
 
 
 def query_vector(df: DataFrame, key, id_col: str = "id", vec: str = "vec") -> list[float]:
@@ -76,115 +73,56 @@ def knn_hydrated(
 ) -> DataFrame:
     """:func:`knn` with the columns of ``texts``; an id without text keeps NULLs.
 
-    The winners are found first. Their ids then go to the text scan as a pushed
-    filter, so finding k texts does not shuffle the text table.
+    The winners, k rows, are broadcast to the texts, which do not move.
     """
     winners = knn(vectors, query, k, metric, p, farthest, id_col, vec)
-    return _attach(winners, k, [texts], id_col)
+    return _attach(winners, [texts], id_col)
 
 
-def _attach(winners: DataFrame, k: int, tables: Sequence[DataFrame], id_col: str) -> DataFrame:
-    """At most ``k`` winners with the columns of each table, NULL where it lacks an id."""
-    if k > BROADCAST_ROWS:
-        return reduce(lambda out, table: out.join(table, id_col, "left"), tables, winners)
-    rows = winners.collect()  # at most k
-    found = winners.sparkSession.createDataFrame(rows, winners.schema)
-    ids = [row[id_col] for row in rows]
-    out = found
+def _attach(winners: DataFrame, tables: Sequence[DataFrame], id_col: str) -> DataFrame:
+    """Winners with the columns of each table, NULL where it lacks an id.
+
+    Each table is cut down to the winners' ids by a join they are broadcast
+    into: they are the k rows of a limit.
+    """
+    out = winners
     for table in tables:
-        if k <= LISTED_IDS:
-            wanted = table.where(F.col(id_col).isin(ids))
-        else:
-            wanted = table.join(F.broadcast(found.select(id_col)), id_col, "left_semi")
+        wanted = table.join(F.broadcast(winners.select(id_col)), id_col, "left_semi")
         out = out.join(wanted, id_col, "left")
     return out
 
 
 class _Best:
-    """The best ``k`` (score, id) per query seen so far by one task."""
+    """The best ``k`` (badness, id) of each query that one task has seen."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, kind: pa.DataType):
         self.k = k
-        self.scores = [np.empty(0) for _ in range(queries)]
-        self.ids = [np.empty(0, dtype=np.int64) for _ in range(queries)]
-
-    def add(self, q: int, badness: np.ndarray, ids: np.ndarray) -> None:
-        usable = np.isfinite(badness)
-        if len(self.scores[q]) == self.k:
-            usable &= badness <= self.scores[q][-1]
-        scores = np.concatenate([self.scores[q], badness[usable]])
-        keys = np.concatenate([self.ids[q], ids[usable]])
-        order = np.lexsort((keys, scores))[: self.k]
-        self.scores[q], self.ids[q] = scores[order], keys[order]
-
-
-def _search_block(
-    df: DataFrame,
-    block: list[tuple[int, list[float]]],
-    k: int,
-    metric: str,
-    p: float,
-    id_col: str,
-    vec: str,
-) -> DataFrame:
-    kernel, larger_is_nearer = metric_kernel(metric, p)
-    sign = -1.0 if larger_is_nearer else 1.0
-    queries = [(qid, np.asarray(q, dtype=np.float64)) for qid, q in block]
-
-    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(queries), k)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for q, (_, target) in enumerate(queries):
-                best.add(q, sign * against(kernel, batch.column(1), target), ids)
-        qids = np.repeat([qid for qid, _ in queries], [len(s) for s in best.scores])
-        columns = [
-            pa.array(qids.astype(np.int64)),
-            pa.array(np.concatenate([np.empty(0, np.int64), *best.ids])),
-            pa.array(sign * np.concatenate([np.empty(0), *best.scores])),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["qid", id_col, "score"])
-
-    narrow = df.select(F.col(id_col).cast("bigint").alias(id_col), vec)
-    return narrow.mapInArrow(best_of_task, f"qid bigint, {id_col} bigint, score double")
-
-
-def _search_pairs(
-    df: DataFrame, queries: DataFrame, blocks: int, k: int, metric: str, p: float, id_col: str, vec: str
-) -> DataFrame:
-    """Best ``k`` per query and block of vectors; both sides are shuffled in blocks."""
+        self.badness = np.empty((queries, 0))
+        self.rows = np.empty((queries, 0), np.int64)
+        self.ids = pa.array([], kind)
+
+    def add(self, badness: np.ndarray, ids: pa.Array) -> None:
+        """``badness`` has a row for each query and a column for each id."""
+        together = np.concatenate([self.badness, np.where(np.isfinite(badness), badness, np.inf)], axis=1)
+        first = len(self.ids)
+        new = np.broadcast_to(np.arange(first, first + badness.shape[1]), badness.shape)
+        rows = np.concatenate([self.rows, new], axis=1)
+        every = pa.concat_arrays([self.ids, ids])
+        rank = np.empty(len(every), np.int64)
+        rank[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+        keep = np.lexsort((rank[rows], together))[:, : self.k]
+        self.badness = np.take_along_axis(together, keep, 1)
+        rows = np.take_along_axis(rows, keep, 1)
+        used, self.rows = np.unique(rows, return_inverse=True)
+        self.rows = self.rows.reshape(rows.shape)
+        self.ids = every.take(pa.array(used))
+
+
+def _badness(metric: str, p: float, queries: list[np.ndarray], vectors: pa.Array) -> np.ndarray:
+    """How far each vector is from each query; NaN where it cannot be told."""
     kernel, larger_is_nearer = metric_kernel(metric, p)
     sign = -1.0 if larger_is_nearer else 1.0
-    rows = max(df.count() // VECTOR_BLOCK_ROWS, 1)
-    every_row_block = F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("vb")
-    every_query_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb")
-    left = df.select(
-        F.col(id_col).cast("bigint").alias("id"),
-        F.col(vec).alias("vec"),
-        F.pmod(F.xxhash64(id_col), F.lit(rows)).cast("int").alias("vb"),
-        every_query_block,
-    )
-    right = queries.select(
-        "qid", "qvec", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("qb"), every_row_block
-    )
-
-    def best_of_pair(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        best = _Best(len(asked), k)
-        ids = vectors["id"].to_numpy()
-        block = vectors["vec"].combine_chunks()
-        for q, target in enumerate(asked["qvec"].to_pylist()):
-            best.add(q, sign * against(kernel, block, np.asarray(target, np.float64)), ids)
-        qids = np.repeat(asked["qid"].to_numpy(), [len(s) for s in best.scores])
-        return pa.table(
-            {
-                "qid": qids.astype(np.int64),
-                id_col: np.concatenate([np.empty(0, np.int64), *best.ids]),
-                "score": sign * np.concatenate([np.empty(0), *best.scores]),
-            }
-        )
-
-    pairs = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-    return pairs.applyInArrow(best_of_pair, f"qid bigint, {id_col} bigint, score double")
+    return sign * np.stack([against(kernel, vectors, query) for query in queries])
 
 
 def knn_batch(
@@ -198,23 +136,51 @@ def knn_batch(
 ) -> DataFrame:
     """(qid, id, score, rank): the ``k`` nearest rows to each of many queries.
 
-    ``queries`` holds (qid bigint, qvec). Their size is measured first. Up to
-    ``DRIVER_BLOCKS`` blocks of a fixed size are sent to the executors, a pass
-    over the vectors each. More queries than that stay on the executors: blocks
-    of queries meet blocks of vectors in a shuffle. Either way a task returns
-    at most ``k`` rows per query, and Spark ranks those.
+    ``queries`` holds (qid, qvec). They are taken in blocks of a fixed size;
+    a block goes to every executor and the vectors are passed over once for
+    it, where they lie. A task returns at most ``k`` rows per query, which
+    Spark ranks.
     """
-    cells = queries.agg(F.sum(F.size("qvec"))).first()[0] or 0
-    count = int(cells // QUERY_BLOCK_CELLS) + 1
-    if count > DRIVER_BLOCKS:
-        found = _search_pairs(df, queries, count, k, metric, p, id_col, vec)
-    else:
-        asked = [(row.qid, list(row.qvec)) for row in queries.select("qid", "qvec").collect()]
-        size = max(-(-len(asked) // count), 1)
-        blocks = [asked[at : at + size] for at in range(0, len(asked), size)] or [[]]
-        parts = [_search_block(df, block, k, metric, p, id_col, vec) for block in blocks]
-        found = reduce(DataFrame.union, parts)
+    spark = df.sparkSession
+    qid_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "qid"), (df, id_col)))
     _, larger_is_nearer = metric_kernel(metric, p)
+    sign = -1.0 if larger_is_nearer else 1.0
+    schema = f"qid {qid_kind}, `{id_col}` {id_kind}, score double"
+
+    def best_in(block: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)  # QUERY_BLOCK_CELLS numbers or so
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            targets = [np.asarray(vector, np.float64) for _, vector in shared.value]
+            best = None
+            for batch in batches:
+                best = best or _Best(len(targets), k, batch.column(0).type)
+                best.add(_badness(metric, p, targets, batch.column(1)), batch.column(0))
+            if best is not None:
+                found = np.isfinite(best.badness)
+                of, _ = np.nonzero(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([shared.value[i][0] for i in of.tolist()], qid_type),
+                        best.ids.take(pa.array(best.rows[found])),
+                        pa.array(sign * best.badness[found]),
+                    ],
+                    names=["qid", id_col, "score"],
+                )
+
+        return df.select(id_col, vec).mapInArrow(run, schema)
+
+    qid_type = to_arrow_type(queries.schema["qid"].dataType)
+    parts, block, cells = [], [], 0
+    for row in queries.select("qid", "qvec").where("qvec IS NOT NULL").toLocalIterator():
+        block.append((row.qid, row.qvec))
+        cells += len(row.qvec)
+        if cells >= QUERY_BLOCK_CELLS:
+            parts.append(best_in(block))
+            block, cells = [], 0
+    if block or not parts:
+        parts.append(best_in(block) if block else spark.createDataFrame([], schema))
+    found = reduce(DataFrame.union, parts)
     best = F.desc("score") if larger_is_nearer else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(best, id_col))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -257,4 +223,4 @@ def text_search(
         found = knn(vectors.limit(0), [0.0], 1, metric, p, False, id_col, vec)
     else:
         found = knn(vectors, row.vec, k, metric, p, False, id_col, vec)
-    return _attach(found, k, attach, id_col) if attach else found
+    return _attach(found, attach, id_col) if attach else found

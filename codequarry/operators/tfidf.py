@@ -18,15 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.session import durable, spread
+from codequarry.session import durable
 
 # Fixed value: a token is a run of two or more word characters, any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-# A term in more than one part in HOT_PARTS of all postings is spread over
-# SHARDS tasks. At most HOT_PARTS terms can be that frequent.
-HOT_PARTS = 2_000
-SHARDS = 32
+# Postings of one term that one task is to hold; a term with more is spread.
+SHARD_POSTINGS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -39,8 +37,7 @@ def term_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
     Sorting the words puts equal ones next to each other; where a run starts
     and where the next one starts give its length.
     """
-    texts = spread(df.select(id_col, text), id_col)
-    words = texts.select(id_col, F.sort_array(tokens(F.col(text))).alias("w"))
+    words = df.select(id_col, F.sort_array(tokens(F.col(text))).alias("w"))
     # An array is not a cheap expression, so Spark keeps these steps apart
     # and sorts once per row.
     places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
@@ -68,23 +65,21 @@ def tfidf(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     """(id, term, weight) with smoothed idf and rows of length one.
 
     ``idf = ln((1 + n) / (1 + df)) + 1``; n counts every text, also one with no
-    terms. The counts, one row per term, are used three times and are written
-    to the shared folder. The postings move twice: to meet their term's idf,
-    and to be scaled by their text's length. Frequent terms are known from the
-    counts, so only their rows are salted.
+    terms. The postings are written to the shared folder, so texts are read
+    and parted once; document counts come from the copy. The postings move
+    twice: to meet their term's idf, in as many shards as the term's count
+    asks for, and to be scaled by their text's length.
     """
-    postings = term_counts(df, id_col, text)
+    postings = durable(term_counts(df, id_col, text))
     total = df.agg(F.count("*")).scalar()
-    counts = durable(document_counts(postings))
-    hot_mark = counts.agg(F.sum("df")).scalar() / HOT_PARTS
-    shards = F.when(F.col("df") > hot_mark, F.lit(SHARDS)).otherwise(F.lit(1))
-    idf = counts.select(
+    shards = F.ceil(F.col("df") / SHARD_POSTINGS).cast("int")
+    idf = durable(document_counts(postings)).select(
         "term",
         (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
         shards.alias("shards"),
     )
-    hot = idf.where("shards > 1").select("term", "shards")  # at most HOT_PARTS rows
-    salted = postings.join(F.broadcast(hot), "term", "left").withColumn(
+    hot = idf.where("shards > 1").select("term", "shards")
+    salted = postings.join(hot, "term", "left").withColumn(
         "shard",
         F.when(F.col("shards").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(id_col), F.col("shards")).cast("int")
@@ -131,7 +126,7 @@ def _hashed(df: DataFrame, text: str, dim: int) -> DataFrame:
 
 def fit_hashed_tfidf(df: DataFrame, text: str = "text", dim: int = 1 << 14) -> HashedTfidf:
     """Count documents per hashed column over the whole table."""
-    hashed = _hashed(spread(df.select(text)), text, dim)
+    hashed = _hashed(df.select(text), text, dim)
     return HashedTfidf(dim, IDF(inputCol="_tf", outputCol="_unused").fit(hashed))
 
 

@@ -110,8 +110,9 @@ def summary_requests(functions: DataFrame, keep: Sequence[str] = ("id",)) -> Dat
     return functions.where(F.col("docstring").isNotNull()).select(*keep, prompt.alias("prompt"))
 
 
-def embedding_requests(functions: DataFrame, cap: int = T.EMBED_CAP) -> DataFrame:
-    """(id, text): function texts cut to what an embedding model takes."""
+def embedding_requests(functions: DataFrame, cap: int | None = None) -> DataFrame:
+    """(id, text): function texts, cut to ``cap`` characters if a model takes no more."""
     args = T.format_arg_list(F.col("args"))
     rendered = T.render_function(F.col("name"), args, F.col("body"))
-    return functions.select("id", T.cap(rendered, cap).alias("text"))
+    text = rendered if cap is None else T.cap(rendered, cap)
+    return functions.select("id", text.alias("text"))

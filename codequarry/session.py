@@ -54,9 +54,15 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The folder that all executors share, as the session names it.
+
+    Without one nothing may be written that another executor has to read, so
+    that is an error. A local master has one machine, and gets a folder there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="codequarry-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -76,27 +82,3 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-# Input bytes per core below which a costly per-row step is spread by hand.
-SPREAD_BYTES = 64 << 20
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Split a small input over all cores ahead of a costly per-row step.
-
-    A scan cannot split a row group, so a small file is read by one task and a
-    parser or tokeniser behind it would use one core. An input that is large,
-    or in many files, is left as it is: it has partitions enough and moving it
-    would cost more than it gains. A unique ``key`` makes the split cheap;
-    without one the rows are dealt out in turn.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= 2 * cores:
-        return df
-    sizes = spark.read.format("binaryFile").load([unquote(f) for f in files]).select("length")
-    if sum(row.length for row in sizes.collect()) >= cores * SPREAD_BYTES:
-        return df
-    return df.repartition(2 * cores, *([key] if key else []))

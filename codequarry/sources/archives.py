@@ -6,7 +6,10 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
+from typing import BinaryIO
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +19,50 @@ from codequarry.functions.text import file_stem
 SOURCE_SUFFIXES = (".py",)
 
 
-@F.udtf(returnType="file string, content string, status string")
+MEMBER = "file string, content string, status string"
+
+
+def members_of(archive: BinaryIO, suffixes: Sequence[str]) -> Iterator[tuple]:
+    """(file, content, status) of the members kept, one at a time.
+
+    A member that cannot be read is reported by name, and so is an archive
+    that cannot be opened, without one; neither ends the others.
+    """
+    try:
+        with zipfile.ZipFile(archive) as opened:
+            # A name listed twice is read once, as its last version.
+            for name in dict.fromkeys(opened.namelist()):
+                if PurePosixPath(name).suffix not in suffixes:
+                    continue
+                try:
+                    yield name, opened.read(name).decode("utf-8", errors="ignore"), "ok"
+                except Exception as problem:
+                    yield name, None, f"unreadable: {type(problem).__name__}"
+    except Exception as problem:
+        # pyarrow's own word for a file too short to hold a directory
+        kind = zipfile.BadZipFile if isinstance(problem, pa.ArrowInvalid) else type(problem)
+        yield None, None, f"unreadable: {kind.__name__}"
+
+
+@F.udtf(returnType=MEMBER, useArrow=True)
 class ZipMembers:
     """``LATERAL`` table function: archive bytes to its text members."""
 
     def eval(self, data: bytes, suffixes: list[str]) -> Iterator[tuple]:
-        if data is None:
-            return
+        if data is not None:
+            yield from members_of(io.BytesIO(data), suffixes)
+
+
+@F.udtf(returnType=MEMBER, useArrow=True)
+class ZipFileMembers:
+    """``LATERAL`` table function: the place of an archive to its text members."""
+
+    def eval(self, uri: str, suffixes: list[str]) -> Iterator[tuple]:
         try:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                # A name listed twice is read once, as its last version.
-                for name in dict.fromkeys(archive.namelist()):
-                    if PurePosixPath(name).suffix in suffixes:
-                        text = archive.read(name).decode("utf-8", errors="ignore")
-                        yield name, text, "ok"
-        except Exception as problem:  # a bad archive is reported, not fatal
+            store, path = pyarrow.fs.FileSystem.from_uri(uri)
+            with store.open_input_file(path) as archive:
+                yield from members_of(archive, suffixes)
+        except Exception as problem:
             yield None, None, f"unreadable: {type(problem).__name__}"
 
 
@@ -48,23 +80,17 @@ def unpack_archives(
 
 
 def read_zip_members(
-    spark: SparkSession,
-    glob: str,
-    suffixes: Sequence[str] = SOURCE_SUFFIXES,
-    max_bytes: int = 2_000_000_000,
+    spark: SparkSession, glob: str, suffixes: Sequence[str] = SOURCE_SUFFIXES
 ) -> DataFrame:
-    """(archive, file, content, status) for every archive under ``glob``.
+    """(archive, file, content, status) for every archive under ``glob``, of any size.
 
-    One archive is one row of the binary source, which cannot exceed 2 GB; a
-    larger one is reported through its length alone, without being opened.
+    Only places are listed here. The task that gets one opens it where it
+    lies, in any store that pyarrow reads, and takes members out one by one;
+    for other stores read the bytes and give them to :func:`unpack_archives`.
     """
-    found = spark.read.format("binaryFile").load(glob)
+    found = spark.read.format("binaryFile").load(glob).select("path")
+    wanted = F.array(*[F.lit(suffix) for suffix in suffixes])
+    place = F.regexp_replace("path", "^file:/(?!/)", "file:///")
+    members = ZipFileMembers(place.outer(), wanted)
     stem: Column = file_stem(F.col("path")).alias("archive")
-    readable = found.where(F.col("length") <= max_bytes).select(stem, F.col("content").alias("data"))
-    too_large = found.where(F.col("length") > max_bytes).select(
-        stem,
-        F.lit(None).cast("string").alias("file"),
-        F.lit(None).cast("string").alias("content"),
-        F.lit("unreadable: too large").alias("status"),
-    )
-    return unpack_archives(readable, "data", ["archive"], suffixes).unionByName(too_large)
+    return found.lateralJoin(members).select(stem, "file", "content", "status")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,7 +111,9 @@ def read_json_rows(
 ) -> DataFrame:
     """One row per element of the array in a JSON document, plus its metadata.
 
-    A file is one document, or with ``multi_line=False`` one per line.
+    A file is one document, or with ``multi_line=False`` one per line; a
+    document per line lets Spark cut files, a document per file does not.
+    Documents that are no JSON have no rows: :func:`json_rejects` lists them.
     """
     reader = spark.read.option("multiLine", str(multi_line).lower())
     if schema is not None:
@@ -128,17 +130,33 @@ def read_records(
 
     One record per line, or with ``multi_line=True`` an array of them per file.
     Spark's own reader rejects an array holding a ``null``, so the array is
-    parsed as a value.
+    parsed as a value. What is no JSON gives no record: :func:`json_rejects`
+    lists it.
     """
     record = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = _json_texts(spark, path, multi_line)
     if multi_line:
-        text = spark.read.text(path, wholetext=True)
         items = F.from_json("value", T.ArrayType(record))
-        records = text.select(F.explode(items).alias("r")).where("r IS NOT NULL")
-    else:
-        text = spark.read.text(path).where(~F.trim("value").isin("", "null"))
-        records = text.select(F.from_json("value", record).alias("r"))
-    return records.select("r.*")
+        return text.select(F.explode(items).alias("r")).where("r IS NOT NULL").select("r.*")
+    parsed = text.where(_is_json(F.col("value"))).select(F.from_json("value", record).alias("r"))
+    return parsed.select("r.*")
+
+
+def _json_texts(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    text = spark.read.text(path, wholetext=multi_line)
+    return text.select(F.col("_metadata.file_path").alias("file"), "value").where(
+        ~F.trim("value").isin("", "null")
+    )
+
+
+def _is_json(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+def json_rejects(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file, value) of every line, or with ``multi_line`` every file, that is no JSON."""
+    text = _json_texts(spark, path, multi_line)
+    return text.where(~_is_json(F.col("value")))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

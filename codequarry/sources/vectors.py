@@ -44,8 +44,13 @@ def read_vectors(spark: SparkSession, source: str, dim: int | None = None) -> Da
 
 
 def vector_to_columns(df: DataFrame, dim: int, vec: str = "vec", prefix: str = "c") -> DataFrame:
-    """Replace the vector column by ``dim`` columns ``c0, c1, …``."""
+    """Replace the vector column by ``dim`` columns ``c0, c1, …``.
+
+    A vector of another width ends the job: no element is dropped.
+    """
     rest = [name for name in df.columns if name != vec]
+    wrong = F.size(vec) != dim
+    df = df.withColumn(vec, F.when(wrong, F.raise_error(F.lit(f"a vector is not {dim} wide"))).otherwise(F.col(vec)))
     return df.select(*rest, *[F.get(vec, F.lit(i)).alias(f"{prefix}{i}") for i in range(dim)])
 
 

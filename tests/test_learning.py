@@ -56,11 +56,11 @@ def test_covariance(cloud):
     assert all(np.isclose(found[i, j], expected[i, j]) for i, j in found)
 
 
-@pytest.mark.parametrize("gram_columns", [2048, 0])
-def test_svd(cloud, monkeypatch, gram_columns):
-    monkeypatch.setattr(R, "GRAM_COLUMNS", gram_columns)
+@pytest.mark.parametrize("solver", ["gram", "steps"])
+def test_svd(cloud, solver):
     df, x = cloud
-    model, scored = R.fit_svd(df.select("id", array_to_vector("vec").alias("features")), 3)
+    rows = df.select("id", array_to_vector("vec").alias("features"))
+    model, scored = R.fit_svd(rows, 3, solver=solver)
     assert np.allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:3])
     assert np.allclose(model.components.T @ model.components, np.eye(3), atol=1e-9)
     scores = matrix(scored)
@@ -93,7 +93,7 @@ def test_tfidf_weights(spark):
 def test_tfidf_with_hot_terms(spark, monkeypatch):
     df = spark.range(300).selectExpr("id", "concat('the the word', id % 40, ' x', id) AS text")
     plain = {(r.id, r.term): r.weight for r in M.tfidf(df).collect()}
-    monkeypatch.setattr(M, "HOT_PARTS", 3)  # only 'the' is in a third of the postings
+    monkeypatch.setattr(M, "SHARD_POSTINGS", 100)  # 'the' is in three hundred
     salted = {(r.id, r.term): r.weight for r in M.tfidf(df.repartition(5)).collect()}
     assert plain.keys() == salted.keys()
     assert all(abs(plain[k] - salted[k]) < 1e-12 for k in plain)
@@ -156,14 +156,15 @@ def brute_silhouette(x, labels):
     return np.array(out)
 
 
-@pytest.mark.parametrize("sample_cells", [1 << 24, 0])
-def test_silhouette(spark, cloud, sample_cells):
+@pytest.mark.parametrize("cells", [1 << 22, 300])
+def test_silhouette(spark, cloud, cells, monkeypatch):
+    monkeypatch.setattr(C, "SAMPLE_BLOCK_CELLS", cells)
     df, x = cloud
     labels = np.arange(240) % 3
     labels[5] = 8  # a cluster of one
     cluster = F.when(F.col("id") == 5, 8).otherwise(F.col("id") % 3)
     labelled = df.withColumn("cluster", cluster)
-    found = C.silhouette_samples(labelled, sample_cells=sample_cells, block_rows=50)
+    found = C.silhouette_samples(labelled)
     scores = {r.id: r.silhouette for r in found.collect()}
     assert len(scores) == 240 and scores[5] == 0.0
     assert np.allclose([scores[i] for i in range(240)], brute_silhouette(x, labels))
@@ -175,9 +176,20 @@ def test_sweep_chooses_the_true_number(cloud):
     df, _ = cloud
     scores = C.sweep(df, ks=(2, 3, 5), sample_n=150, silhouette_n=100, n_init=3)
     assert C.choose_k(scores) == 3
+    _, fit, score = C.best_clustering(df, ks=(2, 3), n_init=2)
+    assert score == pytest.approx(C.silhouette(fit.labelled).first()[0])
     assert C.silhouette_squared(df.withColumn("cluster", (F.col("id") % 3).cast("int"))) > 0.5
 
 
+def test_odd_vectors_end_no_fit(spark, cloud):
+    df, _ = cloud
+    odd = spark.createDataFrame([(900, [1.0]), (901, None), (902, [])], "id bigint, vec array<double>")
+    fit = C.kmeans(df.select("id", "vec").union(odd), 3, n_init=1)
+    assert fit.labels.count() == 240
+    labelled = df.select("id", "vec").union(odd).withColumn("cluster", F.col("id") % 3)
+    assert C.silhouette_samples(labelled).count() == 240
+
+
 def test_score_batches_keeps_ids(spark):
     def factory():
         sizes = []

@@ -67,10 +67,8 @@ def test_knn_returns_all_when_k_is_large(points):
 def test_knn_batch_equals_single_queries(spark, points, monkeypatch):
     queries = [(q, [float(q), 1.0, 2.0]) for q in range(5)]
     df = spark.createDataFrame(queries, "qid bigint, qvec array<double>")
-    monkeypatch.setattr(S, "VECTOR_BLOCK_ROWS", 30)
-    for cells, driver in ((1 << 20, 16), (4, 16), (4, 0)):  # one block, several, shuffled
+    for cells in (1 << 20, 4):  # one block, several
         monkeypatch.setattr(S, "QUERY_BLOCK_CELLS", cells)
-        monkeypatch.setattr(S, "DRIVER_BLOCKS", driver)
         for metric in ("dot", "l2"):
             batch = S.knn_batch(points, df, 7, metric).orderBy("qid", "rank").collect()
             single = [
@@ -88,15 +86,19 @@ def test_hydrate_keeps_ids_without_text(spark, points):
     assert {row.id: row.text for row in found.collect()}[3] == "three"
 
 
-def test_hydrate_beyond_listed_ids(spark, points, monkeypatch):
+def test_hydrate_every_row(spark, points):
     texts = spark.range(50).selectExpr("id", "CAST(id AS STRING) AS text")
-    listed = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60)
-    monkeypatch.setattr(S, "LISTED_IDS", 0)
-    joined = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60)
-    assert sorted(map(str, listed.collect())) == sorted(map(str, joined.collect()))
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
-    plain = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60)
-    assert sorted(map(str, listed.collect())) == sorted(map(str, plain.collect()))
+    found = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 60).collect()
+    assert all((row.text == str(row.id)) if row.id < 50 else row.text is None for row in found)
+
+
+def test_batch_search_of_text_ids(spark, points):
+    named = points.select(F.concat(F.lit("v"), "id").alias("id"), "vec")
+    asked = spark.createDataFrame([("a", [3.0, 1.0, 0.0])], "qid string, qvec array<double>")
+    found = S.knn_batch(named, asked, 2).collect()
+    one = S.knn(named, [3.0, 1.0, 0.0], 2).collect()
+    assert sorted((r.id, round(r.score, 9)) for r in found) == sorted((r.id, round(r.score, 9)) for r in one)
+    assert {r.qid for r in found} == {"a"}
 
 
 def test_no_queries(spark, points):
