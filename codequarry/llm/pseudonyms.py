@@ -206,10 +206,10 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text", count: str |
     the Luhn check and do so afterwards; octets, dates and social-security
     numbers must be possible ones. Named credentials are permuted alike.
     ``count`` names a column for the number of values changed. NULL stays
-    NULL (no values), and a text without digits is left as it is.
+    NULL (no values), and a text without a digit or an @ is left as it is.
     """
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    changed = docs.withColumn("__found", F.when(F.col(text).rlike("[0-9]"), found))
+    changed = docs.withColumn("__found", F.when(F.col(text).rlike("[0-9@]"), found))
     changed = changed.withColumn(
         "__new", F.transform("__found", lambda x: pseudonym(x, F.lit(secret)))
     )
