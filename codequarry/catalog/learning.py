@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from codequarry.operators import clustering as C
 from codequarry.operators import reduction as R
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.scoring import score_batches
-from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed
+from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed, tfidf_vectors
 
 # Numbers in a vector of the test tables.
 WIDTH = 64
@@ -81,22 +84,46 @@ def svd_norms(spark, folder):
     return scored.select("id", r6(norm2(F.col("vec"))).alias("norm"))
 
 
+# Components kept of the texts' vectors.
+TEXT_COMPONENTS = 20
+HASHED_COLUMNS = 512
+
+
+def _hashed_svd(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    features = fit_hashed_tfidf(docs, "text", HASHED_COLUMNS).transform(docs, "text")
+    return R.fit_svd(features.select("doc_id", "features"), TEXT_COMPONENTS)
+
+
 @query("svd_text")
 def svd_text(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    features = fit_hashed_tfidf(docs, "text", 512).transform(docs, "text")
-    _, scored = R.fit_svd(features.select("doc_id", "features"), 20)
+    _, scored = _hashed_svd(spark, folder)
     return scored.select("doc_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("svd_text_variance")
 def svd_text_variance(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    features = fit_hashed_tfidf(docs, "text", 512).transform(docs, "text")
-    model, _ = R.fit_svd(features.select("doc_id", "features"), 20)
+    model, _ = _hashed_svd(spark, folder)
     return R.variance_table(spark, model.ratios)
 
 
+@query("svd_vocabulary", "SELECT true AS uncrossed, true AS squares_agree, true AS falling")
+def svd_vocabulary(spark, folder):
+    """A column for every term: scores are at right angles, and as long as the singular values."""
+    features, _ = tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text")
+    model, scored = R.fit_svd(features, TEXT_COMPONENTS, solver="steps")
+    x = scored.select(array_to_vector("vec").alias("x"))
+    products = RowMatrix(MLUtils.convertVectorColumnsFromML(x, "x")).computeGramianMatrix().toArray()
+    squares = model.singular_values**2
+    crossed = np.abs(products - np.diag(np.diag(products))).max()
+    found = (
+        bool(crossed < 1e-6 * squares[0]),
+        bool(np.allclose(np.diag(products), squares, rtol=1e-6)),
+        bool((np.diff(squares) <= 1e-9).all()),
+    )
+    return spark.createDataFrame([found], "uncrossed boolean, squares_agree boolean, falling boolean")
+
+
 @query(
     "hash_embed",
     r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[\p{L}\p{N}_]{2,}')

@@ -277,6 +277,29 @@ def tfidf_top_terms(spark, folder):
     return top.select("doc_id", "term", r6("weight").alias("weight"))
 
 
+@query(
+    "tfidf_vectors",
+    _TFIDF
+    + """, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS col FROM f)
+         SELECT d.doc_id, count(term) AS filled, CAST(coalesce(sum(col), 0) AS BIGINT) AS columns,
+                round(coalesce(sum(weight * (1 + col % 97)), 0), 4) + 0e0 AS mixed
+         FROM documents d LEFT JOIN (w JOIN v USING (term)) ON d.doc_id = w.doc_id
+         GROUP BY d.doc_id""",
+)
+def tfidf_vectors(spark, folder):
+    vectors, _ = M.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text")
+    parts = vectors.select("doc_id", F.unwrap_udt("features").alias("v")).select("doc_id", "v.*")
+    columns = F.transform("indices", lambda i: i.cast("bigint"))
+    mixed = F.zip_with("values", columns, lambda x, i: x * (1 + i % 97))
+    total = lambda array, zero: F.aggregate(array, F.lit(zero), lambda s, x: s + x)
+    return parts.select(
+        "doc_id",
+        F.size("indices").cast("bigint").alias("filled"),
+        F.aggregate(columns, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("columns"),
+        (F.round(total(mixed, 0.0), 4) + F.lit(0.0)).alias("mixed"),
+    )
+
+
 @query(
     "tfidf_profile",
     _TFIDF

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import (
     IDF,
     ElementwiseProduct,
@@ -13,11 +15,13 @@ from pyspark.ml.feature import (
     RegexTokenizer,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from codequarry.operators.rows import with_row_index
 from codequarry.session import durable
 
 # Fixed value: a token is a run of two or more word characters, any script.
@@ -95,6 +99,39 @@ def tfidf(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
 
+def tfidf_vectors(
+    df: DataFrame, id_col: str = "id", text: str = "text", out: str = "features"
+) -> tuple[DataFrame, DataFrame]:
+    """((id, sparse vector), (term, column)): a column for every term of the corpus.
+
+    Columns are numbered in the order of the terms. A text without terms has
+    an empty vector.
+    """
+    weights = durable(tfidf(df, id_col, text))
+    vocabulary = durable(with_row_index(weights.select("term").distinct(), ["term"], "column"))
+    width = vocabulary.count()
+    cell = F.struct(F.col("column").cast("int").alias("column"), "weight")
+    rows = weights.join(vocabulary, "term").groupBy(id_col).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    every = df.select(id_col).join(rows, id_col, "left").select(
+        id_col,
+        F.coalesce(F.col("cells.column"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("cells.weight"), F.array().cast("array<double>")).alias("values"),
+    )
+    schema = T.StructType([df.schema[id_col], T.StructField(out, VectorUDT())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            kind, size = pa.array([0] * n, pa.int8()), pa.array([width] * n, pa.int32())
+            vector = pa.StructArray.from_arrays(
+                [kind, size, batch.column(1), batch.column(2)],
+                names=["type", "size", "indices", "values"],
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), vector], names=[id_col, out])
+
+    return every.mapInArrow(build, schema), vocabulary
+
+
 @dataclass
 class HashedTfidf:
     """A fitted hashed TF-IDF: the same weights, terms hashed to ``dim`` columns.
