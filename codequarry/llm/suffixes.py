@@ -9,7 +9,7 @@ consecutive passages that it is the anchor of.
 
 Within a family, contexts are cut into shards; each shard gets its
 Burrows-Wheeler transform, and the transforms are merged by refining the
-order in which they interleave, two bytes a step. What is still together
+order in which they interleave, up to eight bytes a step. What is still together
 after ``span`` bytes is an interval of the merged suffix array with a common
 prefix of ``span`` bytes: the starts of repeated passages.
 """
@@ -35,8 +35,10 @@ FILTER_BITS = 1 << 26
 # Contexts of one family that meet in one task.
 FAMILY = 4000
 # Bytes whose transforms are merged at a time, and into how many shards they are cut.
-MERGED_BYTES = 1 << 21
+MERGED_BYTES = 1 << 16
 SHARDS = 4
+# Symbols that one step of a merge takes at most: as many bytes as a 64-bit number has.
+WIDEST = 8
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -115,62 +117,63 @@ def make_filter(values: DataFrame, column: str) -> Filter:
     return Filter(words)
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a cyclic text, ordered by their first ``depth`` symbols or more."""
-    _, rank = np.unique(data, return_inverse=True)
-    rank = rank.astype(np.int64)
-    n, length = len(data), 1
-    order = np.argsort(rank, kind="stable")
-    while length < depth:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -length)
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+def codes(data: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` symbols from each place of a cyclic text on, as one number that keeps their order."""
+    found = data.astype(np.uint64)
+    for step in range(1, width):
+        found = (found << np.uint64(8)) | np.roll(data, -step).astype(np.uint64)
+    return found
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each place of a cyclic text by its first ``depth`` symbols or more; equals share one."""
+    length = WIDEST
+    distinct, rank = np.unique(codes(data, length), return_inverse=True)
+    while length < depth and len(distinct) < len(data):
+        distinct, rank = np.unique(rank * len(distinct) + np.roll(rank, -length), return_inverse=True)
         length *= 2
-        if new[-1] == n - 1:
-            break
-    return order
+    return rank
 
 
 class Shard:
-    """The Burrows-Wheeler transform of some contexts, each ended by a 0.
-
-    Symbols are numbers from 1 on. ``pairs`` is the transform by two symbols:
-    for each suffix in order, the two that stand before it; ``back`` the rank
-    of the suffix that begins with them.
-    """
+    """The Burrows-Wheeler transform of some contexts, each ended by a 0. Symbols are numbers from 1 to 255."""
 
     def __init__(self, contexts: list[np.ndarray], depth: int):
-        data = np.concatenate([np.append(c, 0) for c in contexts]).astype(np.int64)
-        data = np.append(data, np.zeros(len(data) % 2, np.int64))
-        order = suffix_array(data, depth)
-        n = len(data)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        self.order = order
-        self.pairs = (data[order - 2] * 256 + data[order - 1]).astype(np.uint16)
-        self.back = rank[order - 2]
+        self.data = np.concatenate([np.append(c, 0) for c in contexts]).astype(np.uint8)
+        self.order = np.argsort(suffix_ranks(self.data, depth), kind="stable")
+        self.rank = np.empty(len(self.order), np.int64)
+        self.rank[self.order] = np.arange(len(self.order))
+
+    def transform(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix in order the ``width`` symbols before it, and the rank of the suffix they begin."""
+        begin = (self.order - width) % len(self.order)
+        return codes(self.data, width)[begin], self.rank[begin]
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The merged order of all suffixes and where its intervals begin.
 
     ``order`` holds places in the shards' transforms, one shard after the
-    other. Each step puts before every suffix the two symbols that precede it:
-    a stable sort by them of the present order, in which suffixes keep their
-    turn, gives the order by two symbols more. Suffixes share an interval as
-    long as all symbols so far agree, so the intervals left at the end have a
-    common prefix of ``depth``. No suffix is compared with another.
+    other. Each step puts before every suffix the symbols that precede it: a
+    stable sort by them of the present order, in which suffixes keep their
+    turn, gives the order by so many symbols more. Suffixes share an interval
+    as long as all symbols so far agree, so the intervals left at the end have
+    a common prefix of ``depth``. No suffix is compared with another. A step
+    takes as many symbols as divide ``depth`` and make at most 65,536
+    different strings, numbered in their order; one symbol always does.
     """
-    base = np.cumsum([0] + [len(s.pairs) for s in shards])
-    pairs = np.concatenate([s.pairs for s in shards])
-    back = np.concatenate([s.back + b for s, b in zip(shards, base)]).astype(np.int32)
-    order = np.arange(len(pairs), dtype=np.int32)
-    interval = np.zeros(len(pairs), np.int32)
-    for _ in range(depth // 2):
-        before = pairs[order]
+    base = np.cumsum([0] + [len(s.order) for s in shards])
+    for width in (w for w in range(WIDEST, 0, -1) if depth % w == 0):
+        parts = [s.transform(width) for s in shards]
+        distinct, symbols = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        if len(distinct) <= 1 << 16:
+            break
+    symbols = symbols.astype(np.uint16)
+    back = np.concatenate([r + b for (_, r), b in zip(parts, base)]).astype(np.int32)
+    order = np.arange(len(symbols), dtype=np.int32)
+    interval = np.zeros(len(symbols), np.int32)
+    for _ in range(depth // width):
+        before = symbols[order]
         turn = np.argsort(before, kind="stable")
         symbol, own = before[turn], interval[turn]
         opens = np.empty(len(turn), bool)
@@ -200,13 +203,10 @@ def repeated_starts(
         shard = Shard(own, span)
         who = np.repeat(part, [len(c) + 1 for c in own])
         where = np.concatenate([np.arange(len(c) + 1) for c in own])
-        spare = len(shard.order) - len(who)
-        who = np.concatenate((who, np.full(spare, part[-1])))
-        where = np.concatenate((where, np.full(spare, 1 << 30)))
         shards.append(shard)
         owner.append(who[shard.order])
         offset.append(where[shard.order])
-    order, interval = merge(shards, span + span % 2)
+    order, interval = merge(shards, span)
     who, where = np.concatenate(owner)[order], np.concatenate(offset)[order]
     real = where < np.array(starts)[who]
     who, where, interval = who[real], where[real], interval[real]
