@@ -12,6 +12,7 @@ from codequarry.llm import (
     licenses,
     pseudonyms,
     quality,
+    shards,
     simhash,
     sketches,
     suffixes,
@@ -28,6 +29,7 @@ WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
 LINK_BITS = 3
 PSEUDONYM_KEY = "codequarry pseudonyms 1"
+SHARDS = 8
 
 
 def documents(spark, folder):
@@ -136,3 +138,20 @@ def op9_licenses(spark, folder):
 @query("op10_sketches")
 def op10_sketches(spark, folder):
     return sketches.compare_with_next(documents(spark, folder))
+
+
+@query("op13_kd_shards")
+def op13_kd_shards(spark, folder):
+    """Every document in one of eight shards of near equal bytes, written and read back."""
+    docs = documents(spark, folder)
+    path = scratch_path(spark, "shards")
+    shards.write_shards(docs, path, SHARDS)
+    return shards.read_shards(docs, path).select(
+        "doc.doc_id",
+        F.col("weight").alias("size"),
+        F.crc32(F.coalesce("doc.text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
