@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.llm import (
     byte_bpe,
+    collocations,
     decontamination,
     language,
     licenses,
@@ -140,6 +141,41 @@ def op10_sketches(spark, folder):
     return sketches.compare_with_next(documents(spark, folder))
 
 
+_PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+  SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i
+  FROM listed, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:k], ' ')
+            JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[k + 1:cuts.m], ' ')),
+least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i
+          FROM (SELECT *, unnest(range(2, m)) AS s FROM c WHERE m > 2)),
+inside AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS cover FROM spans GROUP BY ALL),
+kept AS (SELECT least.* FROM least LEFT JOIN inside USING (lang, phrase)
+         WHERE cover IS NULL OR 100::HUGEINT * cover < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", _PHRASES_SQL)
+def op11_collocations(spark, folder):
+    """The best phrases of each language, from all texts."""
+    return collocations.mine(documents(spark, folder))
+
+
 @query("op13_kd_shards")
 def op13_kd_shards(spark, folder):
     """Every document in one of eight shards of near equal bytes, written and read back."""
