@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import ASCII_UPPER
+from codequarry.llm.common import ASCII_UPPER, texts
 from codequarry.session import durable, scratch_path
 
 # The bytes that part a text into pieces, occurrences that make a
@@ -40,7 +40,7 @@ UNIT = 2_000_000
 ABSORBED = 80
 
 # Bytes of text after which a chunk is closed; cuts are made between pieces.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 # Bits of a filter: 8 MiB.
 FILTER_BITS = 1 << 26
 # The first band ends at the score of so many times LIMIT pairs, the next at
@@ -62,13 +62,15 @@ def write_chunks(docs: DataFrame, path: str, lang: str = "lang", text: str = "te
     of them a dot that stands where a piece ends; ``codes`` are 32-bit places
     in that list; ``n`` counts the words.
     """
-    source = docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("t"))
+    source = texts(docs, lang, text).select(
+        F.coalesce(lang, F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("t")
+    )
 
     def chunk(lang: str, held: list[bytes]) -> pa.RecordBatch:
-        words = b".".join(held).replace(b".", b" . ").split()
-        words.append(b".")
+        words = b".".join([*held, b""]).replace(b".", b" . ").split()
         coded = pa.array(words, pa.binary()).dictionary_encode()
-        codes = coded.indices.to_numpy().astype("<i4")
+        del words
+        codes = coded.indices.to_numpy()
         distinct = coded.dictionary.to_pylist()
         dot = distinct.index(b".")
         n = len(codes) - int((codes == dot).sum())
@@ -167,14 +169,17 @@ def count_phrases(chunks: DataFrame, size: int, ways: list[list[Test]], support:
         m = len(codes) - size + 1
         if m <= 0:
             return None
-        ends = np.concatenate(([0], np.cumsum(codes == len(vocabulary) - 1)))
+        ends = np.concatenate(([0], np.cumsum(codes == len(vocabulary) - 1, dtype=np.int32)))
         mask = ends[size:] == ends[:m]
+        del ends
         if lengths:
             own = _hashes(vocabulary)[codes]
             grams, h = {}, np.full(len(codes) + 1, _seed(lang))
             for length in range(1, lengths[-1] + 1):
                 h = h[:-1] * STEP + own[length - 1 :]
-                grams[length] = h
+                if length in lengths:
+                    grams[length] = h
+            del own, h
             passed = np.zeros(m, bool)
             for way in ways:
                 here = mask.copy()
@@ -183,6 +188,7 @@ def count_phrases(chunks: DataFrame, size: int, ways: list[list[Test]], support:
                     here[at] = _passes(bits.value, grams[length][at + skip])
                 passed |= here
             mask = passed
+            del grams
         at = np.flatnonzero(mask)
         if not len(at):
             return None
