@@ -110,18 +110,18 @@ def _seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), 1))
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a filter for each hash."""
+def _places(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a filter of ``size`` bits, a power of two, for each hash."""
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    low = np.uint64(FILTER_BITS - 1)
+    low = np.uint64(size - 1)
     return h & low, (h >> np.uint64(34)) & low
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     one, seven, three = np.uint8(1), np.uint64(7), np.uint64(3)
-    found = [bits[p >> three] >> (p & seven).astype(np.uint8) for p in _places(h)]
+    found = [bits[p >> three] >> (p & seven).astype(np.uint8) for p in _places(h, 8 * len(bits))]
     return (found[0] & found[1] & one).astype(bool)
 
 
@@ -139,7 +139,7 @@ def make_filter(phrases: DataFrame):
             own = _hashes([w.encode() for w in word.dictionary.to_pylist()])[word.indices.to_numpy()]
             for column in own.reshape(len(h), -1).T:  # phrases of a filter are of one length
                 h = h * STEP + column
-            for place in _places(h):
+            for place in _places(h, FILTER_BITS):
                 np.bitwise_or.at(bits, place >> np.uint64(3), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
         words = bits.view("<i8")
         where = np.flatnonzero(words)

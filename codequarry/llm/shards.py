@@ -20,6 +20,8 @@ from codequarry.session import durable
 
 # Bins of a pass, for each cell that is being split.
 BINS = 1 << 12
+# Bytes of text that one writing task is to have.
+SLICE_BYTES = 64 << 20
 # Share of a shard's target up to which rows of one coordinate, and copies of
 # one text, stay on one side of a cut.
 WHOLE = 1 / 100
@@ -188,7 +190,11 @@ def write_shards(
     text: str = "text",
     dims: dict[str, Column] | None = None,
 ) -> None:
-    """Write all rows of ``docs`` into folders ``shard=0`` and so on, in key order.
+    """Write all rows of ``docs`` into folders ``shard=0`` and so on.
+
+    A shard is written in slices of about SLICE_BYTES, to which the hash of
+    the key deals its rows, so no task has much more than another; a slice is
+    in key order.
 
     Give the number of shards, or the bytes that each should have. ``dims``
     names whole numbers from 0 on (see ``text_dimensions``). A NULL text
@@ -206,18 +212,20 @@ def write_shards(
     }
     columns = {"weight": byte_size(F.col(text)), **own, **hashes}
     points = durable(docs.select(*(c.alias(n) for n, c in columns.items())))
+    total = points.agg(F.sum("weight")).first()[0] or 0
     if shards is None:
-        total = points.agg(F.sum("weight")).first()[0] or 0
         shards = max(1, round(total / target_bytes))
+    slices = max(1, -(-total // (shards * SLICE_BYTES)))
     tree = grow(points, list(own), shards)
     whole = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
         F.col(key).alias("__key"),
         *(c.alias(n) for n, c in columns.items()),
     )
-    order = ["shard", "__key", DIGEST]
-    placed = whole.withColumn("shard", tree.shard().cast("int")).select("shard", "weight", "doc", "__key", DIGEST)
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = whole.withColumn("shard", tree.shard().cast("int")).select("shard", "weight", "doc", "__key", DIGEST, TURN)
+    task = (F.col("shard") * F.lit(slices) + F.pmod(TURN, F.lit(slices))).cast("int")
+    dealt = placed.withColumn("__task", task).repartitionById(shards * slices, "__task")
+    ordered = dealt.sortWithinPartitions("__key", DIGEST)
     files = ordered.select("shard", "weight", F.monotonically_increasing_id().alias("at"), "doc")
     files.write.mode("overwrite").partitionBy("shard").parquet(path)
 
@@ -226,7 +234,7 @@ def read_shards(like: DataFrame, path: str) -> DataFrame:
     """(shard, slot, weight, doc) of the files at ``path``, written from rows like ``like``.
 
     Slots count the rows of a shard from 0. A writing task left consecutive
-    rows of a shard, so what it adds is the number of rows that earlier tasks
+    rows of one shard, so what it adds is the number of rows that earlier tasks
     left there: one figure for each task and shard it met.
     """
     spark = like.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -129,3 +130,102 @@ def edits(rows) -> list[tuple]:
         n = len(text) // 2
         out.append((key, len(text), sha((text[: len(text) - n] + following[:n]).encode())))
     return out
+
+
+def phrases(rows, limit=2000, support=30, longest=4, absorbed=80) -> list[tuple]:
+    """Rows are (lang, text)."""
+    counts, n = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(FOLD)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for size in range(1, longest + 1):
+                for i in range(len(words) - size + 1):
+                    counts[lang][tuple(words[i : i + size])] += 1
+    out = []
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= support}
+        cover = Counter()
+        for longer, a in candidates.items():
+            for size in range(2, len(longer)):
+                for i in range(len(longer) - size + 1):
+                    part = longer[i : i + size]
+                    cover[part] = max(cover[part], a)
+        found = []
+        for p, a in candidates.items():
+            if p in cover and 100 * cover[p] >= absorbed * a:
+                continue
+            score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:limit], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)
+
+
+def negatives(rows, positives=5, limit=10) -> list[tuple]:
+    """Rows are (id, vector, label) as the query takes them."""
+    used = []
+    for key, vector, label in rows:
+        if key is None or label is None or vector is None or not all(x is not None and math.isfinite(x) for x in vector):
+            continue
+        label = (label + 1) % 10 if key % 7 == 0 else label
+        used.append((key, [math.floor(256 * x) for x in vector], label))
+    out = []
+    for i, (anchor, a, label) in enumerate(used):
+        if anchor % 100:
+            continue
+        scores = [
+            (-sum(x * y for x, y in zip(a, b)), key, own)
+            for j, (key, b, own) in enumerate(used)
+            if j != i and len(b) == len(a)
+        ]
+        scores.sort()
+        for p, positive, _ in [x for x in scores if x[2] == label][:positives]:
+            near = [x for x in scores if x[2] != label and 30 * -p <= 100 * -x[0] <= 90 * -p]
+            for rank, (s, key, _) in enumerate(near[:limit], 1):
+                out.append((anchor, positive, rank, key, -p, -s))
+    return sorted(out)
+
+
+def kd_shards(rows, shards: int, whole: float) -> list[int]:
+    """The shard of each (key, text)."""
+    points = []
+    for key, text in rows:
+        t = text or ""
+        raw = t.encode()
+        hashed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        dims = len(raw), len(t), t.count(" "), t.count("\n")
+        points.append((len(raw) + 1, dims, xxhash.xxh64_intdigest(raw, 42) >> 2, hashed >> 2))
+    total = sum(p[0] for p in points)
+    extent = lambda own, d: max(points[i][1][d] for i in own) - min(points[i][1][d] for i in own)
+    spread = [max(1, extent(range(len(points)), d)) for d in range(4)] if points else []
+    out = [0] * len(points)
+
+    def side(own, keys, target):
+        """The rows of ``own`` that go left, by the first of ``keys``."""
+        before, left = 0, []
+        for value in sorted({keys[0](i) for i in own}):
+            here = [i for i in own if keys[0](i) == value]
+            weight = sum(points[i][0] for i in here)
+            if before + weight >= target:
+                if weight > whole * total / shards and len(keys) > 1:
+                    return left + side(here, keys[1:], target - before)
+                return left + here if before + weight - target < target - before else left
+            before += weight
+            left += here
+        raise AssertionError
+
+    def part(own, first, n):
+        if n == 1 or not own:
+            for i in own:
+                out[i] = first
+            return
+        d = max(range(4), key=lambda d: extent(own, d) / spread[d])
+        target = sum(points[i][0] for i in own) * (n // 2) / n
+        left = side(own, [lambda i: points[i][1][d], lambda i: points[i][2], lambda i: points[i][3]], target)
+        part(left, first, n // 2)
+        part([i for i in own if i not in set(left)], first + n // 2, n - n // 2)
+
+    part(list(range(len(points))), 0, shards)
+    return out

@@ -159,10 +159,13 @@ def test_empty_tables(spark, name, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(
         f"{tmp_path}/labels.parquet"
     )
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op2_token_files"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op2_token_files", "op11_collocations", "op12_hard_negatives"}))
 def test_repeated_and_null_keys(spark, name, tmp_path):
     rows = [(None, "a b c d", None, None, None)] * 2 + [(1, "x y z", "en", None, None)] * 3
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
