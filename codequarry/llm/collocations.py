@@ -41,6 +41,8 @@ ABSORBED = 80
 
 # Bytes of text after which a chunk is closed; cuts are made between pieces.
 CHUNK_BYTES = 2 << 20
+# Bytes of chunks in one Arrow batch.
+BATCH_BYTES = 8 << 20
 # Bits of a filter: 8 MiB.
 FILTER_BITS = 1 << 26
 # The first band ends at the score of so many times LIMIT pairs, the next at
@@ -98,6 +100,9 @@ def write_chunks(docs: DataFrame, path: str, lang: str = "lang", text: str = "te
                         held, size = {}, 0
         yield from (chunk(*x) for x in held.items())
 
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     source.mapInArrow(run, CHUNKS).write.mode("overwrite").parquet(path)
     return docs.sparkSession.read.schema(CHUNKS).parquet(path)
 
