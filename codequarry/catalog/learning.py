@@ -15,6 +15,7 @@ from codequarry.operators import clustering as C
 from codequarry.operators import reduction as R
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.scoring import score_batches
+from codequarry.operators.silhouettes import labelled_silhouettes
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed, tfidf_vectors
 
 # Numbers in a vector of the test tables.
@@ -278,6 +279,28 @@ def silhouette_samples(spark, folder):
     return scores.withColumn("silhouette", r6("silhouette"))
 
 
+@query(
+    "silhouette_ways",
+    "WITH ways AS ("
+    + " UNION ALL ".join(
+        f"""SELECT {way} AS way, avg(score) AS score FROM (
+        WITH s AS (SELECT vec_id AS id, {cluster} AS label, embedding::DOUBLE[] AS v FROM embeddings),"""
+        + _SILHOUETTE.split("\n", 1)[1]
+        + " SELECT score FROM sc)"
+        for way, cluster in enumerate(("label", "label % 4", "CASE WHEN vec_id = 0 THEN 1 ELSE label // 7 END"))
+    )
+    + ") SELECT way::BIGINT AS way, round(score, 6) + 0e0 AS score FROM ways",
+)
+def silhouette_ways(spark, folder):
+    """Three labellings at once, as a sweep scores them; ids repeat and are NULL."""
+    points = vectors(spark, folder)
+    ways = F.array("label", F.col("label") % 4, F.when(F.col("id") == 0, 1).otherwise(F.expr("label div 7")))
+    odd = F.when(F.col("id") % 3 > 0, F.col("id") % 5)
+    scores = labelled_silhouettes(points.select(odd.alias("id"), "vec", ways.cast("array<bigint>").alias("labels")), "id")
+    each = scores.select(F.posexplode("scores").alias("way", "score"))
+    return each.groupBy(F.col("way").cast("bigint").alias("way")).agg(r6(F.avg("score")).alias("score"))
+
+
 @query(
     "silhouette_squared",
     _SILHOUETTE.replace("sum(list_distance(a.v, b.v))", "sum(list_distance(a.v, b.v) ** 2)")

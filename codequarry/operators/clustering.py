@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -16,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.vectors import lengths, matrix
+from codequarry.operators import lloyd
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.sampling import sample_n as take_sample
+from codequarry.operators.silhouettes import labelled_silhouettes
 from codequarry.session import durable
 
 # Clusters and restarts of the main fit, its iteration limit,
@@ -31,9 +31,8 @@ SWEEP_RESTARTS = 10
 SWEEP_KS = (*range(10, 150, 10), *range(150, 300, 10))
 FINE_SWEEP_KS = tuple(range(75, 120, 5))
 
-# Numbers in a block of centres and in a block of a silhouette's rows, as sent to executors.
+# Numbers in a block of centres, as sent to executors.
 CENTRE_BLOCK_CELLS = 1 << 20
-SAMPLE_BLOCK_CELLS = 1 << 22
 
 
 @dataclass
@@ -43,6 +42,7 @@ class KMeansResult:
     centres: DataFrame  # (cluster, vec)
     cost: float
     costs: list[float]  # one per restart
+    rejected: DataFrame  # (reason, n): rows that took no part
 
 
 def kmeans(
@@ -56,33 +56,52 @@ def kmeans(
 ) -> KMeansResult:
     """Best of ``n_init`` fits from random starts, by the summed squared distance.
 
-    The input is held across the fits, in memory and on disk; lost parts are
-    computed again, and the start depends on the seed only. A fit ends when the
-    centres together move less than a share of the data's variance, so it
-    makes no passes that cannot matter at the scale of the data. Vectors of
-    another than the usual width, or with gaps, are left out.
+    All fits share every pass over the rows (see ``lloyd``), and starts depend
+    on the seed only. A fit ends when the centres together move less than a
+    share of the data's variance. Vectors of another than the usual width, or
+    with gaps, are left out, and counted in ``rejected``. With fewer rows than
+    ``k`` every row is a centre.
     """
-    points = usual_width(df, vec).withColumn("features", array_to_vector(vec))
-    held = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        variance = held.select(Summarizer.variance(F.col("features"))).first()[0].toArray()
-        # Spark tests each centre by distance, hence the share of one and the root.
-        tol = float(np.sqrt(TOLERANCE * variance.mean() / k))
-        fits = [
-            KMeans(k=k, initMode="random", maxIter=max_iter, tol=tol, seed=seed + i).fit(held)
-            for i in range(n_init)
-        ]
-    finally:
-        held.unpersist()
-    costs = [fit.summary.trainingCost for fit in fits]
-    best = fits[int(np.argmin(costs))]
-    labelled = best.setPredictionCol("cluster").transform(points).drop("features")
+    points = usual_width(df, vec)
+    begin = lloyd.starts(points, [k] * n_init, range(seed, seed + n_init), id_col, vec)
+    fits = lloyd.fit_all(points, begin, max_iter, TOLERANCE * _mean_variance(points, vec), vec)
+    best = min(fits, key=lambda fit: fit.cost)
+    labelled = points.withColumn("cluster", F.get(_labels(F.col(vec), [best.centres]), F.lit(0)).cast("int"))
     centres = df.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())],
-        "cluster int, vec array<double>",
+        [(i, c.tolist()) for i, c in enumerate(best.centres)], "cluster int, vec array<double>"
     )
-    labels = labelled.select(id_col, "cluster")
-    return KMeansResult(labelled, labels, centres, min(costs), costs)
+    costs = [fit.cost for fit in fits]
+    return KMeansResult(
+        labelled, labelled.select(id_col, "cluster"), centres, best.cost, costs, width_rejects(df, vec)
+    )
+
+
+def _mean_variance(points: DataFrame, vec: str) -> float:
+    if points.isEmpty():
+        return 0.0
+    return float(points.select(Summarizer.variance(array_to_vector(vec))).first()[0].toArray().mean())
+
+
+def _labels(vec: Column, ways: list[np.ndarray]) -> Column:
+    """The nearest of each set of centres, the lowest number among equals: one pass over the rows."""
+    blocks: list[list[np.ndarray]] = [[]]
+    for centres in ways:
+        if blocks[-1] and sum(c.size for c in blocks[-1]) + centres.size > CENTRE_BLOCK_CELLS:
+            blocks.append([])
+        blocks[-1].append(centres)
+
+    def of(block: list[np.ndarray]) -> Column:
+        @F.arrow_udf("array<bigint>")
+        def nearest(vectors: pa.Array) -> pa.Array:
+            x = matrix(vectors, block[0].shape[1])
+            found = [_nearest(np.arange(len(c)), c, x)[1] for c in block]
+            ends = pa.array(np.arange(len(x) + 1) * len(block), pa.int32())
+            return pa.ListArray.from_arrays(ends, pa.array(np.stack(found, axis=1).ravel(), pa.int64()))
+
+        return nearest(vec)
+
+    parts = [of(block) for block in blocks]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def usual_width(df: DataFrame, vec: str = "vec") -> DataFrame:
@@ -92,6 +111,18 @@ def usual_width(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.where((F.size(vec) == width) & ~F.exists(vec, lambda x: x.isNull()))
 
 
+def width_rejects(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """(reason, n): the rows that :func:`usual_width` leaves out."""
+    widths = df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("width")).count()
+    width = widths.orderBy(F.desc("count"), "width").limit(1).select("width").scalar()
+    reason = (
+        F.when(F.col(vec).isNull(), "no vector")
+        .when(F.size(vec) != width, "another width")
+        .when(F.exists(vec, lambda x: x.isNull()), "gap")
+    )
+    return df.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def cluster_profile(df: DataFrame, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
     """(cluster, n, vec): size and centre of every cluster.
 
@@ -194,92 +225,6 @@ def assign(
     )
 
 
-def _distance_sums(x: np.ndarray, y: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Summed distance from each row of ``x`` to the rows of ``y`` that each column marks."""
-    squares = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)
-    gaps = np.sqrt(np.maximum(squares - 2.0 * (x @ y.T), 0.0))
-    return gaps @ member
-
-
-def _scores(own: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Silhouette per row from its distance sums to every cluster."""
-    rows = np.arange(len(own))
-    within = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-    means = sums / sizes
-    means[rows, own] = np.inf
-    other = means.min(axis=1)  # infinite if there is one cluster
-    with np.errstate(all="ignore"):
-        score = (other - within) / np.maximum(other, within)
-    return np.where((sizes[own] > 1) & np.isfinite(score), score, 0.0)
-
-
-def _labelled_silhouettes(points: DataFrame, id_col: str) -> DataFrame:
-    """(id, labels, scores): the silhouettes of rows (id, vec, labels) under several labellings.
-
-    ``labels`` has a cluster for each labelling. Distances are measured once
-    for all of them: the rows are sent out in blocks of a fixed size, and each
-    block is passed by all rows where they lie, adding in the row what it is
-    away from each cluster. So every pair is measured, and no pair is a row.
-    """
-    points = durable(usual_width(points, "vec"))
-    counts = points.select(F.posexplode("labels").alias("way", "cluster")).groupBy("way", "cluster")
-    table = counts.agg(F.count("*").alias("n")).orderBy("way", "cluster").collect()  # clusters
-    column = {(row.way, row.cluster): i for i, row in enumerate(table)}
-    sizes = np.array([row.n for row in table], dtype=np.float64)
-    ways = 1 + max((row.way for row in table), default=-1)
-    cells = points.agg(F.sum(F.size("vec"))).first()[0] or 0
-    blocks = -(-cells // SAMPLE_BLOCK_CELLS)
-    kind = points.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, vec array<double>, labels array<bigint>, sums array<double>"
-    vec = F.col("vec").cast("array<double>")
-    rows = points.select(id_col, vec.alias("vec"), "labels", F.lit(None).cast("array<double>").alias("sums"))
-    for number in range(blocks):
-        own = points.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == number)
-        sample = own.select("vec", "labels").toArrow().combine_chunks()
-        if not sample.num_rows:
-            continue
-        y = matrix(sample["vec"].combine_chunks(), len(sample["vec"][0]))
-        member = np.zeros((len(y), len(table)))
-        for i, labels in enumerate(sample["labels"].to_pylist()):
-            member[i, [column[way, cluster] for way, cluster in enumerate(labels)]] = 1.0
-        # Measured from the middle of the block, so that few digits cancel.
-        middle = y.mean(axis=0)
-        shared = points.sparkSession.sparkContext.broadcast((y - middle, member, middle))
-
-        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            y, member, middle = shared.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
-                    x = matrix(part.column(1), y.shape[1]) - middle
-                    sums = _distance_sums(x, y, member)
-                    if part.column(3).null_count == 0:
-                        sums += matrix(part.column(3), member.shape[1])
-                    ends = pa.array(np.arange(len(x) + 1) * member.shape[1], pa.int32())
-                    flat = pa.ListArray.from_arrays(ends, pa.array(sums.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:3], flat], names=[id_col, "vec", "labels", "sums"]
-                    )
-
-        rows = durable(rows.mapInArrow(add, schema))
-
-    starts = [min((i for (w, _), i in column.items() if w == way)) for way in range(ways)] + [len(table)]
-
-    @F.arrow_udf("array<double>")
-    def score(labels: pa.Array, sums: pa.Array) -> pa.Array:
-        every = matrix(sums, len(table))
-        lists = labels.to_pylist()
-        out = np.empty((len(lists), ways))
-        for way in range(ways):
-            part = slice(starts[way], starts[way + 1])
-            own = np.array([column[way, x[way]] - starts[way] for x in lists], dtype=np.int64)
-            out[:, way] = _scores(own, every[:, part].copy(), sizes[part])
-        ends = pa.array(np.arange(len(lists) + 1) * ways, pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
-
-    return rows.select(id_col, "labels", score("labels", "sums").alias("scores"))
-
-
 def silhouette_samples(
     df: DataFrame, id_col: str = "id", vec: str = "vec", cluster: str = "cluster"
 ) -> DataFrame:
@@ -289,10 +234,10 @@ def silhouette_samples(
     :func:`silhouette_squared`. A single cluster scores 0. Rows without a
     cluster, and vectors of another than the usual width, have no row.
     """
-    points = df.where(F.col(vec).isNotNull() & F.col(cluster).isNotNull()).select(
+    points = usual_width(df.where(F.col(cluster).isNotNull()), vec).select(
         F.col(id_col), F.col(vec).alias("vec"), F.array(F.col(cluster).cast("bigint")).alias("labels")
     )
-    return _labelled_silhouettes(points, id_col).select(
+    return labelled_silhouettes(points, id_col).select(
         id_col, F.get("labels", F.lit(0)).alias("cluster"), F.get("scores", F.lit(0)).alias("silhouette")
     )
 
@@ -333,26 +278,23 @@ def sweep(
 ) -> DataFrame:
     """(k, score, cost) for every k, fitted on ``sample_n`` of the rows, or on all.
 
-    Each fit is a Spark job of its own. Scores are silhouettes among
-    ``silhouette_n`` of those rows, measured for all k in one pass.
+    The fits of all k share their passes over the rows, one pass labels the
+    rows by the best fit of every k, and scores are silhouettes among
+    ``silhouette_n`` of those rows, for which each distance is measured once.
+    Rows are told apart by their place, so ids may repeat or be NULL.
     """
     rows = df if sample_n is None else take_sample(df, sample_n, id_col, seed)
-    held = durable(rows.select(id_col, vec))
+    held = durable(usual_width(rows.select(id_col, vec), vec))
+    every = [(k, seed + i) for k in ks for i in range(n_init)]
+    begin = lloyd.starts(held, [k for k, _ in every], [s for _, s in every], id_col, vec)
+    fits = lloyd.fit_all(held, begin, MAX_ITER, TOLERANCE * _mean_variance(held, vec), vec)
+    best = [min(fits[i * n_init : (i + 1) * n_init], key=lambda fit: fit.cost) for i in range(len(ks))]
     scored = held if silhouette_n is None else take_sample(held, silhouette_n, id_col, seed)
-    costs = []
-    labelled = durable(scored.withColumn("labels", F.array().cast("array<bigint>")))
-    for k in ks:
-        fit = kmeans(held, k, n_init, seed, id_col=id_col, vec=vec)
-        costs.append(float(fit.cost))
-        own = assign(labelled, fit.centres, id_col, vec).select(id_col, "cluster")
-        both = labelled.join(own, id_col).withColumn(
-            "labels", F.concat("labels", F.array(F.col("cluster").cast("bigint")))
-        )
-        labelled = durable(both.drop("cluster"))
-    points = labelled.where(F.get("labels", F.lit(0)).isNotNull()).withColumnRenamed(vec, "vec")
-    scores = _labelled_silhouettes(points, id_col)
+    labels = _labels(F.col(vec), [fit.centres for fit in best])
+    points = scored.select(F.col(id_col), F.col(vec).alias("vec"), labels.alias("labels"))
+    scores = labelled_silhouettes(points, id_col)
     means = scores.agg(*[F.avg(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(len(ks))]).first()
-    results = [(int(k), means[i], costs[i]) for i, k in enumerate(ks)]
+    results = [(int(k), means[i], best[i].cost) for i, k in enumerate(ks)]
     return df.sparkSession.createDataFrame(results, "k int, score double, cost double")
 
 

@@ -4,7 +4,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from codequarry.operators import clustering as C
+from codequarry.operators import lloyd
 from codequarry.operators import reduction as R
+from codequarry.operators import silhouettes
 from codequarry.operators import tfidf as M
 from codequarry.operators.scoring import score_batches
 
@@ -156,9 +158,10 @@ def brute_silhouette(x, labels):
     return np.array(out)
 
 
-@pytest.mark.parametrize("cells", [1 << 22, 300])
-def test_silhouette(spark, cloud, cells, monkeypatch):
-    monkeypatch.setattr(C, "SAMPLE_BLOCK_CELLS", cells)
+@pytest.mark.parametrize(("rows", "lane"), [(512, 16), (7, 2), (100, 1)])
+def test_silhouette(spark, cloud, rows, lane, monkeypatch):
+    monkeypatch.setattr(silhouettes, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(silhouettes, "LANE_BLOCKS", lane)
     df, x = cloud
     labels = np.arange(240) % 3
     labels[5] = 8  # a cluster of one
@@ -172,6 +175,85 @@ def test_silhouette(spark, cloud, cells, monkeypatch):
     assert mean == pytest.approx(np.mean(list(scores.values())))
 
 
+def plain_lloyd(x, centres, max_iter, tolerance):
+    for _ in range(max_iter):
+        label = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(axis=1)
+        fresh = np.array([x[label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(len(centres))])
+        moved = ((fresh - centres) ** 2).sum()
+        centres = fresh
+        if moved <= tolerance:
+            break
+    return centres, (np.linalg.norm(x[:, None] - centres[None], axis=2).min(axis=1) ** 2).sum()
+
+
+@pytest.mark.parametrize(("slab", "cells", "fan"), [(1 << 20, 1 << 22, 8), (35, 1 << 22, 1), (200, 20, 8)])
+def test_lloyd_against_numpy(spark, cloud, monkeypatch, slab, cells, fan):
+    """The same starts give the same centres and costs, whatever the slabs, the groups and the way sums go."""
+    for name, value in (("SLAB_CELLS", slab), ("CENTRE_CELLS", cells), ("FAN", fan), ("CUT_EVERY", 3)):
+        monkeypatch.setattr(lloyd, name, value)
+    df, x = cloud
+    rng = np.random.default_rng(4)
+    begin = [x[rng.permutation(240)[:k]] for k in (1, 2, 7, 7, 40)]
+    begin.append(np.vstack([x[:3], x[:1], [[900.0] * 5]]))  # two alike, and one that no row is near
+    fits = lloyd.fit_all(df, begin, 60, 1e-12)
+    assert max(fit.passes for fit in fits) > 4
+    for start, fit in zip(begin, fits):
+        centres, cost = plain_lloyd(x, start, 60, 1e-12)
+        assert np.allclose(fit.centres, centres) and fit.cost == pytest.approx(cost)
+
+
+def test_bounds_skip_most_distances():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 4)) + np.repeat(np.eye(4) * 40, 750, axis=0)
+    centres, own, measured = x[[0, 800, 1600, 2400]], lloyd._Bounds(3000, None), []
+    move = np.zeros(4)
+    for _ in range(6):
+        gaps = lloyd._gaps(centres, centres) + np.diag([np.inf] * 4)
+        own.measured = 0
+        own.update(x, move, centres, gaps.min(axis=1) / 2)
+        measured.append(own.measured)
+        label = own.state[0].astype(int)
+        assert (label == lloyd._gaps(x, centres).argmin(axis=1)).all()
+        fresh = np.array([x[label == c].mean(axis=0) for c in range(4)])
+        move, centres = np.sqrt(((fresh - centres) ** 2).sum(axis=1)), fresh
+    assert measured[0] == 3000 and sum(measured[1:]) < 300
+
+
+def test_fewer_rows_than_clusters(spark):
+    df = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (3, [5.0, 5.0])], "id bigint, vec array<double>")
+    fit = C.kmeans(df, 10, n_init=2)
+    assert fit.centres.count() == 3 and fit.cost == 0.0 and fit.labels.count() == 3
+    empty = C.kmeans(df.limit(0), 4, n_init=2)
+    assert empty.labels.count() == 0 and empty.centres.count() == 0
+
+
+def test_rejected_rows_are_counted(spark, cloud):
+    df, _ = cloud
+    odd = spark.createDataFrame(
+        [(900, [1.0]), (901, None), (902, []), (903, [1.0, None, 2.0, 3.0, 4.0])], "id bigint, vec array<double>"
+    )
+    fit = C.kmeans(df.select("id", "vec").union(odd), 3, n_init=1)
+    assert {tuple(r) for r in fit.rejected.collect()} == {("another width", 2), ("no vector", 1), ("gap", 1)}
+
+
+def test_sweep_of_repeated_and_null_ids(spark, cloud):
+    """Scores and costs of a numpy sweep from the same starts; ids do not matter."""
+    df, x = cloud
+    ks, seeds = (2, 3, 4), 2
+    for ids in (F.col("id") % 20, F.when(F.col("id") % 2 > 0, F.col("id")), F.lit(None).cast("bigint")):
+        rows = df.select(ids.alias("id"), "vec").cache()
+        found = {r.k: r for r in C.sweep(rows, ks=ks, n_init=seeds).collect()}
+        every = [(k, 42 + i) for k in ks for i in range(seeds)]
+        begin = lloyd.starts(rows, [k for k, _ in every], [s for _, s in every], "id", "vec")
+        tolerance = C.TOLERANCE * x.var(axis=0, ddof=1).mean()
+        for i, k in enumerate(ks):
+            runs = [plain_lloyd(x, begin[i * seeds + j], 300, tolerance) for j in range(seeds)]
+            centres, cost = min(runs, key=lambda run: run[1])
+            label = np.linalg.norm(x[:, None] - centres[None], axis=2).argmin(axis=1)
+            assert found[k].cost == pytest.approx(cost)
+            assert found[k].score == pytest.approx(brute_silhouette(x, label).mean())
+
+
 def test_sweep_chooses_the_true_number(cloud):
     df, _ = cloud
     scores = C.sweep(df, ks=(2, 3, 5), sample_n=150, silhouette_n=100, n_init=3)
