@@ -9,6 +9,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 from codequarry.llm.common import Recent, texts
 
 NO_PAIR = 1 << 62
-# Entries of the memos in each Python worker.
-CHUNKS, PIECES = 300_000, 300_000
+# Bytes of each memo in a Python worker.
+MEMO_BYTES = 64 << 20
 # A space that follows white space: cutting there would divide a run of it.
 RUN = re.compile(r"\s ")
 
@@ -94,16 +95,18 @@ class Codec:
     """Encoder and decoder of one rank file, with bounded memos.
 
     A text without white space before a space is cut at its spaces: every
-    match of the pattern then lies within one chunk, so a chunk's ids depend
-    on nothing else and can be kept. Any other text is matched whole.
+    match of PATTERN then lies within one chunk, so a chunk's ids depend
+    on nothing else and can be kept. Any other text is matched whole, and so
+    is every text under another pattern.
     """
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.pieces = Recent(self._piece, PIECES)
-        self.chunks = Recent(self._chunk, CHUNKS)
+        self.cuts = pattern == public_tokenizers.PATTERN
+        self.pieces = Recent(self._piece, MEMO_BYTES)
+        self.chunks = Recent(self._chunk, MEMO_BYTES)
 
     def _piece(self, piece: str) -> bytes:
         ids = merge_piece(piece.encode(), self.ranks)
@@ -114,7 +117,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if RUN.search(text):
+        if not self.cuts or RUN.search(text):
             return b"".join(map(self.pieces.__getitem__, self.find(text)))
         chunks = text.split(" ")
         rest = self.chunks

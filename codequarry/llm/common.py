@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.session import durable
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Rows in one Arrow batch. Texts are long; Spark's 10,000 would be some
@@ -77,28 +79,44 @@ def rows_of(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
 
 
 class Recent(dict):
-    """A memo of ``compute`` whose size is bounded.
+    """A memo of ``compute`` that holds about ``limit`` bytes, twice over.
 
-    When it holds ``limit`` entries they become the old generation, and the
-    generation before them is forgotten; what is still in use moves over. A
-    forgotten entry is computed again, so the bound never changes a result.
+    When it is full its entries become the old generation, and the generation
+    before them is forgotten; what is still in use moves over. Long items are
+    not kept at all. What is forgotten is computed again, so the bound never
+    changes a result. Items and values have a length.
     """
 
+    LONGEST, ENTRY = 256, 200  # items kept, and bytes of an entry beside its contents
+
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit, self.old = compute, limit, {}
+        self.compute, self.limit, self.old, self.size = compute, limit, {}, 0
 
     def __missing__(self, item):
         value = self.old.get(item)
         if value is None:
             value = self.compute(item)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(item) > self.LONGEST:
+            return value
+        if self.size >= self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
         self[item] = value
+        self.size += self.ENTRY + len(item) + len(value)
         return value
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row long, doc): every row with a number of its own, written to the shared folder.
+
+    All columns are in ``doc``, so names cannot clash; equal rows and rows
+    without a key are told apart by their number.
+    """
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return durable(docs.select(doc).withColumn("row", F.monotonically_increasing_id()))
+
+
 def load() -> dict[str, Entry]:
     """All entries, in a fixed order."""
     from codequarry.llm import queries  # noqa: F401

@@ -26,6 +26,7 @@ exceptions.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -43,8 +44,8 @@ BLOCK = 128
 PERCENT = 90
 # Ids after which a segment is closed; a longer document has a segment to itself.
 SEGMENT_IDS = 1 << 17
-# Words that each Python worker remembers.
-WORDS = 400_000
+# Bytes of the words that each Python worker remembers.
+MEMO_BYTES = 64 << 20
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
@@ -155,9 +156,8 @@ def unpack(payload: bytes, first: int = 0, stop: int | None = None) -> np.ndarra
 _SMALL = "a-z" + "".join(
     c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c == c.lower() == normalize("NFC", c)
 )
-# Words of such letters and of printable ASCII; quotes may begin a contraction,
-# and "<|" a special token.
-_SIMPLE = re.compile(rf"(?!.*(?:'|<\|))[{_SMALL}!-@\[-~]+")
+# Words of such letters and of printable ASCII; quotes may begin a contraction.
+_SIMPLE = re.compile(rf"(?!.*')[{_SMALL}!-@\[-~]+")
 _PARTS = re.compile(rf"[{_SMALL}]+|[0-9]|[^{_SMALL}0-9]+")
 
 
@@ -169,21 +169,61 @@ def _shown(byte: int) -> str:
     return chr(256 + sum(b not in plain for b in range(byte)))
 
 
+# What a tokenizer file must say for words to be encoded apart.
+_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordEncoder:
     """The ids of whole texts, put together from the ids of their words.
 
-    Spaces and line ends part the pieces of such a tokenizer, so a word's ids
-    depend on nothing around it, and the library is asked for each word once.
-    Simple words (see _SIMPLE) are cut here into the pieces its pattern takes:
-    runs of letters, single digits, runs of anything else; each goes straight
-    to the library's model. Any other word goes to the whole library.
+    Special tokens are cut out first, with their own case, as the library
+    does. In what is between, spaces and line ends part the pieces of such a
+    tokenizer, so a word's ids depend on nothing around it, and the library is
+    asked for each word once. Simple words (see _SIMPLE) are cut here into the
+    pieces its pattern takes: runs of letters, single digits, runs of anything
+    else; each goes straight to the library's model. Any other word goes to
+    the whole library. A file with other rules than _RULES gets whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Recent(self._word, WORDS)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        added = said["added_tokens"]
+        odd = any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"] for t in added)
+        self.by_words = not odd and all(said.get(name) == rule for name, rule in _RULES.items())
+        self.special = {t["content"].encode(): _packed([t["id"]]) for t in added}
+        longest = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(longest) + b")").split if longest else lambda raw: [raw]
+        if self.by_words:  # all special tokens are cut out before
+            self.tokenizer.encode_special_tokens = True
+        self.words = Recent(self._word, MEMO_BYTES)
         self.show = {byte: _shown(byte) for byte in range(256)}
 
     def _word(self, word: bytes) -> bytes:
@@ -201,9 +241,15 @@ class WordEncoder:
         return _packed([token.id for token in self.tokenizer.model.tokenize(shown)])
 
     def encode(self, text: str) -> bytes:
-        raw = text.encode().replace(b"\n", b" ")
-        if b"<|" not in raw:
-            raw = raw.lower()  # A to Z, as the library would; a special token has its own case
+        if not self.by_words:
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        raw = text.encode()
+        parts = self.cut(raw)
+        return b"".join([self.special[x] if i % 2 else self._between(x) for i, x in enumerate(parts)])
+
+    def _between(self, raw: bytes) -> bytes:
+        """Text without special tokens; A to Z are folded, as the library would."""
+        raw = raw.lower().replace(b"\n", b" ")
         return b"".join(map(self.words.__getitem__, filter(None, raw.split(b" "))))
 
 
