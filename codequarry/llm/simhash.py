@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import texts
+from codequarry.llm.common import numbered, texts
 from codequarry.session import durable
 
 BITS = 64
@@ -245,8 +245,9 @@ def near_duplicates(
     """(key, fp, component): every row with the least key its fingerprint reaches.
 
     Rows with equal fingerprints are one node, carried by their least key, so
-    groups of copies cost one row however large they are. Keys must be whole
-    numbers; a NULL key is not a component's name unless no other is there.
+    groups of copies cost one row however large they are. Keys may be of any
+    type that has an order; a NULL key is not a component's name unless no
+    other is there.
     """
     marks = durable(fingerprints(docs, shingle, key=key, text=text))
     nodes = durable(marks.groupBy("fp").agg(F.min(key).alias("low")))
@@ -261,6 +262,23 @@ def near_duplicates(
     return marks.join(named, "fp").select(key, "fp", "component")
 
 
+def keep_first(
+    docs: DataFrame, shingle: int, distance: int, segments: int = 8, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each component, all columns as they are: that of the least key.
+
+    Of rows of one key the first in the table stays. Rows without a key have
+    no name to choose by: they all stay, and a component of such rows alone
+    loses none.
+    """
+    rows = numbered(docs)
+    own = F.col(f"doc.`{key}`")
+    at = F.struct(own.isNull().alias("none"), own.alias("key"), "row").alias("at")
+    found = near_duplicates(rows.select(at, F.col(f"doc.`{text}`").alias("text")), shingle, distance, segments, "at")
+    gone = found.where("at <> component AND NOT at.none").select("at.row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
+
+
 def hex_mark(fp: Column | str) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
