@@ -28,6 +28,7 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WINDOW_WORDS = 10
+SLOP_WORDS = 5
 SHINGLE_WORDS = 3
 LINK_BITS = 3
 PSEUDONYM_KEY = "codequarry pseudonyms 1"
@@ -61,7 +62,7 @@ def op2_token_files(spark, folder):
 @query("op3_decontamination")
 def op3_decontamination(spark, folder):
     found = decontamination.find_passages(
-        documents(spark, folder), table(spark, folder, "benchmark"), WINDOW_WORDS
+        documents(spark, folder), table(spark, folder, "benchmark"), WINDOW_WORDS, SLOP_WORDS
     )
     n_hit = decontamination.covered()
     return found.select(
@@ -71,6 +72,7 @@ def op3_decontamination(spark, folder):
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
     )
 
 
