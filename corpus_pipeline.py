@@ -36,25 +36,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates.
+    """One row of each group of near duplicates, that of the least id.
 
-    Documents without an id are kept: they have no name to choose by.
+    Rows of one id are told apart by their place. Documents without an id are
+    kept: they have no name to choose by.
     """
     ship_package(spark)
-    docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs, queries.SHINGLE_WORDS, queries.LINK_BITS)
-    others = groups.where("doc_id <> component").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    return simhash.keep_first(docs.select(*COLUMNS), queries.SHINGLE_WORDS, queries.LINK_BITS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a window of a benchmark item."""
+    """Without the rows that hold a window of a benchmark item."""
     ship_package(spark)
-    docs = docs.select(*COLUMNS)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_passages(docs, items, queries.WINDOW_WORDS)
-    bad = found.where(F.size("items") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return decontamination.without_passages(docs.select(*COLUMNS), items, queries.WINDOW_WORDS)
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
