@@ -229,3 +229,55 @@ def kd_shards(rows, shards: int, whole: float) -> list[int]:
 
     part(list(range(len(points))), 0, shards)
     return out
+
+
+def notice_labels(text: str | None, templates, gram: int, near: int, covered: float) -> tuple[set[str], float]:
+    """Labels and the best coverage, by diagonals of word k-grams."""
+    words, labels, best = terms(text), set(), 0.0
+    places = defaultdict(list)
+    for i in range(len(words) - gram + 1):
+        places[tuple(words[i : i + gram])].append(i)
+    for exact, label, own in templates:
+        diagonals = defaultdict(set)
+        for t in range(len(own) - gram + 1):
+            for pos in places.get(tuple(own[t : t + gram]), ()):
+                diagonals[pos - t].add(t)
+        reach = 0 if exact else min(near, len(own) - 1)
+        spans, last = [], None
+        for diagonal in sorted(diagonals):
+            if last is None or diagonal - last > reach:
+                spans.append(set())
+            spans[-1] |= diagonals[diagonal]
+            last = diagonal
+        for span in spans:
+            share = len({t + j for t in span for j in range(gram)}) / len(own)
+            if share >= (1.0 if exact else covered):
+                labels.add(label)
+                best = max(best, share)
+    return labels, best
+
+
+def near_items(rows, items, size: int, slop: int) -> list[tuple]:
+    """Items with a tile whose words all stand within ``slop`` extra words, for each (key, text)."""
+    tiles = defaultdict(set)
+    for item, text in items:
+        words = terms(text)
+        last = max(0, len(words) - size)
+        for start in {*range(0, last + 1, size), last} if words else ():
+            tiles[tuple(words[start : start + size])].add(str(item))
+    out = []
+    for key, text in rows:
+        words, found = terms(text), set()
+        have = Counter(words)
+        for tile, names in tiles.items():
+            need = Counter(tile)
+            if any(have[w] < n for w, n in need.items()):
+                continue
+            length = len(tile) + slop
+            for start in range(max(1, len(words) - length + 1)):
+                inside = Counter(words[start : start + length])
+                if all(inside[w] >= n for w, n in need.items()):
+                    found |= names
+                    break
+        out.append((key, len(found)))
+    return out

@@ -9,8 +9,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from codequarry.llm import byte_bpe, licenses, queries, simhash, suffixes
+from codequarry.llm import byte_bpe, decontamination, licenses, queries, simhash, suffixes, token_files
 from codequarry.llm.common import load
+from codequarry.session import scratch_path
 from tests.llm import brute
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -75,11 +76,104 @@ def test_op2(spark, tables):
     assert result(spark, "op2_token_files", folder, columns) == expected
 
 
+def test_words_against_the_library():
+    """Capitals, special tokens, marks and scripts, in any order."""
+    import random
+    import struct
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.WORD_TOKENIZER)
+    own = token_files.WordEncoder(queries.WORD_TOKENIZER)
+    bits = "Hello|World|<\x7c|\x7c>|<\x7cendoftext\x7c>|<\x7cENDOFTEXT\x7c>|<\x7cstartoftext\x7c>| |\n|  |\t|'s|'LL|it's|E\u0301"
+    bits += "|É|A\u030a|I\u0307|İ|ı|ſ|\u212a|ß|ẞ|漢|🙂|½|①|1|23|.|--|\u0301|\xa0|\x1c|\x85|ΑΣ|ς|a|B|<|>|ﬁ|ǅ"
+    bits = [b.replace("\x7c", "|") for b in bits.replace("<\x7c", "<\0").replace("\x7c>", "\0>").split("|")]
+    bits = [b.replace("\0", "|") for b in bits]
+    assert "<|endoftext|>" in bits and "<|" in bits
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 9)))
+        ids = own.encode(text)
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    text = "Hello  World\n\n don't <|endoftext|> É 123"
+    assert not own.by_words
+    assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text).ids)
+
+
+def test_another_pattern_is_matched_whole():
+    pattern = r"\S+\s*|\s+"
+    ranks = byte_bpe.read_ranks(queries.BYTE_RANKS)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own = byte_bpe.Codec(queries.BYTE_RANKS, pattern)
+    for text in ("a b  c", "one two three", " lead and trail "):
+        ids = library.encode_ordinary(text)
+        assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_memos_hold_few_bytes():
+    from codequarry.llm.common import Recent
+
+    memo = Recent(lambda x: x * 2, 20_000)
+    for i in range(5_000):
+        assert memo[f"{i % 700}"] == f"{i % 700}" * 2 and memo["x" * (300 + i % 3)] == "x" * (600 + 2 * (i % 3))
+    assert len(memo) + len(memo.old) <= 2 * 20_000 / Recent.ENTRY + 2 and not any(len(x) > 256 for x in memo)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_packed_ids(wide):
+    """Outliers of 32 bits, block edges, and parts by block."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 127, 128, 129, 1000):
+        ids = rng.integers(0, 60_000, n).astype(np.uint32)
+        if wide and n:
+            ids[rng.integers(0, n, n // 9 + 1)] = 2**32 - 1
+        packed = token_files.pack(ids)
+        assert (token_files.unpack(packed) == ids).all()
+        for first in range(0, -(-n // 128) + 1, 3):
+            assert (token_files.unpack(packed, first, first + 2) == ids[first * 128 : (first + 2) * 128]).all()
+
+
 def test_op3(spark, tables):
     folder, rows, items = tables
     expected = sorted(brute.contamination(rows, items, 10))
     columns = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     assert result(spark, "op3_decontamination", folder, columns) == expected
+    near = sorted(brute.near_items(rows, items, 10, queries.SLOP_WORDS))
+    assert result(spark, "op3_decontamination", folder, ["doc_id", "n_near"]) == near
+
+
+@pytest.mark.parametrize("words", [1 << 19, 4])
+def test_op3_rows_of_equal_and_null_keys(spark, monkeypatch, words):
+    """One block of test items or many, the same rows; the index is asked twice."""
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", words)
+    rows = [(1, "a b c d e f"), (1, "x a b c y d e f"), (None, "d e f a c b"), (None, None), (2, "c b a")]
+    items = [(1, "a b c d"), (2, "d e f"), (3, "z z z"), (4, "c d"), (None, "e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    index = decontamination.write_index(docs, scratch_path(spark, "postings"))
+    for slop in (None, 1):
+        found = decontamination.search_index(index, tests, 3, slop)
+        got = sorted(((r.doc_id, r.n_words, r.starts, r.stops, r.items, r.near) for r in found.collect()), key=str)
+        near = [["", "1", "2", "4"], ["", "1", "2", "4"], ["", "1", "2"], [], ["1"]] if slop else [[]] * 5
+        assert got == sorted(
+            [
+                (1, 6, [0], [6], ["", "1", "2", "4"], near[0]),
+                (1, 8, [1, 5], [4, 8], ["", "1", "2"], near[1]),
+                (None, 6, [0], [3], ["", "2"], near[2]),
+                (None, 0, [], [], [], near[3]),
+                (2, 3, [], [], [], near[4]),
+            ],
+            key=str,
+        )
 
 
 def test_op4(spark, tables):
@@ -132,9 +226,24 @@ def test_op9(spark, tables):
     )
     key = lambda r: r[0]
     assert base == sorted(brute.licenses(rows, licenses.PHRASES), key=key)
+    texts = dict(rows)
     for r in got:
-        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
-        assert 0 <= r.score <= 1 and (r.score > 0) == (r.labels != "")
+        labels, score = brute.notice_labels(
+            texts[r.doc_id], licenses.TEMPLATES, licenses.GRAM, licenses.NEAR, licenses.COVERED
+        )
+        assert r.labels == ",".join(sorted(labels)) and r.score == pytest.approx(score)
+
+
+def test_op9_repeated_and_changed_notices(spark):
+    notice = " ".join(licenses.NOTICES[1][1].split())
+    changed = notice.replace("free of charge ", "wholly free of any charge ").replace("documentation ", "")
+    texts = ["all rights reserved " * n for n in (1, 2, 3, 8, 500)]
+    texts += [notice, notice.upper() + ". " + notice, changed, " ".join(notice.split()[::2]), notice[:60], None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].labels for i in range(len(texts))] == ["proprietary"] * 5 + ["mit"] * 3 + [""] * 3
+    spans = licenses.spans(licenses.hits(docs.where("doc_id = 4"))).count()
+    assert spans == 500 and got[7].score < 1 == got[6].score
 
 
 def test_op10(spark, tables):

@@ -12,6 +12,7 @@ from codequarry.llm.common import load
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +76,25 @@ def test_hostile_rows_pass_every_stage(spark, tmp_path):
         # NULL, empty and blank texts have one fingerprint, and so have the two of "a"
         assert kept == {"SimHash near-dedup": 5}.get(name, len(rows)), name
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_near_duplicates_are_told_apart_by_row(spark, tmp_path):
+    t, u = "one text of some words that is told twice", "another text that has nothing in common with it"
+    rows = [(5, t), (5, t), (3, u), (7, u), (7, "a third text, of which there is only one"), (None, u), (None, "x y z")]
+    docs = spark.createDataFrame([(k, x, None, None, 0) for k, x in rows], SCHEMA).repartition(3)
+    kept = stage("SimHash near-dedup")(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(
+        [(5, t), (3, u), (7, rows[4][1]), (None, u), (None, "x y z")], key=str
+    )
+
+
+def test_contaminated_rows_without_ids_go(spark, tmp_path):
+    spark.createDataFrame([(1, "q w e r t y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "so q w e r t y it is"), (None, "clean"), (4, "Q W E R T Y"), (4, "clean too"), (None, None)]
+    docs = spark.createDataFrame([(k, x, None, None, 0) for k, x in rows], SCHEMA)
+    kept = stage("benchmark decontamination")(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
