@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codequarry.catalog import query, r6, table, vectors
 from codequarry.functions import vectors as V
 from codequarry.operators import search as S
-from codequarry.session import durable
+from codequarry.operators.pivots import build_index
+from codequarry.session import durable, scratch_path
 from codequarry.operators.aggregates import histogram
 from codequarry.operators.clustering import cluster_profile
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed
@@ -89,6 +91,58 @@ def knn_latent_l2(spark, folder):
     return _scores(S.knn(points, S.query_vector(points, 0), S.TOP_LATENT, "l2"))
 
 
+def _index(spark, points, metric, p=2.0):
+    return build_index(points, scratch_path(spark, "index"), metric, p)
+
+
+@query(
+    "knn_pivots_latent",
+    _knn_sql(
+        f"list_distance((embedding::DOUBLE[])[1:3], {_Q.format(0)}[1:3])", "ASC", S.TOP_LATENT
+    ),
+)
+def knn_pivots_latent(spark, folder):
+    """The latent search on a stored index of distances to pivots."""
+    points = vectors(spark, folder).select("id", F.slice("vec", 1, 3).alias("vec"))
+    return _scores(_index(spark, points, "l2").knn(S.query_vector(points, 0), S.TOP_LATENT))
+
+
+@query(
+    "knn_pivots_p3",
+    _knn_sql(_minkowski_sql("embedding::DOUBLE[]", _Q.format(0), 3.0), "ASC", 100),
+)
+def knn_pivots_p3(spark, folder):
+    points = vectors(spark, folder)
+    return _scores(_index(spark, points, "minkowski", 3.0).knn(S.query_vector(points, 0), S.TOP_FULL))
+
+
+@query("knn_pivots_skipped")
+def knn_pivots_skipped(spark, folder):
+    """How many rows of the latent index a search for ten leaves unread."""
+    points = vectors(spark, folder).select("id", F.slice("vec", 1, 3).alias("vec"))
+    return _index(spark, points, "l2").skipped(S.query_vector(points, 0), S.TOP_SIMILAR)
+
+
+@query(
+    "knn_join",
+    """WITH s AS (SELECT a.vec_id AS qid, b.vec_id AS id,
+                         list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+                  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)
+       SELECT qid, id, round(score, 6) + 0e0 AS score,
+              row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank
+       FROM s QUALIFY rank <= 5""",
+)
+def knn_join(spark, folder):
+    """Every vector's nearest others: as many queries as rows."""
+    points = vectors(spark, folder)
+    found = S.knn_batch(points, points.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), 6, "l2")
+    others = found.where("qid <> id")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))
+    return others.withColumn("rank", rank).where("rank <= 5").select(
+        "qid", "id", r6("score").alias("score"), F.col("rank").cast("bigint")
+    )
+
+
 @query(
     "knn_hydrated",
     f"""WITH s AS (SELECT vec_id AS id,

@@ -99,12 +99,13 @@ def list_fill_stats(df: DataFrame, col: str) -> DataFrame:
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in the stated order; NULL keys count as equal.
 
-    Text keys are told apart by their 128-bit digests, so no text is sorted or
-    compared. Spark limits each task to the first row per key before the
-    shuffle, so a text copied into a third of all rows does not pile up.
+    Rows are dealt and sorted by the digests of text keys, and texts are
+    compared where digests agree, so two texts of one digest stay two. Spark
+    limits each task to the first row per key before the shuffle, so a text
+    copied into a third of all rows does not pile up.
     """
     text = [key for key in keys if isinstance(df.schema[key].dataType, T.StringType)]
-    first = Window.partitionBy(*[F.md5(k) if k in text else F.col(k) for k in keys]).orderBy(*order)
+    first = Window.partitionBy(*[F.md5(k) for k in text], *keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
 
 

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.window import Window
 
 from codequarry.functions.text import search_text
-from codequarry.functions.vectors import against, measure, measure_to, metric_kernel
+from codequarry.functions.vectors import measure, measure_to, metric_kernel
 from codequarry.operators.joins import pair_vectors
+from codequarry.operators.pivots import knn_join
+from codequarry.session import durable
 
 # Results shown for a snippet, for a dot-product ranking, for a
 # search on whole vectors and for a search on latent points.
@@ -24,9 +20,6 @@ TOP_DOT = 5
 TOP_FULL = 100
 TOP_LATENT = 500
 
-# Query numbers per block of a batch search: 8 MiB of doubles.
-QUERY_BLOCK_CELLS = 1 << 20
-
 
 def query_vector(df: DataFrame, key, id_col: str = "id", vec: str = "vec") -> list[float]:
     """The vector of one id; the lookup reaches the parquet scan."""
@@ -75,7 +68,7 @@ def knn_hydrated(
 
     The winners, k rows, are broadcast to the texts, which do not move.
     """
-    winners = knn(vectors, query, k, metric, p, farthest, id_col, vec)
+    winners = durable(knn(vectors, query, k, metric, p, farthest, id_col, vec))
     return _attach(winners, [texts], id_col)
 
 
@@ -92,39 +85,6 @@ def _attach(winners: DataFrame, tables: Sequence[DataFrame], id_col: str) -> Dat
     return out
 
 
-class _Best:
-    """The best ``k`` (badness, id) of each query that one task has seen."""
-
-    def __init__(self, queries: int, k: int, kind: pa.DataType):
-        self.k = k
-        self.badness = np.empty((queries, 0))
-        self.rows = np.empty((queries, 0), np.int64)
-        self.ids = pa.array([], kind)
-
-    def add(self, badness: np.ndarray, ids: pa.Array) -> None:
-        """``badness`` has a row for each query and a column for each id."""
-        together = np.concatenate([self.badness, np.where(np.isfinite(badness), badness, np.inf)], axis=1)
-        first = len(self.ids)
-        new = np.broadcast_to(np.arange(first, first + badness.shape[1]), badness.shape)
-        rows = np.concatenate([self.rows, new], axis=1)
-        every = pa.concat_arrays([self.ids, ids])
-        rank = np.empty(len(every), np.int64)
-        rank[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
-        keep = np.lexsort((rank[rows], together))[:, : self.k]
-        self.badness = np.take_along_axis(together, keep, 1)
-        rows = np.take_along_axis(rows, keep, 1)
-        used, self.rows = np.unique(rows, return_inverse=True)
-        self.rows = self.rows.reshape(rows.shape)
-        self.ids = every.take(pa.array(used))
-
-
-def _badness(metric: str, p: float, queries: list[np.ndarray], vectors: pa.Array) -> np.ndarray:
-    """How far each vector is from each query; NaN where it cannot be told."""
-    kernel, larger_is_nearer = metric_kernel(metric, p)
-    sign = -1.0 if larger_is_nearer else 1.0
-    return sign * np.stack([against(kernel, vectors, query) for query in queries])
-
-
 def knn_batch(
     df: DataFrame,
     queries: DataFrame,
@@ -134,56 +94,11 @@ def knn_batch(
     id_col: str = "id",
     vec: str = "vec",
 ) -> DataFrame:
-    """(qid, id, score, rank): the ``k`` nearest rows to each of many queries.
+    """(qid, id, score, rank): the ``k`` nearest rows to each of many queries (qid, qvec).
 
-    ``queries`` holds (qid, qvec). They are taken in blocks of a fixed size;
-    a block goes to every executor and the vectors are passed over once for
-    it, where they lie. A task returns at most ``k`` rows per query, which
-    Spark ranks.
+    An exact join by distances to pivots, see :func:`pivots.knn_join`.
     """
-    spark = df.sparkSession
-    qid_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "qid"), (df, id_col)))
-    _, larger_is_nearer = metric_kernel(metric, p)
-    sign = -1.0 if larger_is_nearer else 1.0
-    schema = f"qid {qid_kind}, `{id_col}` {id_kind}, score double"
-
-    def best_in(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)  # QUERY_BLOCK_CELLS numbers or so
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            targets = [np.asarray(vector, np.float64) for _, vector in shared.value]
-            best = None
-            for batch in batches:
-                best = best or _Best(len(targets), k, batch.column(0).type)
-                best.add(_badness(metric, p, targets, batch.column(1)), batch.column(0))
-            if best is not None:
-                found = np.isfinite(best.badness)
-                of, _ = np.nonzero(found)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([shared.value[i][0] for i in of.tolist()], qid_type),
-                        best.ids.take(pa.array(best.rows[found])),
-                        pa.array(sign * best.badness[found]),
-                    ],
-                    names=["qid", id_col, "score"],
-                )
-
-        return df.select(id_col, vec).mapInArrow(run, schema)
-
-    qid_type = to_arrow_type(queries.schema["qid"].dataType)
-    parts, block, cells = [], [], 0
-    for row in queries.select("qid", "qvec").where("qvec IS NOT NULL").toLocalIterator():
-        block.append((row.qid, row.qvec))
-        cells += len(row.qvec)
-        if cells >= QUERY_BLOCK_CELLS:
-            parts.append(best_in(block))
-            block, cells = [], 0
-    if block or not parts:
-        parts.append(best_in(block) if block else spark.createDataFrame([], schema))
-    found = reduce(DataFrame.union, parts)
-    best = F.desc("score") if larger_is_nearer else F.asc("score")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(best, id_col))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return knn_join(df, queries, k, metric, p, id_col, vec)
 
 
 def pairwise_similarity(
@@ -223,4 +138,4 @@ def text_search(
         found = knn(vectors.limit(0), [0.0], 1, metric, p, False, id_col, vec)
     else:
         found = knn(vectors, row.vec, k, metric, p, False, id_col, vec)
-    return _attach(found, attach, id_col) if attach else found
+    return _attach(durable(found), attach, id_col) if attach else found

@@ -173,3 +173,24 @@ def test_raster_edges(spark):
     assert pairs(A.raster_counts(df, "x", "y", "c", 4, 2)) == [(0, 0, 1, 1), (2, 1, 2, 1), (3, 1, 1, 1)]
     flat = df.where("x = 0.0")
     assert pairs(A.raster_counts(flat, "x", "y", "c", 4, 2)) == [(0, 0, 1, 1)]
+
+
+# Two byte strings with one MD5, published in 2004.
+COLLIDING = (
+    "d131dd02c5e6eec4693d9a0698aff95c2fcab58712467eab4004583eb8fb7f8955ad340609f4b30283e488832571415a085125e8f7cdc99f"
+    "d91dbdf280373c5bd8823e3156348f5bae6dacd436c919c6dd53e2b487da03fd02396306d248cda0e99f33420f577ee8ce54b67080a80d1e"
+    "c69821bcb6a8839396f9652b6ff72a70",
+    "d131dd02c5e6eec4693d9a0698aff95c2fcab50712467eab4004583eb8fb7f8955ad340609f4b30283e4888325f1415a085125e8f7cdc99f"
+    "d91dbd7280373c5bd8823e3156348f5bae6dacd436c919c6dd53e23487da03fd02396306d248cda0e99f33420f577ee8ce54b67080280d1e"
+    "c69821bcb6a8839396f965ab6ff72a70",
+)
+
+
+def test_texts_of_one_digest_stay_two(spark):
+    rows = spark.createDataFrame([(i, COLLIDING[i % 2]) for i in range(40)], "id int, h string").repartition(5)
+    texts = rows.select("id", F.unhex("h").cast("string").alias("text"))
+    assert texts.select(F.md5("text")).distinct().count() == 1
+    kept = A.dedup_first(texts, ["text"], ["id"])
+    assert sorted(r.id for r in kept.select("id").collect()) == [0, 1]
+    both = A.dedup_first(texts.withColumn("k", F.col("id") % 4), ["k", "text"], ["id"])
+    assert sorted(r.id for r in both.select("id").collect()) == [0, 1, 2, 3]

@@ -1,10 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions import vectors as V
+from codequarry.operators import pivots
 from codequarry.operators import search as S
+from codequarry.session import scratch_path
 
 
 def score(spark, a, b, metric, p=2.0):
@@ -67,8 +70,9 @@ def test_knn_returns_all_when_k_is_large(points):
 def test_knn_batch_equals_single_queries(spark, points, monkeypatch):
     queries = [(q, [float(q), 1.0, 2.0]) for q in range(5)]
     df = spark.createDataFrame(queries, "qid bigint, qvec array<double>")
-    for cells in (1 << 20, 4):  # one block, several
-        monkeypatch.setattr(S, "QUERY_BLOCK_CELLS", cells)
+    for rows, asked in ((4096, 1024), (7, 2)):  # one part, several
+        monkeypatch.setattr(pivots, "CELL_ROWS", rows)
+        monkeypatch.setattr(pivots, "QUERY_ROWS", asked)
         for metric in ("dot", "l2"):
             batch = S.knn_batch(points, df, 7, metric).orderBy("qid", "rank").collect()
             single = [
@@ -79,6 +83,87 @@ def test_knn_batch_equals_single_queries(spark, points, monkeypatch):
             assert [tuple(row) for row in batch] == single
 
 
+@pytest.fixture(scope="module")
+def odd_vectors(spark):
+    """Clusters, one very common vector, ties, other widths, zeros, NULLs, NaN and infinity."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 4)) * 0.3 + rng.integers(0, 3, size=(600, 1)) * 6.0 - 5.0
+    x[100:300] = x[100]
+    rows = [(i % 550, v.tolist()) for i, v in enumerate(x)]
+    rows += [(700 + i, [float(i), 1.0]) for i in range(5)] + [(800, [0.0] * 4), (801, None), (802, [])]
+    rows += [(803, [math.nan] * 4), (804, [math.inf] * 4), (805, [1.0, None, 2.0, 3.0]), (None, [1.0] * 4)]
+    return spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(4).cache()
+
+
+def nearest(rows, q, k, metric, p):
+    """(score, id) of the best ``k`` rows, in plain numpy."""
+    kernel, larger = V.metric_kernel(metric, p)
+    found = []
+    for r in rows:
+        if r.vec and q and len(r.vec) == len(q) and None not in r.vec and None not in q:
+            with np.errstate(all="ignore"):
+                score = float(kernel(np.array([r.vec]), np.array([q]))[0])
+            if math.isfinite(score):
+                found.append(((-score if larger else score), (r.id is not None, r.id or 0), score))
+    return [(round(s, 9), key[1] if key[0] else None) for _, key, s in sorted(found)[:k]]
+
+
+@pytest.mark.parametrize("metric, p", [("l2", 2), ("cosine", 2), ("dot", 2), ("minkowski", 3), ("minkowski", 0.5)])
+def test_knn_join_against_numpy(spark, odd_vectors, monkeypatch, metric, p):
+    for name, value in (("CELL_ROWS", 50), ("QUERY_ROWS", 3)):
+        monkeypatch.setattr(pivots, name, value)
+    rows = odd_vectors.collect()
+    asked = [(i, r.vec) for i, r in enumerate(rows) if i % 23 == 0 or i > 595]
+    queries = spark.createDataFrame(asked, "qid bigint, qvec array<double>")
+    got = {}
+    for r in pivots.knn_join(odd_vectors, queries, 9, metric, p).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((round(r.score, 9), r.id))
+    for qid, vec in asked:
+        assert [s for s, _ in got.get(qid, [])] == pytest.approx([s for s, _ in nearest(rows, vec, 9, metric, p)])
+    # Far from ties the ids are the same too.
+    assert sum(got.get(q) == nearest(rows, v, 9, metric, p) for q, v in asked if got.get(q)) > 0.6 * len(got)
+
+
+def test_knn_join_skips_cells(spark, monkeypatch):
+    """Rows in clusters far apart: a query meets the cells of its own."""
+    monkeypatch.setattr(pivots, "CELL_ROWS", 100)
+    df = spark.range(2000).selectExpr("id", "array(double(id % 10 * 1000 + id % 7), double(id % 3)) AS vec")
+    asked = []
+    join = pivots.durable
+    monkeypatch.setattr(pivots, "durable", lambda x: asked.append(join(x)) or asked[-1])
+    found = pivots.knn_join(df, df.selectExpr("id AS qid", "vec AS qvec"), 3, "l2")
+    assert found.count() == 6000
+    cells = asked[0].select("cell").distinct().count()
+    assert cells >= 10 and asked[1].count() <= 0.5 * 2000 * cells
+
+
+@pytest.mark.parametrize("metric, p", [("l2", 2), ("cosine", 2), ("minkowski", 1), ("minkowski", 3)])
+def test_index_against_scan(spark, odd_vectors, metric, p):
+    index = pivots.build_index(odd_vectors, scratch_path(spark, "index"), metric, p)
+    for query, k in (([1.0, 2.0, 0.5, 1.0], 7), ([-5.0] * 4, 250), ([7.0] * 4, 1000), ([1.0, 1.0], 3)):
+        got = [(r.id, round(r.score, 9)) for r in index.knn(query, k).collect()]
+        want = [(r.id, round(r.score, 9)) for r in S.knn(odd_vectors, query, k, metric, p).collect()]
+        if len(query) == 4:
+            assert [s for _, s in got] == [s for _, s in want]
+
+
+def test_index_skips_rows_and_row_groups(spark):
+    df = spark.range(4000).selectExpr("id", "array(double(id % 40 * 100), double(id % 13)) AS vec")
+    index = pivots.build_index(df, scratch_path(spark, "index"), "l2")
+    seen = index.skipped([500.0, 3.0], 10).first()
+    assert seen.rows == 4000 and seen.skipped > 3000
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = index.near([500.0, 3.0], 10.0)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(d0" in plan.split("PushedFilters:")[1]
+
+
+def test_index_needs_a_metric(spark, odd_vectors):
+    for metric, p in (("dot", 2.0), ("minkowski", 0.5)):
+        with pytest.raises(ValueError):
+            pivots.build_index(odd_vectors, "unused", metric, p)
+
+
 def test_hydrate_keeps_ids_without_text(spark, points):
     texts = spark.createDataFrame([(3, "three")], "id bigint, text string")
     found = S.knn_hydrated(points, texts, [3.0, 1.0, 0.0], 5)
