@@ -16,6 +16,7 @@ from codequarry.operators import reduction as R
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.scoring import score_batches
 from codequarry.operators.silhouettes import labelled_silhouettes
+from codequarry.operators.sketch_svd import fit_svd_sketch
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed, tfidf_vectors
 
 # Numbers in a vector of the test tables.
@@ -266,6 +267,25 @@ def svd_spectrum(spark, folder):
     )
 
 
+@query(
+    "svd_sketch_spectrum",
+    """WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v,
+                         generate_subscripts(embedding, 1) AS d FROM embeddings),
+            g AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) AS p FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
+       SELECT round(sum(p) FILTER (WHERE i = j), 4) + 0e0 AS squares,
+              round(sum(p * p) / 1000, 4) + 0e0 AS fourths FROM g""",
+)
+def svd_sketch_spectrum(spark, folder):
+    """The same from the sketch, which is exact where it is as wide as the vectors."""
+    rows = vectors(spark, folder).select("id", R.array_to_vector("vec").alias("features"))
+    model, _ = fit_svd_sketch(rows, WIDTH)
+    found = spark.createDataFrame([(float(s),) for s in model.singular_values], "s double")
+    return found.agg(
+        (F.round(F.sum(F.pow("s", F.lit(2))), 4) + F.lit(0.0)).alias("squares"),
+        (F.round(F.sum(F.pow("s", F.lit(4))) / 1000, 4) + F.lit(0.0)).alias("fourths"),
+    )
+
+
 @query(
     "silhouette_samples",
     _SILHOUETTE

@@ -9,7 +9,9 @@ from codequarry.catalog import query, r6, table
 from codequarry.functions import text as T
 from codequarry.functions.source_code import BodySplit
 from codequarry.operators import tfidf as M
+from codequarry.operators.impacts import build_impacts
 from codequarry.plans import corpus
+from codequarry.session import scratch_path
 
 
 @query(
@@ -277,6 +279,27 @@ def tfidf_top_terms(spark, folder):
     return top.select("doc_id", "term", r6("weight").alias("weight"))
 
 
+_TYPED = "The licensed work, by any person: the the a work and license"
+
+
+@query(
+    "text_search_impacts",
+    _TFIDF
+    + f""", q AS (SELECT unnest(regexp_extract_all(lower('{_TYPED}'), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term),
+         c AS (SELECT term, count(*) AS tf FROM q GROUP BY term),
+         i AS (SELECT term, tf * (ln((1e0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw
+               FROM c JOIN (SELECT term, count(*) AS df FROM w GROUP BY term) USING (term)),
+         n AS (SELECT term, raw / sqrt(sum(raw * raw) OVER ()) AS own FROM i),
+         s AS (SELECT doc_id, sum(weight * own) AS score FROM w JOIN n USING (term) GROUP BY doc_id)
+         SELECT doc_id, round(score, 6) + 0e0 AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 40""",
+)
+def text_search_impacts(spark, folder):
+    """The best of all documents by the cosine of their TF-IDF weights, on the impact index."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = build_impacts(docs, scratch_path(spark, "impacts"), "doc_id")
+    return index.search(_TYPED, 40).select("doc_id", r6("score").alias("score"))
+
+
 @query(
     "tfidf_vectors",
     _TFIDF

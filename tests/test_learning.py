@@ -1,14 +1,16 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from codequarry.operators import clustering as C
-from codequarry.operators import lloyd
+from codequarry.operators import impacts, lloyd, sketch_svd
 from codequarry.operators import reduction as R
 from codequarry.operators import silhouettes
 from codequarry.operators import tfidf as M
 from codequarry.operators.scoring import score_batches
+from codequarry.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +81,75 @@ def test_svd_of_sparse_rows(spark):
     assert np.allclose(matrix(scored), x @ model.components)
 
 
+def sparse_rows(spark, x):
+    rows = [(i, Vectors.sparse(len(r), [(j, float(v)) for j, v in enumerate(r) if v])) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, ["id", "features"]).repartition(3)
+
+
+@pytest.mark.parametrize(("k", "power"), [(4, 5), (40, 0)])
+def test_sketch_svd(spark, monkeypatch, k, power):
+    """Tiles, bands and triangles of any size; a fast falling spectrum, or the whole of one."""
+    for name, value in (("BLOCK_ROWS", 30), ("COLUMN_CELLS", 64 * 14), ("BAND_BLOCKS", 2), ("FAN", 1)):
+        monkeypatch.setattr(sketch_svd, name, value)
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((200, 150)) < 0.1, rng.normal(size=(200, 150)), 0.0)
+    if k < 40:
+        x = x @ np.diag(0.5 ** np.arange(150))  # sparse still
+    else:
+        x[:, 40:] = 0.0
+    x[7], x[:, 3] = 0.0, 0.0
+    model, scored = sketch_svd.fit_svd_sketch(sparse_rows(spark, x), k, power=power)
+    rank = len(model.singular_values)
+    assert rank == min(k, 39)
+    assert np.allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:rank], rtol=1e-6)
+    v = np.array([r.vec for r in model.components.orderBy("column").collect()])
+    assert v.shape == (150, rank) and np.allclose(v.T @ v, np.eye(rank), atol=1e-9)
+    scores = matrix(scored)
+    assert scores.shape == (200, rank) and np.allclose(scores, x @ v, atol=1e-4)
+    assert np.allclose(model.ratios, scores.var(axis=0) / x.var(axis=0).sum(), atol=1e-6)
+    assert all(c[np.abs(c).argmax()] > 0 for c in v.T)
+
+
+def test_sketch_svd_of_text_vectors(spark):
+    texts = [(i, f"alpha beta{i % 4} gamma{i % 3} delta{i % 7}" if i else "") for i in range(60)]
+    features, _ = M.tfidf_vectors(spark.createDataFrame(texts, "id bigint, text string"))
+    x = np.array([row.features.toArray() for row in features.orderBy("id").collect()])
+    model, scored = sketch_svd.fit_svd_sketch(features, 500)
+    full = np.linalg.svd(x, compute_uv=False)
+    assert np.allclose(model.singular_values, full[full > 1e-9])
+    assert np.allclose((matrix(scored) ** 2).sum(axis=0), model.singular_values**2)
+
+
+def test_sketch_svd_of_nothing(spark):
+    empty = sparse_rows(spark, np.zeros((3, 5)))
+    model, scored = sketch_svd.fit_svd_sketch(empty, 2)
+    assert len(model.singular_values) == 0 and scored.count() == 3
+    model, scored = sketch_svd.fit_svd_sketch(empty.limit(0), 2)
+    assert len(model.singular_values) == 0 and scored.count() == 0
+
+
+def test_impacts_against_every_cosine(spark, monkeypatch):
+    monkeypatch.setattr(impacts, "BLOCK_POSTINGS", 8)
+    rng = np.random.default_rng(3)
+    words = [f"w{int(v)}" for v in np.minimum(rng.pareto(0.8, 6000), 300)]
+    texts = [(i, " ".join(words[i * 15 : i * 15 + int(rng.integers(1, 15))])) for i in range(400)]
+    texts += [(400, ""), (401, None), (402, "? !"), (403, texts[5][1]), (404, texts[5][1])]
+    df = spark.createDataFrame(texts, "id bigint, text string").repartition(5)
+    index = impacts.build_impacts(df, scratch_path(spark, "impacts"))
+    weights = {}
+    for r in M.tfidf(df).collect():
+        weights.setdefault(r.id, {})[r.term] = r.weight
+    for text, k in (("w1 w2 w50", 5), ("w0 w0 w3", 10), ("w7", 500), (texts[5][1], 3), ("w1 unheard", 4)):
+        query = index.weigh(text)
+        assert sum(w * w for w in query.values()) == pytest.approx(1.0)
+        scores = {i: sum(query.get(t, 0) * w for t, w in own.items()) for i, own in weights.items()}
+        want = sorted((-round(s, 9), i) for i, s in scores.items() if s > 0)[:k]
+        assert [(-round(r.score, 9), r.id) for r in index.search(text, k).collect()] == want
+    assert index.search("unheard", 5).collect() == [] and index.search("", 5).collect() == []
+    seen = index.skipped("w0 w150", 3).first()
+    assert 0 < seen.skipped < seen.blocks
+
+
 def test_tfidf_weights(spark):
     df = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc I"), (3, "?")], "id bigint, text string")
     two = df.where("id < 3")
