@@ -13,11 +13,13 @@ from codequarry.catalog import query, r6, table, vectors
 from codequarry.functions.vectors import norm2
 from codequarry.operators import clustering as C
 from codequarry.operators import reduction as R
+from codequarry.operators.moments import Moments, moments
 from codequarry.operators.rows import argmax_row
 from codequarry.operators.scoring import score_batches
 from codequarry.operators.silhouettes import labelled_silhouettes
 from codequarry.operators.sketch_svd import fit_svd_sketch
 from codequarry.operators.tfidf import fit_hashed_tfidf, hash_embed, tfidf_vectors
+from codequarry.session import scratch_path
 
 # Numbers in a vector of the test tables.
 WIDTH = 64
@@ -34,6 +36,42 @@ def covariance(spark, folder):
     return R.covariance(vectors(spark, folder)).withColumn("cov", r6("cov"))
 
 
+def _halves(spark, folder):
+    """A state of one half of the vectors, stored, read back and extended by the other."""
+    points = vectors(spark, folder)
+    path = scratch_path(spark, "moments")
+    moments(points.where("id % 2 = 0")).write(spark, path)
+    return Moments.read(spark, path).extend(points.where("id % 2 <> 0"))
+
+
+@query(
+    "covariance_merged",
+    """WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v,
+                         generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
+       SELECT a.d AS i, b.d AS j, round(covar_samp(a.v, b.v), 6) + 0e0 AS cov
+       FROM x a JOIN x b USING (vec_id) GROUP BY ALL""",
+)
+def covariance_merged(spark, folder):
+    found = _halves(spark, folder).covariance()
+    i, j = np.indices(found.shape).reshape(2, -1)
+    rows = list(zip(i.tolist(), j.tolist(), found.ravel().tolist()))
+    return spark.createDataFrame(rows, "i bigint, j bigint, cov double").withColumn("cov", r6("cov"))
+
+
+@query(
+    "pca_incremental",
+    """SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[],
+              (SELECT list(m ORDER BY d) FROM (SELECT d, avg(v) AS m FROM (
+                 SELECT unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS d
+                 FROM embeddings) GROUP BY d))), 6) + 0e0 AS from_centre
+       FROM embeddings""",
+)
+def pca_incremental(spark, folder):
+    """The model of a state in two parts, with all components: lengths of scores are distances to the centre."""
+    scores = _halves(spark, folder).model(WIDTH).transform(vectors(spark, folder))
+    return scores.select("id", r6(norm2(F.col("vec"))).alias("from_centre"))
+
+
 @query(
     "pca_distances",
     """SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[],

@@ -5,7 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from codequarry.operators import clustering as C
-from codequarry.operators import impacts, lloyd, sketch_svd
+from codequarry.operators import impacts, lloyd, moments, sketch_svd
 from codequarry.operators import reduction as R
 from codequarry.operators import silhouettes
 from codequarry.operators import tfidf as M
@@ -47,6 +47,39 @@ def test_pca_of_a_ragged_row_is_null(spark, cloud):
     assert [row.vec is None for row in found] == [True, True, False]
 
 
+@pytest.mark.parametrize("far", [0.0, 1e6])
+def test_incremental_pca(spark, cloud, far):
+    """Parts stored, extended and merged in any order equal the whole, also far from the origin."""
+    df, x = cloud
+    df, x = df.withColumn("vec", F.transform("vec", lambda v: v + far)), x + far
+    path = scratch_path(spark, "moments")
+    moments.moments(df.where("id < 30")).write(spark, path)
+    state = moments.Moments.read(spark, path).extend(df.where("id >= 30 AND id < 100"))
+    other = moments.nothing().extend(df.where("id >= 100"))
+    for both in (state.merge(other), other.merge(state), moments.moments(df)):
+        assert both.n == 240 and np.allclose(both.mean, x.mean(axis=0), rtol=1e-12)
+        assert np.allclose(both.covariance(), np.cov(x.T), atol=1e-9 * max(1.0, far))
+    if not far:
+        whole, model = R.fit_pca(df, 3), state.merge(other).model(3)
+        assert np.allclose(model.ratios, whole.ratios, atol=1e-9)
+        assert np.allclose(model.components, whole.components, atol=1e-9)
+        assert np.allclose(matrix(model.transform(df)), matrix(whole.transform(df)), atol=1e-9)
+
+
+def test_moments_of_odd_rows(spark):
+    odd = spark.createDataFrame(
+        [(1, [1.0, 2.0]), (2, None), (3, [3.0]), (4, [5.0, None]), (5, [3.0, 6.0]), (6, [])], "id int, vec array<double>"
+    )
+    state = moments.moments(odd)
+    assert state.n == 2 and state.mean.tolist() == [2.0, 4.0]
+    assert state.extend(odd.limit(0)).n == 2 and moments.moments(odd.limit(0)).n == 0
+    path = scratch_path(spark, "moments")
+    moments.nothing().write(spark, path)
+    assert moments.Moments.read(spark, path).n == 0
+    with pytest.raises(ValueError):
+        state.merge(moments.moments(odd.where("id = 3")))
+
+
 def test_variance_table(spark):
     rows = R.variance_table(spark, [0.5, 0.3, 0.1]).orderBy("component").collect()
     assert [round(r.cumulative, 9) for r in rows] == [0.5, 0.8, 0.9]
