@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +16,30 @@ FIRST_DAY = "1800-01-01"
 # long run and never goes back into one, so long texts cost no more than short.
 EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,8}[A-Za-z]{2,24}"
 PHONE = r"(?<![\d(])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+ABROAD = r"(?<![\p{L}\d+])\+[1-9]\d{0,2}(?:[ .\-]?\(0\))?(?:[ .\-]?\d{1,8}+){2,6}(?![\d\p{L}]|[.\-]\d)"
 CARD = r"(?<!\d)(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5}|\d{13,19}+)(?!\d)"
 SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d\-/])(?<!\d\.)(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/]|-\d|\.\d)"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?<=token = \")[0-9A-Fa-f]{40}(?=\")|(?<=\bpassword=)[0-9A-Za-z]{6,128}+"
-ANY = "|".join(f"(?:{p})" for p in (SECRET, EMAIL, PHONE, CARD, SOCIAL, ADDRESS, DATE))
-
-# Runs of characters that are permuted among themselves, by first and size.
-CLASSES = ((48, 10), (65, 26), (97, 26), (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8))
+ANY = "|".join(f"(?:{p})" for p in (SECRET, EMAIL, PHONE, ABROAD, CARD, SOCIAL, ADDRESS, DATE))
+
+# Runs of characters that are permuted among themselves, by first
+# and size: digits and letters of ASCII; letters and digits of other blocks.
+PLAIN = ((48, 10), (65, 26), (97, 26))
+BLOCKS = (
+    (0xC0, 23), (0xD8, 7), (0xE0, 23), (0xF8, 8), (0x100, 128), (0x180, 64), (0x391, 17), (0x3A3, 7), (0x3B1, 25),
+    (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16), (0x531, 38), (0x561, 38), (0x5D0, 27), (0x620, 43),
+    (0x660, 10), (0x904, 54), (0x966, 10), (0xE01, 48), (0x10D0, 43), (0x1E00, 150), (0x3041, 86), (0x30A1, 90),
+    (0x4E00, 20992), (0xAC00, 11172),
+)
+
+# Possible social-security numbers: areas but 000, 666 and 900 on, groups but
+# 00, serials but 0000; and the least side whose square holds them all.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+SOCIAL_SIDE = 29815
+# Steps after which a walk gives up; less than one value in 10**20 takes more.
+WALK = 64
 
 
 def _digest(secret: Column, *parts: Column) -> Column:
@@ -46,7 +63,20 @@ def feistel_number(value: Column, side: int, secret: Column) -> Column:
     )
 
 
-def _shift(text: Column, mark: Column, hexadecimal: bool) -> Column:
+def walk(value: Column, side: int, secret: Column, inside: Callable[[Column], Column]) -> Column:
+    """A keyed permutation of those numbers below ``side`` squared that are ``inside``.
+
+    The number is permuted until it comes out inside: the cycle through an
+    inside number leads back to one.
+    """
+
+    def step(state: Column, _: Column) -> Column:
+        return F.when(inside(state), state).otherwise(feistel_number(state, side, secret))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), feistel_number(value, side, secret), step)
+
+
+def _shift(text: Column, mark: Column, hexadecimal: bool, classes: tuple = PLAIN) -> Column:
     """Each character moved within its class by its byte of ``mark``, 64 hexadecimal digits."""
 
     def one(at: Column) -> Column:
@@ -54,26 +84,33 @@ def _shift(text: Column, mark: Column, hexadecimal: bool) -> Column:
         code = F.ascii(letter)
         drawn = F.conv(mark.substr(F.pmod(at, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         moved = letter
-        for first, size in CLASSES:
+        for first, size in reversed(classes):
             size = 6 if hexadecimal and size == 26 else size
             inside = (code >= first) & (code < first + size)
-            moved = F.when(inside, F.char(F.pmod(code - first + drawn, F.lit(size)) + first)).otherwise(moved)
+            to = F.pmod(code - first + drawn, F.lit(size)) + first
+            moved = F.when(inside, _char(to) if first > 255 else F.char(to)).otherwise(moved)
         return moved
 
     places = F.sequence(F.lit(0), F.length(text) - 1)
     return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(places, one), ""))
 
 
-def feistel_text(text: Column, secret: Column, hexadecimal: bool = False) -> Column:
-    """A keyed permutation of the texts whose characters have the same classes in turn.
+def _char(code: Column) -> Column:
+    """The character of a code point of four hexadecimal digits."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
+def feistel_text(text: Column, secret: Column, hexadecimal: bool = False, classes: tuple = PLAIN) -> Column:
+    """A keyed permutation of the texts whose characters have the same ``classes`` in turn.
 
     The halves are added to in turn, each by what the other and the key give.
-    Characters of no class stay.
+    Characters of no class stay. The permutation of a text of one character
+    is a shift by the key.
     """
 
     def step(state: Column, turn: Column) -> Column:
         mark = _digest(secret, turn.cast("string"), state["r"])
-        return F.struct(state["r"].alias("l"), _shift(state["l"], mark, hexadecimal).alias("r"))
+        return F.struct(state["r"].alias("l"), _shift(state["l"], mark, hexadecimal, classes).alias("r"))
 
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(
@@ -132,9 +169,27 @@ def _phone(found: Column, secret: Column) -> Column:
     return F.concat(code, _refill(rest, feistel_text(_digits(rest), secret)))
 
 
+def _abroad(found: Column, secret: Column) -> Column:
+    """The country's code stays, so only equal codes and layouts share their pseudonyms."""
+    code = F.regexp_extract(found, r"^\+[1-9]\d{0,2}(?:[ .\-]?\(0\))?", 0)
+    rest = found.substr(F.length(code) + 1, F.length(found))
+    total = F.length(_digits(found))
+    return F.when(total.between(8, 15), F.concat(code, _refill(rest, feistel_text(_digits(rest), secret)))).otherwise(found)
+
+
 def _social(found: Column, secret: Column) -> Column:
+    """The number of a possible number among all possible ones is permuted."""
     valid = found.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
-    return F.when(valid, _refill(found, feistel_text(_digits(found), secret))).otherwise(found)
+    area, group, serial = (found.substr(at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    place = area - F.when(area > 666, 2).otherwise(1)
+    number = (place * GROUPS + group - 1) * SERIALS + serial - 1
+    moved = walk(number, SOCIAL_SIDE, secret, lambda n: n < AREAS * GROUPS * SERIALS)
+    place = F.floor(moved / (GROUPS * SERIALS))
+    area = place + F.when(place >= 665, 2).otherwise(1)
+    group = F.pmod(F.floor(moved / SERIALS), F.lit(GROUPS)) + 1
+    serial = F.pmod(moved, F.lit(SERIALS)) + 1
+    text = [F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (group, 2), (serial, 4))]
+    return F.when(valid, F.concat_ws("-", *text)).otherwise(found)
 
 
 def _address(found: Column, secret: Column) -> Column:
@@ -149,25 +204,33 @@ def _address(found: Column, secret: Column) -> Column:
 
 
 def _date(found: Column, secret: Column) -> Column:
-    out = found
+    """A day becomes a day of the same reading.
+
+    What can be month/day is; only other texts are day/month, and become days
+    after the 12th, which can be nothing else. So no two readings share a text.
+    """
     origin = F.to_date(F.lit(FIRST_DAY))
-    for shape, forms in (
-        (r"^\d{2}\.", ("dd.MM.yyyy",)),
-        (r"^\d{2}/", ("dd/MM/yyyy", "MM/dd/yyyy")),
-        (r"^\d{4}-", ("yyyy-MM-dd",)),
+    on = lambda n: F.date_add(origin, n.cast("int"))
+    out = found
+    for shape, form, late in (
+        (r"^\d{2}\.", "dd.MM.yyyy", False),
+        (r"^\d{2}/", "dd/MM/yyyy", True),
+        (r"^\d{2}/", "MM/dd/yyyy", False),
+        (r"^\d{4}-", "yyyy-MM-dd", False),
     ):
-        for form in forms:
-            day = F.try_to_date(found, form)
-            number = F.datediff(day, origin).cast("long")
-            moved = F.date_format(F.date_add(origin, feistel_number(number, DAY_SIDE, secret).cast("int")), form)
-            inside = found.rlike(shape) & number.between(0, DAY_SIDE * DAY_SIDE - 1)
-            out = F.when(inside, moved).otherwise(out)
+        number = F.datediff(F.try_to_date(found, form), origin).cast("long")
+        if late:
+            moved = walk(number, DAY_SIDE, F.concat(secret, F.lit("|late")), lambda n: F.dayofmonth(on(n)) > 12)
+        else:
+            moved = feistel_number(number, DAY_SIDE, secret)
+        inside = found.rlike(shape) & number.between(0, DAY_SIDE * DAY_SIDE - 1)
+        out = F.when(inside, F.date_format(on(moved), form)).otherwise(out)
     return out
 
 
 def _email(found: Column, secret: Column) -> Column:
     local = F.substring_index(found, "@", 1)
-    return F.concat(feistel_text(local, secret), found.substr(F.length(local) + 1, F.length(found)))
+    return F.concat(feistel_text(local, secret, classes=PLAIN + BLOCKS), found.substr(F.length(local) + 1, F.length(found)))
 
 
 def _secret(found: Column, secret: Column) -> Column:
@@ -189,6 +252,7 @@ def pseudonym(found: Column, secret: Column) -> Column:
         ("ssn", f"^(?:{SOCIAL})$", _social),
         ("card", f"^(?:{CARD})$", _card),
         ("phone", f"^(?:{PHONE})$", _phone),
+        ("abroad", f"^(?:{ABROAD})$", _abroad),
     )
     out = _secret(found, F.concat(secret, F.lit("|secret")))
     for name, shape, change in reversed(kinds):
@@ -199,7 +263,8 @@ def pseudonym(found: Column, secret: Column) -> Column:
 def pseudonymize(docs: DataFrame, secret: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the personal data of whole texts replaced; other columns stay.
 
-    E-mail names, telephone, card and social-security numbers, IP addresses
+    E-mail names, telephone numbers (with a country's code in any layout of 8
+    to 15 digits), card and social-security numbers, IP addresses
     and calendar dates are permuted within their format by a Feistel network
     keyed with ``secret`` and the kind: equal values become equal pseudonyms
     in every document, different ones stay different. Card numbers must pass
@@ -208,19 +273,20 @@ def pseudonymize(docs: DataFrame, secret: str, text: str = "text", count: str |
     ``count`` names a column for the number of values changed. NULL stays
     NULL (no values), and a text without a digit or an @ is left as it is.
     """
+    held, new = "__found", "__new"
+    while {held, new} & {*docs.columns, count}:
+        held, new = held + "_", new + "_"
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
-    changed = docs.withColumn("__found", F.when(F.col(text).rlike("[0-9@]"), found))
-    changed = changed.withColumn(
-        "__new", F.transform("__found", lambda x: pseudonym(x, F.lit(secret)))
-    )
+    changed = docs.withColumn(held, F.when(F.col(text).rlike("[0-9@]"), found))
+    changed = changed.withColumn(new, F.transform(held, lambda x: pseudonym(x, F.lit(secret))))
     pieces = F.split(F.col(text), ANY, -1)
     woven = F.array_join(
-        F.zip_with(pieces, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
+        F.zip_with(pieces, F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""
     )
-    some = F.size("__found") > 0
+    some = F.size(held) > 0
     out = changed.withColumn(text, F.when(some, woven).otherwise(F.col(text)))
     if count:
-        differs = F.zip_with("__found", "__new", lambda a, b: (a != b).cast("int"))
+        differs = F.zip_with(held, new, lambda a, b: (a != b).cast("int"))
         total = F.aggregate(differs, F.lit(0), lambda n, x: n + x)
         out = out.withColumn(count, F.coalesce(total, F.lit(0)).cast("long"))
-    return out.drop("__found", "__new")
+    return out.drop(held, new)

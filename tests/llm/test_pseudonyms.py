@@ -55,6 +55,64 @@ def test_values_are_replaced_in_their_format(spark):
             datetime.date.fromisoformat(first)
 
 
+def test_letters_of_any_script(spark):
+    names = ["иван", "Łukasz", "łukasz", "ł", "δημήτρης", "山田太郎", "김철수", "ёж7", "שלום", "محمد", "नमस", "ñandú"]
+    values = [f"{x}@example.com" for x in names]
+    out, counts = changed(spark, values)
+    assert set(counts) == {1} and len(set(out)) == len(values)
+    for name, text in zip(names, out):
+        local, host = text.split("@")
+        assert host == "example.com" and len(local) == len(name)
+        assert sum(a != b for a, b in zip(local, name)) >= len(name) / 2
+        assert all(a.isalpha() == b.isalpha() for a, b in zip(local, name))
+
+
+def test_numbers_from_abroad(spark):
+    values = ["+49 30 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49(0)30-12345678", "+4930123456789"]
+    out, counts = changed(spark, [f"Tel. {v}, bitte" for v in values])
+    assert set(counts) == {1}
+    for value, text in zip(values, out):
+        got = text[5:-7]
+        assert got != value and shape(got) == shape(value) and got[:3] == value[:3]
+    kept = ["1+1234567890", "+1234", "x = a+12 34 56", "+12 34", "C++11 22 33 44 55"]
+    assert changed(spark, kept)[0] == kept
+
+
+def test_possible_numbers_become_possible_numbers(spark):
+    frame = spark.range(20_000).selectExpr(
+        "concat(lpad(1 + (id * 7) % 665, 3, '0'), '-', lpad(1 + id % 99, 2, '0'), '-', lpad(1 + (id * 13) % 9999, 4, '0')) AS text"
+    ).distinct().union(spark.createDataFrame([("899-99-9999",), ("667-01-0001",), ("665-99-9999",), ("001-01-0001",)], "text string"))
+    given = {r.text for r in frame.collect()}
+    out = [r.text for r in P.pseudonymize(spark.createDataFrame([(x,) for x in given], "text string"), "k").collect()]
+    assert len(set(out)) == len(given)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x) for x in out)
+
+
+def test_readings_of_a_date_share_no_pseudonym(spark):
+    """Every slash date of some years, in both readings: as many pseudonyms, and all of them dates."""
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(d) for d in range(4000)]
+    given = sorted({f"{d:%m/%d/%Y}" for d in days} | {f"{d:%d/%m/%Y}" for d in days})
+    out, counts = changed(spark, given)
+    assert set(counts) <= {0, 1} and sum(counts) > 0.99 * len(given) and len(set(out)) == len(given)
+    for before, after in zip(given, out):
+        american = int(before[:2]) <= 12
+        datetime.datetime.strptime(after, "%m/%d/%Y" if american else "%d/%m/%Y")
+        assert american or int(after[:2]) > 12
+
+
+def test_walk_is_a_permutation_of_what_is_inside(spark):
+    inside = lambda n: F.pmod(n, F.lit(3)) == 1
+    numbers = spark.range(400).where("id % 3 = 1")
+    found = sorted(r[0] for r in numbers.select(P.walk(F.col("id"), 20, F.lit("k"), inside)).collect())
+    assert found == [r.id for r in numbers.orderBy("id").collect()]
+
+
+def test_columns_of_the_same_names(spark):
+    frame = spark.createDataFrame([("a@b.org", 1, "x", 2)], "text string, __found int, __new string, n int")
+    got = P.pseudonymize(frame, "k", count="m").first()
+    assert (got["__found"], got["__new"], got.n, got.m) == (1, "x", 2, 1) and got.text != "a@b.org"
+
+
 def test_everything_else_stays(spark):
     out, counts = changed(spark, [x and f"«{x}» and more" for x in KEPT])
     assert out == [x and f"«{x}» and more" for x in KEPT] and set(counts) == {0}
