@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import texts
@@ -111,6 +111,43 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return source.mapInArrow(run, f"`{key}` {kind}, fingerprint array<long>")
 
 
+def below_threshold(hash_: Column, kept: float = KEPT) -> Column:
+    """Whether a sketch's hash, as a signed long, was kept for lying below the threshold."""
+    return (hash_ >= 0) & (hash_ < F.lit(int(kept * 2**64)))
+
+
+def merge(rows: DataFrame, by: str, sketch: str = "fingerprint") -> DataFrame:
+    """(by, hash): the sketch of all texts of each group together, a row for each hash.
+
+    It is the union of the texts' sketches: what hashing the texts at once
+    would give, for their shingles taken one text at a time. The least hash
+    that stands in for a text without one below the threshold is dropped from
+    a union that has one; a union of such texts alone keeps its least. A large
+    group is many rows, and its hashes are made distinct where they lie before
+    they move. NULL is a group like any other.
+    """
+    hashes = rows.select(F.col(by).alias(by), F.explode(sketch).alias("hash")).distinct()
+    # Unsigned order: hashes from 2**63 on are negative and come last.
+    first = F.struct((F.col("hash") < 0).alias("high"), F.col("hash").alias("hash"))
+    has = F.max(below_threshold(F.col("hash"))).alias("has")
+    groups = hashes.groupBy(F.col(by).alias("__by")).agg(has, F.min(first).alias("least"))
+    both = hashes.join(groups, F.col(by).eqNullSafe(F.col("__by")))
+    keep = F.when(F.col("has"), below_threshold(F.col("hash"))).otherwise(F.col("hash") == F.col("least.hash"))
+    return both.where(keep).select(by, "hash")
+
+
+def contained(parts: DataFrame, wholes: DataFrame, part: str, whole: str) -> DataFrame:
+    """(part, whole, n_hashes, shared, share) of merged sketches (part, hash) and (whole, hash).
+
+    ``share`` estimates how much of a part a whole has, however unequal they
+    are: both keep every hash below one threshold. Pairs that share a hash
+    have a row. NULL groups meet nothing.
+    """
+    sizes = parts.groupBy(part).agg(F.count("*").alias("n_hashes"))
+    met = parts.join(wholes, "hash").groupBy(part, whole).agg(F.count("*").alias("shared"))
+    return met.join(sizes, part).select(part, whole, "n_hashes", "shared", (F.col("shared") / F.col("n_hashes")).alias("share"))
+
+
 def _long_lists(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
     flat = np.concatenate([*found, np.zeros(0, np.uint64)]).astype(np.int64)
@@ -163,7 +200,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     ordered = (
         members.union(guests)
-        .repartition(len(cuts), "part")
+        .repartitionById(len(cuts), "part")  # a task for each range
         .sortWithinPartitions("part", "guest", F.col("k").asc_nulls_first(), "t")
     )
 
