@@ -40,6 +40,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by their key, before a step that is dear per row.
+
+    The test tables are files of one row group, so one task reads a file.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def r6(x: Column | str) -> Column:
     """Six places, and no negative zero, so that two engines print alike."""
     return F.round(x, 6) + F.lit(0.0)

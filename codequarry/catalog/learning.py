@@ -9,7 +9,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codequarry.catalog import query, r6, table, vectors
+from codequarry.catalog import query, r6, spread, table, vectors
 from codequarry.functions.vectors import norm2
 from codequarry.operators import clustering as C
 from codequarry.operators import reduction as R
@@ -130,7 +130,7 @@ HASHED_COLUMNS = 512
 
 
 def _hashed_svd(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     features = fit_hashed_tfidf(docs, "text", HASHED_COLUMNS).transform(docs, "text")
     return R.fit_svd(features.select("doc_id", "features"), TEXT_COMPONENTS)
 
@@ -170,7 +170,7 @@ def svd_vocabulary(spark, folder):
                             THEN 1e0 ELSE 0e0 END AS norm FROM documents""",
 )
 def hashed_vectors(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     embedded = hash_embed(fit_hashed_tfidf(docs, "text", 1024), docs)
     return embedded.select("doc_id", r6(norm2(F.col("vec"))).alias("norm"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codequarry.catalog import query, r6, table, vectors
+from codequarry.catalog import query, r6, spread, table, vectors
 from codequarry.functions import vectors as V
 from codequarry.operators import search as S
 from codequarry.operators.pivots import build_index
@@ -266,7 +266,7 @@ _SHARES = "[{}]".format(
 )
 def text_search(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    texts = docs.select("id", "text")
+    texts = spread(docs.select("id", "text"), "id")
     embedded = _embed_letters(texts, "text", "vec").select("id", "vec")
     labels = table(spark, folder, "labels").selectExpr("doc_id AS id", "quality")
     found = S.text_search(
@@ -282,7 +282,7 @@ def text_search(spark, folder):
 @query("text_search_hashed")
 def text_search_hashed(spark, folder):
     docs = table(spark, folder, "documents").withColumnRenamed("doc_id", "id")
-    docs = docs.select("id", "text")
+    docs = spread(docs.select("id", "text"), "id")
     model = fit_hashed_tfidf(docs, "text", 1024)
 
     def embed(df, column, out):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.catalog import query, r6, table, vectors
+from codequarry.catalog import query, r6, spread, table, vectors
 from codequarry.operators import aggregates as A
 from codequarry.operators.clustering import cluster_profile
 from codequarry.plans import maps
@@ -17,7 +17,7 @@ from codequarry.plans import maps
        WHERE word <> '' GROUP BY source, word""",
 )
 def explode_words(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text"), "doc_id")
     words = F.filter(F.split("text", " "), lambda word: word != "")
     return (
         docs.select("source", F.explode(words).alias("word"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codequarry.catalog import query, r6, table
+from codequarry.catalog import query, r6, spread, table
 from codequarry.functions import text as T
 from codequarry.functions.source_code import BodySplit
 from codequarry.operators import tfidf as M
@@ -254,6 +254,10 @@ _TFIDF = r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text),
 """
 
 
+def _texts(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
 @query(
     "term_counts",
     r"""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (
@@ -262,7 +266,7 @@ _TFIDF = r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text),
             FROM documents) GROUP BY ALL) GROUP BY term""",
 )
 def term_counts(spark, folder):
-    postings = M.term_counts(table(spark, folder, "documents"), "doc_id", "text")
+    postings = M.term_counts(_texts(spark, folder), "doc_id", "text")
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
@@ -273,7 +277,7 @@ def term_counts(spark, folder):
          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) <= 5""",
 )
 def tfidf_top_terms(spark, folder):
-    weights = M.tfidf(table(spark, folder, "documents"), "doc_id", "text")
+    weights = M.tfidf(_texts(spark, folder), "doc_id", "text")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
     top = weights.withColumn("rank", rank).where("rank <= 5")
     return top.select("doc_id", "term", r6("weight").alias("weight"))
@@ -295,7 +299,7 @@ _TYPED = "The licensed work, by any person: the the a work and license"
 )
 def text_search_impacts(spark, folder):
     """The best of all documents by the cosine of their TF-IDF weights, on the impact index."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = _texts(spark, folder)
     index = build_impacts(docs, scratch_path(spark, "impacts"), "doc_id")
     return index.search(_TYPED, 40).select("doc_id", r6("score").alias("score"))
 
@@ -310,7 +314,7 @@ def text_search_impacts(spark, folder):
          GROUP BY d.doc_id""",
 )
 def tfidf_vectors(spark, folder):
-    vectors, _ = M.tfidf_vectors(table(spark, folder, "documents"), "doc_id", "text")
+    vectors, _ = M.tfidf_vectors(_texts(spark, folder), "doc_id", "text")
     parts = vectors.select("doc_id", F.unwrap_udt("features").alias("v")).select("doc_id", "v.*")
     columns = F.transform("indices", lambda i: i.cast("bigint"))
     mixed = F.zip_with("values", columns, lambda x, i: x * (1 + i % 97))

@@ -13,12 +13,22 @@ from codequarry.session import durable
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """First ``n`` rows in a stated, unique order."""
-    return slice_rows(df, order, 0, n)
+    return df.orderBy(*order).limit(max(n, 0))
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int, end: int) -> DataFrame:
-    """Rows ``start`` to ``end - 1`` in a stated, unique order."""
-    return df.orderBy(*order).offset(start).limit(max(end - start, 0))
+    """Rows ``start`` to ``end - 1`` in a stated, unique order.
+
+    Rows are numbered over all tasks and filtered, so what comes before the
+    slice never meets in one task.
+    """
+    if start <= 0:
+        return head_rows(df, order, end)
+    place = "_place"
+    while place in df.columns:
+        place += "_"
+    numbered = with_row_index(df, order, place)
+    return numbered.where((F.col(place) >= start) & (F.col(place) < end)).drop(place)
 
 
 def filter_len(

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codequarry.operators.rows import with_row_index
+from codequarry.session import durable
 
 # Fixed value: the share of rows held out for testing.
 TEST_SHARE = 0.15
@@ -64,13 +66,23 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return below.union(df.where(F.startswith(place, F.lit(prefix))).orderBy(key, whole).limit(n))
 
 
+def _content(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row's whole content."""
+    parts = [
+        F.map_entries(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields
+    ]
+    return [F.xxhash64(*parts).alias("_a"), F.xxhash64(F.lit("again"), *reversed(parts)).alias("_b")]
+
+
 def sample_n_repl(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` draws with replacement, as rows with the number of the draw.
 
-    Rows are numbered in key order and the draws pick numbers, so repeated and
-    NULL keys are drawn as often as any.
+    Draws pick row numbers in key order, so repeated and NULL keys are drawn
+    as often as any. Only keys and 128-bit hashes of the rows are sorted and
+    numbered; whole rows move if they are drawn, and equal rows once.
     """
-    numbered = with_row_index(df, [key], "_row")
+    narrow = df.select(F.col(key).alias("_key"), *_content(df))
+    numbered = with_row_index(narrow, ["_key", "_a", "_b"], "_row")
     total = numbered.count()
     if not total:
         return df.withColumn("draw", F.lit(0).cast("bigint")).limit(0)
@@ -80,7 +92,9 @@ def sample_n_repl(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
         .withColumnRenamed("id", "draw")
         .withColumn("_row", F.pmod(bits, F.lit(total)))
     )
-    return numbered.join(draws, "_row").drop("_row")
+    picked = durable(numbered.join(draws, "_row").select("_a", "_b", "draw"))
+    rows = df.select("*", *_content(df)).join(picked.select("_a", "_b"), ["_a", "_b"], "left_semi")
+    return rows.dropDuplicates(["_a", "_b"]).join(picked, ["_a", "_b"]).select(*df.columns, "draw")
 
 
 def split(

@@ -194,3 +194,17 @@ def test_texts_of_one_digest_stay_two(spark):
     assert sorted(r.id for r in kept.select("id").collect()) == [0, 1]
     both = A.dedup_first(texts.withColumn("k", F.col("id") % 4), ["k", "text"], ["id"])
     assert sorted(r.id for r in both.select("id").collect()) == [0, 1, 2, 3]
+
+
+def test_draws_with_replacement_of_equal_rows(spark):
+    """Equal rows, NULL keys and maps: every draw is a row, in proportion, the same however rows lie."""
+    rows = [(None, {"a": 1})] * 300 + [(7, {"b": 2})] * 100 + [(7, {"c": 3})] * 100
+    df = spark.createDataFrame(rows, "k int, m map<string,int>")
+    one = sampling.sample_n_repl(df, 2000, "k").collect()
+    assert sorted(r.draw for r in one) == list(range(2000))
+    shares = [sum(r.k is None for r in one), sum("b" in r.m for r in one), sum("c" in r.m for r in one)]
+    assert all(abs(n - want) < 120 for n, want in zip(shares, (1200, 400, 400)))
+    other = sampling.sample_n_repl(df.repartition(7), 2000, "k").collect()
+    plain = lambda found: sorted((r.draw, r.k is None, str(r.m)) for r in found)
+    assert plain(one) == plain(other)
+    assert sampling.sample_n_repl(df.limit(0), 5, "k").collect() == []
