@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codequarry.functions.text import count_substring, parse_list_literal, tag_label
-from codequarry.operators.joins import lookup_join
 from codequarry.session import durable
 
 # Tags seen more often than this are shown; the number of
@@ -137,29 +136,70 @@ def _edges(lo: Column, hi: Column, bins: int) -> tuple[Column, Column]:
     return start + (F.col("bin") - 1) * width, start + F.col("bin") * width
 
 
-def histogram(df: DataFrame, col: str, bins: int, density: bool = False) -> DataFrame:
-    """(bin, lo, hi, n) over ``bins`` equal-width bins; empty bins are listed.
+# Leading bits of a number that make it a leaf of the bin tree, beside its exponent.
+LEAF_BITS = 8
+
+
+def _leaf(x: Column) -> Column:
+    """Numbers of one exponent that agree in their leading bits are one leaf; zero and infinity are two."""
+    exponent = F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-1000))
+    lead = F.floor(x / F.pow(F.lit(2.0), exponent - LEAF_BITS))
+    odd = F.when(x == 0, -1).when(F.abs(x) == float("inf"), -2)
+    return F.when(odd.isNotNull(), odd.cast("bigint")).otherwise(exponent * (8 << LEAF_BITS) + lead)
 
-    One pass finds the range, which the other takes as a constant. NaN is
-    left out, as NULL is.
+
+def _histograms(df: DataFrame, groups: Sequence[str], col: str, bins: int, density: bool) -> DataFrame:
+    """One histogram per group over the group's own range, from one scan.
+
+    The scan counts leaves: numbers that agree in exponent and leading bits,
+    with the least and the greatest of them. Leaves combine on the map side
+    and say the range. A leaf that an edge does not cut counts as a whole. Of
+    those that are cut, one for each edge at most, the rows are read again,
+    and no others; where no leaf is cut there is nothing to read.
     """
-    values = df.select(_number(col).alias("_x"))
-    span = values.agg(
-        F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("_x").alias("total"))
-    ).scalar()
-    filled = values.groupBy(_bin(F.col("_x"), span["lo"], span["hi"], bins).alias("bin")).agg(
-        F.count("*").alias("_count")
+    keys = [f"_g{i}" for i in range(len(groups))]
+    values = df.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), _number(col).alias("_x"))
+    values = values.where("_x IS NOT NULL").withColumn("_leaf", _leaf(F.col("_x")))
+    leaves = durable(
+        values.groupBy(*keys, "_leaf").agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    )
+    ranges = leaves.groupBy(*keys).agg(
+        F.min("_low").alias("_lo"), F.max("_high").alias("_hi"), F.sum("_n").alias("_total")
     )
-    listed = df.sparkSession.range(1, bins + 1).select(
-        F.col("id").cast("int").alias("bin"),
-        span["lo"].alias("_lo"),
-        span["hi"].alias("_hi"),
-        span["total"].alias("_total"),
+    ranges = ranges.where("_total > 0").select(*(F.col(k).alias(f"{k}r") for k in keys), "_lo", "_hi", "_total")
+
+    def same(right: str) -> Column:
+        every = [F.col(k).eqNullSafe(F.col(f"{k}{right}")) for k in keys]
+        return reduce(Column.__and__, every, F.lit(True))
+
+    lo, hi = F.col("_lo"), F.col("_hi")
+    placed = leaves.join(ranges, same("r")) if keys else leaves.join(F.broadcast(ranges))  # one row
+    placed = placed.withColumn("bin", _bin(F.col("_low"), lo, hi, bins)).withColumn("_last", _bin(F.col("_high"), lo, hi, bins))
+    whole = placed.where("bin = _last").select(*keys, "bin", "_n")
+    cut = placed.where("bin <> _last").select(
+        *(F.col(k).alias(f"{k}c") for k in keys), F.col("_leaf").alias("_cut"), "_lo", "_hi"
     )
-    return _shown(listed.where("_total > 0").join(filled, "bin", "left"), bins, density)
+    inside = values.join(cut if keys else F.broadcast(cut), same("c") & (F.col("_leaf") == F.col("_cut")))  # a leaf an edge
+    parts = inside.groupBy(*keys, _bin(F.col("_x"), lo, hi, bins).alias("bin")).agg(F.count("*").alias("_n"))
+    filled = whole.unionByName(parts).groupBy(*(F.col(k).alias(f"{k}f") for k in keys), F.col("bin").alias("_bin"))
+    filled = filled.agg(F.sum("_n").alias("_count"))
+    listed = ranges.select(
+        *(F.col(f"{k}r").alias(k) for k in keys), "_lo", "_hi", "_total",
+        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"),
+    )
+    both = listed.join(filled, same("f") & (F.col("bin") == F.col("_bin")), "left")
+    return _shown(both, bins, density, *(F.col(k).alias(g) for g, k in zip(groups, keys)))
 
 
-def _shown(listed: DataFrame, bins: int, density: bool, *keys: str) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int, density: bool = False) -> DataFrame:
+    """(bin, lo, hi, n) over ``bins`` equal-width bins; empty bins are listed.
+
+    NaN is left out, as NULL is. See :func:`_histograms` for the scan.
+    """
+    return _histograms(df, [], col, bins, density)
+
+
+def _shown(listed: DataFrame, bins: int, density: bool, *keys: Column) -> DataFrame:
     lo, hi = _edges(F.col("_lo"), F.col("_hi"), bins)
     count = F.coalesce("_count", F.lit(0)).cast("bigint")
     shown = (count / (F.col("_total") * (hi - lo))) if density else count
@@ -176,21 +216,9 @@ def histogram_by(
 ) -> DataFrame:
     """One histogram per group, each over the group's own range; NaN is left out.
 
-    Group and value are written once, 16 bytes a row or so, and read twice:
-    for the ranges and for the bins. Both are combined on the map side.
+    NULL is a group like any other. See :func:`_histograms` for the scan.
     """
-    values = durable(df.select(group, _number(col).alias("_x")))
-    ranges = (
-        values.groupBy(group)
-        .agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("_total"))
-        .where("_total > 0")
-    )
-    placed = lookup_join(values, ranges, group).where("_x IS NOT NULL")
-    filled = placed.groupBy(
-        group, _bin(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin")
-    ).agg(F.count("*").alias("_count"))
-    listed = ranges.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    return _shown(listed.join(filled, [group, "bin"], "left"), bins, density, group)
+    return _histograms(df, [group], col, bins, density)
 
 
 def histogram_compare(populations: dict[str, DataFrame], col: str, bins: int) -> DataFrame:

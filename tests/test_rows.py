@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -208,3 +209,32 @@ def test_draws_with_replacement_of_equal_rows(spark):
     plain = lambda found: sorted((r.draw, r.k is None, str(r.m)) for r in found)
     assert plain(one) == plain(other)
     assert sampling.sample_n_repl(df.limit(0), 5, "k").collect() == []
+
+
+@pytest.mark.parametrize("bins", [1, 7, 100])
+def test_histograms_of_one_scan(spark, bins):
+    """Counts are exact for every kind of numbers, whole or not, near zero or far, by group or not."""
+    rng = np.random.default_rng(bins)
+    sets = {
+        "normal": rng.normal(size=900), "whole": rng.integers(-40, 4000, 900).astype(float),
+        "wide": rng.normal(size=900) * 10.0 ** rng.integers(-300, 300, 900), "one": np.full(5, 3.5),
+        "near": 1e9 + rng.random(900) * 1e-3, "tiny": np.array([5e-324, 0.0, -5e-324, 1e-310]), None: np.array([1.0, 2.0, 2.0]),
+    }
+    rows = [(name, float(x)) for name, values in sets.items() for x in values] + [("one", None), ("empty", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+
+    def plain(values):
+        lo, hi = values.min(), values.max()
+        lo, width = (lo - 0.5, 1.0 / bins) if lo == hi else (lo, (hi - lo) / bins)
+        at = np.minimum(np.floor((values - lo) / width).astype(int) + 1, bins)
+        return np.bincount(at, minlength=bins + 1)[1:].tolist()
+
+    found = {}
+    for r in A.histogram_by(df, "g", "x", bins).collect():
+        found.setdefault(r.g, {})[r.bin] = r.n
+    assert found.keys() == sets.keys()
+    for name, values in sets.items():
+        assert [found[name][b] for b in range(1, bins + 1)] == plain(values), name
+        own = df.where(F.col("g").eqNullSafe(F.lit(name)))
+        assert [r.n for r in A.histogram(own, "x", bins).orderBy("bin").collect()] == plain(values), name
+    assert A.histogram(df.limit(0), "x", bins).count() == 0
