@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.session import durable
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Rows in one Arrow batch. Texts are long; Spark's 10,000 would be some
@@ -107,14 +105,9 @@ class Recent(dict):
         return value
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(row long, doc): every row with a number of its own, written to the shared folder.
-
-    All columns are in ``doc``, so names cannot clash; equal rows and rows
-    without a key are told apart by their number.
-    """
-    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    return durable(docs.select(doc).withColumn("row", F.monotonically_increasing_id()))
+def text_name(text: Column | str) -> Column:
+    """128 bits of a text's SHA-256, by which rows of one text share what follows from it; NULL for NULL."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def load() -> dict[str, Entry]:

@@ -41,6 +41,7 @@ def documents(spark, folder):
 
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark, folder):
+    """What is left of every text without its repeated passages of 200 bytes."""
     cut = suffixes.cut_repeats(documents(spark, folder), SPAN_BYTES)
     return cut.select(
         "doc_id",
@@ -53,6 +54,7 @@ def op1_suffix_dedup(spark, folder):
 
 @query("op2_token_files")
 def op2_token_files(spark, folder):
+    """Every text's ids, written to token files and read back."""
     path = scratch_path(spark, "tokens")
     token_files.write_token_files(documents(spark, folder), path, WORD_TOKENIZER, END_ID)
     read = token_files.read_token_files(spark.read.parquet(path))
@@ -61,6 +63,7 @@ def op2_token_files(spark, folder):
 
 @query("op3_decontamination")
 def op3_decontamination(spark, folder):
+    """What every text holds of the test items, word for word; ``n_near`` counts items nearly there."""
     found = decontamination.find_passages(
         documents(spark, folder), table(spark, folder, "benchmark"), WINDOW_WORDS, SLOP_WORDS
     )
@@ -78,6 +81,7 @@ def op3_decontamination(spark, folder):
 
 @query("op4_language_id")
 def op4_language_id(spark, folder):
+    """The language of every text, learned from three folds of four."""
     docs = documents(spark, folder)
     held_out = letter_crc("doc_id") % 4 == 2
     model = language.train(language.sample(docs.where(~held_out), "doc_id", "text", "lang"))
@@ -88,6 +92,7 @@ def op4_language_id(spark, folder):
 
 @query("op5_pii")
 def op5_pii(spark, folder):
+    """Every text with its personal data replaced, and how many values were."""
     docs = documents(spark, folder).select("doc_id", "text")
     return pseudonyms.pseudonymize(docs, PSEUDONYM_KEY, count="n_values").select(
         "doc_id", "n_values", "text"
@@ -96,6 +101,7 @@ def op5_pii(spark, folder):
 
 @query("op6_simhash")
 def op6_simhash(spark, folder):
+    """Every document's fingerprint and the least id that its links reach."""
     found = simhash.near_duplicates(documents(spark, folder), SHINGLE_WORDS, LINK_BITS)
     return found.select(
         "doc_id", simhash.hex_mark("fp").alias("fingerprint"), F.col("component").alias("component_id")
@@ -104,6 +110,7 @@ def op6_simhash(spark, folder):
 
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, folder):
+    """Every text's ids and what they decode to."""
     pattern = public_tokenizers.PATTERN
     encoded = byte_bpe.encode_texts(documents(spark, folder), BYTE_RANKS, pattern)
     return byte_bpe.decode_ids(encoded, BYTE_RANKS, pattern).select(
@@ -121,6 +128,7 @@ def quality_model(docs, labels, fold=lambda crc: crc % 3 != 1):
 
 @query("op8_quality")
 def op8_quality(spark, folder):
+    """Every text's quality, learned from the labels of two folds of three."""
     docs = documents(spark, folder)
     model = quality_model(docs, table(spark, folder, "labels"))
     scored = quality.score(docs, model)
@@ -132,15 +140,15 @@ def op8_quality(spark, folder):
     )
 
 
-@query(
-    "op9_licenses",
-)
+@query("op9_licenses")
 def op9_licenses(spark, folder):
+    """The license phrases and notices of every text."""
     return licenses.scan(documents(spark, folder))
 
 
 @query("op10_sketches")
 def op10_sketches(spark, folder):
+    """Every text's sketch beside those of its edited text and of the next text."""
     return sketches.compare_with_next(documents(spark, folder))
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import numbered, texts
+from codequarry.llm.common import text_name, texts
 from codequarry.session import durable
 
 BITS = 64
@@ -267,16 +267,25 @@ def keep_first(
 ) -> DataFrame:
     """One row of each component, all columns as they are: that of the least key.
 
-    Of rows of one key the first in the table stays. Rows without a key have
-    no name to choose by: they all stay, and a component of such rows alone
-    loses none.
+    Rows of one key are told apart by their text, then by all they hold; of
+    equal rows one stays. Rows without a key have no name to choose by: they
+    all stay, and a component of such rows alone loses none.
     """
-    rows = numbered(docs)
-    own = F.col(f"doc.`{key}`")
-    at = F.struct(own.isNull().alias("none"), own.alias("key"), "row").alias("at")
-    found = near_duplicates(rows.select(at, F.col(f"doc.`{text}`").alias("text")), shingle, distance, segments, "at")
-    gone = found.where("at <> component AND NOT at.none").select("at.row")
-    return rows.join(gone, "row", "left_anti").select("doc.*")
+    own, names = F.col(f"doc.`{key}`"), [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("doc"))
+    words = F.col(f"doc.`{text}`")
+    at = F.struct(
+        own.isNull().alias("none"), own.alias("key"), text_name(words).alias("name"), F.xxhash64("doc").alias("rest")
+    )
+    rows = rows.withColumn("at", at)
+    marks = near_duplicates(rows.select("at", words.alias("text")), shingle, distance, segments, "at")
+    marks = durable(marks.where("NOT at.none").select("at", (F.col("at") == F.col("component")).alias("first")))
+    gone = marks.where("NOT first").select("at").distinct()
+    repeated = durable(marks.where("first").groupBy("at").agg(F.count("*").alias("n")).where("n > 1").select("at"))
+    kept = rows.join(gone, "at", "left_anti")
+    once = kept.join(repeated, "at", "left_anti")
+    again = kept.join(repeated, "at", "left_semi").dropDuplicates(["at"])
+    return once.union(again).select("doc.*")
 
 
 def hex_mark(fp: Column | str) -> Column:

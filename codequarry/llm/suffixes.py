@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import texts
+from codequarry.llm.common import text_name, texts
 from codequarry.session import durable
 
 GRAM = 32
@@ -93,11 +93,6 @@ def name_of(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _name(data: str) -> Column:
-    """128 bits of a SHA-256 that name a text or a context."""
-    return F.substring(F.unhex(F.sha2(data, 256)), 1, 16)
-
-
 class Filter:
     """A set of 64-bit values, of fixed size: it may hold more than was put in, never less."""
 
@@ -436,7 +431,7 @@ def repeated_runs(docs: DataFrame, span: int) -> DataFrame:
         more = rows.join(large, "family", "left_semi")
         if more.isEmpty():
             break
-        parted = _refined(more, span).withColumn("body_name", _name("body"))
+        parted = _refined(more, span).withColumn("body_name", text_name("body"))
         rows = durable(parted)
     every = results[0]
     for more in results[1:]:
@@ -482,7 +477,7 @@ def cut_repeats(
     if span % 2 or span <= GRAM:
         raise ValueError(f"span must be even and greater than {GRAM}")
     source = texts(docs, key, text).select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("text"))
-    named = source.withColumn("name", _name("text"))
+    named = source.withColumn("name", text_name("text"))
     runs = repeated_runs(named.select("text", "name"), span)
     per_text = (
         runs.distinct()
