@@ -9,7 +9,7 @@ consecutive passages that it is the anchor of.
 
 Within a family, contexts are cut into shards; each shard gets its
 Burrows-Wheeler transform, and the transforms are merged by refining the
-order in which they interleave, up to eight bytes a step. What is still together
+order in which they interleave, up to forty bytes a step. What is still together
 after ``span`` bytes is an interval of the merged suffix array with a common
 prefix of ``span`` bytes: the starts of repeated passages.
 """
@@ -35,10 +35,11 @@ FILTER_BITS = 1 << 26
 # Contexts of one family that meet in one task.
 FAMILY = 4000
 # Bytes whose transforms are merged at a time, and into how many shards they are cut.
-MERGED_BYTES = 1 << 16
+MERGED_BYTES = 60_000
 SHARDS = 4
-# Symbols that one step of a merge takes at most: as many bytes as a 64-bit number has.
+# Symbols that are read as one 64-bit number, and that one step of a merge takes at most.
 WIDEST = 8
+STRIDE = 40
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -144,10 +145,27 @@ class Shard:
         self.rank = np.empty(len(self.order), np.int64)
         self.rank[self.order] = np.arange(len(self.order))
 
-    def transform(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix in order the ``width`` symbols before it, and the rank of the suffix they begin."""
-        begin = (self.order - width) % len(self.order)
-        return codes(self.data, width)[begin], self.rank[begin]
+    def before(self, width: int) -> np.ndarray:
+        """For each suffix in order the place ``width`` symbols before it."""
+        return (self.order - width) % len(self.order)
+
+
+def symbol_numbers(shards: list[Shard], width: int) -> tuple[np.ndarray, int]:
+    """The ``width`` symbols from each place on, numbered in their order over all shards, and how many there are."""
+    base = np.cumsum([0] + [len(s.data) for s in shards])
+
+    def after(distance: int) -> np.ndarray:
+        return np.concatenate([b + (np.arange(len(s.data)) + distance) % len(s.data) for s, b in zip(shards, base)])
+
+    have = min(width, WIDEST)
+    distinct, number = np.unique(np.concatenate([codes(s.data, have) for s in shards]), return_inverse=True)
+    known = {have: number}
+    while have < width:
+        more = max(w for w in known if have + w <= width)
+        distinct, number = np.unique(number * len(distinct) + known[more][after(have)], return_inverse=True)
+        have += more
+        known[have] = number
+    return number, len(distinct)
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +181,13 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     different strings, numbered in their order; one symbol always does.
     """
     base = np.cumsum([0] + [len(s.order) for s in shards])
-    for width in (w for w in range(WIDEST, 0, -1) if depth % w == 0):
-        parts = [s.transform(width) for s in shards]
-        distinct, symbols = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        if len(distinct) <= 1 << 16:
+    for width in (w for w in range(STRIDE, 0, -1) if depth % w == 0 and (w <= WIDEST or w % WIDEST == 0)):
+        number, different = symbol_numbers(shards, width)
+        if different <= 1 << 16:
             break
-    symbols = symbols.astype(np.uint16)
-    back = np.concatenate([r + b for (_, r), b in zip(parts, base)]).astype(np.int32)
+    places = [s.before(width) for s in shards]
+    symbols = np.concatenate([number[b : b + len(p)][p] for p, b in zip(places, base)]).astype(np.uint16)
+    back = np.concatenate([s.rank[p] + b for s, p, b in zip(shards, places, base)]).astype(np.int32)
     order = np.arange(len(symbols), dtype=np.int32)
     interval = np.zeros(len(symbols), np.int32)
     for _ in range(depth // width):
