@@ -132,8 +132,8 @@ def _changes(x: np.ndarray, before: np.ndarray, after: np.ndarray, k: int) -> np
     return out
 
 
-def _add_up(sums: DataFrame) -> np.ndarray | None:
-    """The sum of a column of equally long number rows: in tasks, in FAN tasks, then here."""
+def _add_up(sums: DataFrame, many: bool) -> np.ndarray | None:
+    """The sum of a column of equally long number rows: in tasks, in FAN tasks if they are ``many``, then here."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -145,7 +145,7 @@ def _add_up(sums: DataFrame) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     first = sums.mapInArrow(add, "sums binary")
-    if sums.rdd.getNumPartitions() > FAN * FAN:
+    if many:
         part = F.pmod(F.spark_partition_id(), F.lit(FAN))
         first = first.withColumn("part", part).repartitionById(FAN, "part").select("sums").mapInArrow(add, "sums binary")
     parts = [np.frombuffer(row.sums) for row in first.collect()]
@@ -197,6 +197,7 @@ def _fit_group(held: DataFrame, begin: list[np.ndarray], max_iter: int, toleranc
     moves = [np.zeros(len(c)) for c in centres]
     passes = [0] * len(centres)
     active = list(range(len(centres)))
+    many = held.rdd.getNumPartitions() > FAN * FAN
     state, known = held, False
     for number in range(1, max_iter + 1):
         half = []
@@ -226,7 +227,7 @@ def _fit_group(held: DataFrame, begin: list[np.ndarray], max_iter: int, toleranc
             after = after.persist(StorageLevel.MEMORY_AND_DISK)
         else:
             after = durable(after)
-        total = _add_up(after.select("change"))
+        total = _add_up(after.select("change"), many)
         if known:
             state.unpersist()
         state, known = after, True
@@ -249,10 +250,10 @@ def _fit_group(held: DataFrame, begin: list[np.ndarray], max_iter: int, toleranc
             break
     if known:
         state.unpersist()
-    return [Fit(c, cost, n) for c, cost, n in zip(centres, _costs(held, centres), passes)]
+    return [Fit(c, cost, n) for c, cost, n in zip(centres, _costs(held, centres, many), passes)]
 
 
-def _costs(held: DataFrame, centres: list[np.ndarray]) -> list[float]:
+def _costs(held: DataFrame, centres: list[np.ndarray], many: bool) -> list[float]:
     shared = held.sparkSession.sparkContext.broadcast(centres)  # CENTRE_CELLS numbers or so
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,5 +264,5 @@ def _costs(held: DataFrame, centres: list[np.ndarray]) -> list[float]:
                     total[f] += (_gaps(x, c).min(axis=1) ** 2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    found = _add_up(held.mapInArrow(measure, "sums binary"))
+    found = _add_up(held.mapInArrow(measure, "sums binary"), many)
     return [0.0] * len(centres) if found is None else found.tolist()
