@@ -173,7 +173,11 @@ def _histograms(df: DataFrame, groups: Sequence[str], col: str, bins: int, densi
         return reduce(Column.__and__, every, F.lit(True))
 
     lo, hi = F.col("_lo"), F.col("_hi")
-    placed = leaves.join(ranges, same("r")) if keys else leaves.join(F.broadcast(ranges))  # one row
+    if keys:
+        placed = leaves.join(ranges, same("r"))
+    else:
+        span = ranges.select(F.struct("_lo", "_hi").alias("span")).scalar()
+        placed = leaves.withColumn("_lo", span["_lo"]).withColumn("_hi", span["_hi"])
     placed = placed.withColumn("bin", _bin(F.col("_low"), lo, hi, bins)).withColumn("_last", _bin(F.col("_high"), lo, hi, bins))
     whole = placed.where("bin = _last").select(*keys, "bin", "_n")
     cut = placed.where("bin <> _last").select(
