@@ -24,12 +24,15 @@ from codequarry.functions.vectors import Kernel, l2_kernel, lengths, matrix, met
 from codequarry.session import durable
 
 # Pivots of an index, pivots of a join at most, rows drawn for each pivot, rows
-# of a cell that one task meets with so many queries.
+# of a cell that one task meets with so many queries. Rows that a task deals to
+# cells at a time, and numbers in the copies that it sends at a time.
 INDEX_PIVOTS = 8
 MOST_PIVOTS = 256
 DRAWN = 16
 CELL_ROWS = 4096
 QUERY_ROWS = 1024
+DEAL_ROWS = 256
+SENT_CELLS = 1 << 20
 # What rounding may add to or take from a bound, as a share of the distances it comes from.
 SLACK = 1e-9
 
@@ -73,6 +76,12 @@ def _points(vectors: pa.Array, width: int, space: Space) -> tuple[np.ndarray, np
     return rows[good], x[good]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def choose_pivots(df: DataFrame, vec: str, count: int, space: Space) -> np.ndarray:
     """Up to ``count`` points far from each other, of DRAWN times as many rows.
 
@@ -251,7 +260,7 @@ def knn_join(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with their cell (-1 - width for other widths) and the distance to its pivot."""
-        for batch in batches:
+        for batch in _slices(batches, DEAL_ROWS):
             sizes = lengths(batch.column(1))
             for own in np.unique(sizes[sizes > 0]).tolist():
                 rows, x = _points(batch.column(1), own, space)
@@ -282,7 +291,7 @@ def knn_join(
         inside = sorted(c for c in table.value if c >= 0)
         far = np.array([table.value[c][1] for c in inside])
         near = np.array([table.value[c][2][0] for c in inside])
-        for batch in batches:
+        for batch in _slices(batches, DEAL_ROWS):
             sizes = lengths(batch.column(1))
             for own in np.unique(sizes[sizes > 0]).tolist():
                 rows, x = _points(batch.column(1), own, space)
@@ -309,10 +318,11 @@ def knn_join(
                     query, cell = np.arange(len(rows)), np.full(len(rows), -1 - own, np.int32)
                 else:
                     continue
-                kept = batch.take(pa.array(rows[query]))
-                yield pa.RecordBatch.from_arrays(
-                    [kept.column(0), kept.column(1), pa.array(cell, pa.int32())], names=["qid", "q", "cell"]
-                )
+                step = max(1, SENT_CELLS // own)  # a query goes to many cells, each time with its vector
+                for start in range(0, len(query), step):
+                    kept = batch.take(pa.array(rows[query[start : start + step]]))
+                    cells = pa.array(cell[start : start + step], pa.int32())
+                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), cells], names=["qid", "q", "cell"])
 
     asked = durable(
         queries.select("qid", F.col("qvec").cast("array<double>").alias("q")).mapInArrow(

@@ -124,6 +124,17 @@ def test_knn_join_against_numpy(spark, odd_vectors, monkeypatch, metric, p):
     assert sum(got.get(q) == nearest(rows, v, 9, metric, p) for q, v in asked if got.get(q)) > 0.6 * len(got)
 
 
+def test_knn_join_sends_few_copies_at_a_time(spark, monkeypatch):
+    """Queries are dealt, and sent to their cells, in parts; the answer is the same."""
+    rows = [(i, [float((i * 7 + j * 13) % 31) for j in range(4)]) for i in range(300)] + [(300, None), (301, [1.0])]
+    df = spark.createDataFrame(rows, "id long, vec array<float>").coalesce(1)
+    queries = df.selectExpr("id AS qid", "vec AS qvec")
+    whole = sorted(pivots.knn_join(df, queries, 4, "l2").collect())
+    monkeypatch.setattr(pivots, "DEAL_ROWS", 7)
+    monkeypatch.setattr(pivots, "SENT_CELLS", 9)
+    assert sorted(pivots.knn_join(df, queries, 4, "l2").collect()) == whole and len(whole) == 300 * 4 + 1
+
+
 def test_knn_join_skips_cells(spark, monkeypatch):
     """Rows in clusters far apart: a query meets the cells of its own."""
     monkeypatch.setattr(pivots, "CELL_ROWS", 100)
