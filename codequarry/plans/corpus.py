@@ -10,9 +10,11 @@ from codequarry.functions.text import archive_url, first_link, preferred_branch,
 from codequarry.operators.aggregates import dedup_first
 from codequarry.operators.joins import attach_repo
 from codequarry.operators.rows import with_row_index
-from codequarry.session import durable
+from codequarry.session import durable, small_batches
 from codequarry.sources.archives import read_zip_members
 
+# Source files that a task parses before it hands on what it found.
+PARSE_ROWS = 256
 FUNCTION_COLUMNS = ("name", "args", "args_types", "args_defaults", "body", "docstring", "lineno")
 
 
@@ -63,6 +65,7 @@ def extract_functions(
     The other columns of a file travel with its functions. A file without
     functions gives no row.
     """
+    small_batches(files.sparkSession, PARSE_ROWS)
     found = FunctionsIn(F.col(content).outer())
     return files.lateralJoin(found).select(*keep, *FUNCTION_COLUMNS, "error")
 

@@ -78,3 +78,20 @@ def test_functions_table(spark):
     rows = functions.orderBy("id").select("id", "file_id", "repo", "name", "lineno").collect()
     assert [tuple(row) for row in rows] == [(1, 1, 7, "f", 2), (2, 1, 7, "g", 4), (3, 5, 8, "g", 1)]
     assert [tuple(row) for row in rejects.collect()] == [("SyntaxError", 1)]
+
+
+def test_few_files_are_parsed_at_a_time(spark):
+    """What a task holds is bounded by files of one batch, and no file is lost."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        files = spark.range(700).selectExpr(
+            "id AS file_id", "'r' AS repo", "if(id % 7 = 0, 'x = (', concat('def f', id, '(): pass')) AS content"
+        )
+        found = corpus.extract_functions(files.coalesce(1))
+        assert int(spark.conf.get(name)) <= corpus.PARSE_ROWS
+        assert corpus.reject_counts(found).collect() == [("SyntaxError", 100)]
+        assert found.where("name = concat('f', file_id)").count() == 600
+    finally:
+        spark.conf.set(name, before)
