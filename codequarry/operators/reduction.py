@@ -25,6 +25,9 @@ TEXT_COMPONENTS = 500
 CLUSTER_COMPONENTS = 100
 PLOT_COMPONENTS = 2
 
+# Numbers that a product with sparse rows holds at a time.
+GATHER_CELLS = 1 << 20
+
 
 def fix_signs(components: np.ndarray) -> np.ndarray:
     """Turn each column so that its largest entry is positive."""
@@ -126,9 +129,16 @@ def project_sparse(features: Column, components: np.ndarray) -> Column:
             columns = indices.flatten().to_numpy(zero_copy_only=False)
         out = np.zeros((len(values), k))
         some = np.flatnonzero(sizes)
-        if len(some):
-            starts = (np.cumsum(sizes) - sizes)[some]
-            out[some] = np.add.reduceat(components[columns] * weights[:, None], starts, axis=0)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        step = max(1, GATHER_CELLS // max(k, 1))  # entries met at a time, whole rows
+        while len(some):
+            count = max(1, int(np.searchsorted(ends[some], starts[some[0]] + step, "right")))
+            own, some = some[:count], some[count:]
+            a, b = starts[own[0]], ends[own[-1]]
+            cells = components[columns[a:b]]
+            cells *= weights[a:b, None]
+            out[own] = np.add.reduceat(cells, starts[own] - a, axis=0)
         ends = pa.array(np.arange(len(out) + 1) * k, pa.int32())
         return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
 

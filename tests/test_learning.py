@@ -114,6 +114,18 @@ def test_svd_of_sparse_rows(spark):
     assert np.allclose(matrix(scored), x @ model.components)
 
 
+@pytest.mark.parametrize("cells", [1, 50])
+def test_sparse_products_in_parts(spark, monkeypatch, cells):
+    """Products hold few numbers at a time; empty rows, and rows longer than that, are whole."""
+    monkeypatch.setattr(R, "GATHER_CELLS", cells)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((60, 30)) < 0.3, rng.normal(size=(60, 30)), 0.0)
+    x[0], x[17], x[59] = 0.0, 0.0, 0.0
+    v = rng.normal(size=(30, 4))
+    scored = sparse_rows(spark, x).withColumn("vec", R.project_sparse(F.col("features"), v)).drop("features")
+    assert np.allclose(matrix(scored), x @ v)
+
+
 def sparse_rows(spark, x):
     rows = [(i, Vectors.sparse(len(r), [(j, float(v)) for j, v in enumerate(r) if v])) for i, r in enumerate(x)]
     return spark.createDataFrame(rows, ["id", "features"]).repartition(3)
