@@ -126,6 +126,20 @@ def test_sparse_products_in_parts(spark, monkeypatch, cells):
     assert np.allclose(matrix(scored), x @ v)
 
 
+def test_steps_keep_components_in_a_table(spark):
+    """The driver gets no component of a wide matrix, and other columns stay with their rows."""
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((50, 400)) < 0.05, rng.normal(size=(50, 400)), 0.0)
+    x[3] = 0.0
+    df = sparse_rows(spark, x).withColumn("a b", F.col("id") * 2)
+    model, scored = R.fit_svd(df, 5, solver="steps")
+    assert "components" not in vars(model) and scored.columns == ["id", "a b", "vec"]
+    assert all(r["a b"] == 2 * r.id for r in scored.collect())
+    assert model.table.count() == 400
+    assert np.allclose(model.singular_values, np.linalg.svd(x, compute_uv=False)[:5], rtol=1e-8)
+    assert np.allclose(matrix(scored.select("id", "vec")), x @ model.components, atol=1e-9)
+
+
 def sparse_rows(spark, x):
     rows = [(i, Vectors.sparse(len(r), [(j, float(v)) for j, v in enumerate(r) if v])) for i, r in enumerate(x)]
     return spark.createDataFrame(rows, ["id", "features"]).repartition(3)
