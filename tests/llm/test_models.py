@@ -119,3 +119,25 @@ def test_quality_against_a_plain_fit():
     model = quality.fit(x, good)
     own = model.score(x)
     assert abs(auc(own, good) - auc(plain_fit(x, good, steps=400), good)) < 0.05
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """Far more rows than a group holds: sums, threshold and pairs are of all of them, few good ones are dealt again."""
+    monkeypatch.setattr(quality, "GROUP_ROWS", 40)
+    n = 6000
+    good = [i % 700 == 3 for i in range(n)]
+    texts = [("One sentence, then more words of it. " if g else "buy!! NOW ") * (1 + i % 5) + str(i % 11) for i, g in enumerate(good)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    rows = quality.labelled_features(docs, labels, "doc_id", "text", "quality")
+    met = quality.groups(rows, sum(good), n - sum(good)).collect()
+    assert len(met) == n // 40 and all(r.yes > 0 for r in met)
+    assert sum(len(r.x) // 8 // len(quality.NAMES) - r.yes for r in met) == n - sum(good)
+    model = quality.learn(docs, labels)
+    x = np.array([quality.features(t) for t in texts])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6, atol=1e-6)
+    worth = model.worth(x)
+    assert np.isclose(model.threshold, quality._threshold(worth, np.array(good)))
+    assert auc(model.score(x), np.array(good)) > 0.99
+    again = quality.learn(docs.repartition(3), labels)
+    assert np.allclose(again.weights, model.weights, atol=1e-6)
