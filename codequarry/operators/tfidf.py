@@ -22,13 +22,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from codequarry.operators.rows import with_row_index
-from codequarry.session import durable
+from codequarry.session import stored
 
 # Fixed value: a token is a run of two or more word characters, any script.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-# Postings of one term that one task is to hold; a term with more is spread.
+# Postings of one term that one task is to hold; a term with more stays where its texts are.
 SHARD_POSTINGS = 1_000_000
+# So do the most frequent terms, as many as this, of at most so many characters: their idf is broadcast.
+COMMON_TERMS = 1 << 16
+COMMON_LENGTH = 64
 
 
 def tokens(text: Column) -> Column:
@@ -65,40 +68,60 @@ def document_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, term, weight) with smoothed idf and rows of length one.
+def counted(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, term, tf) and (term, df, idf), both as written to the shared folder.
 
     ``idf = ln((1 + n) / (1 + df)) + 1``; n counts every text, also one with no
-    terms. The postings are written to the shared folder, so texts are read
-    and parted once; document counts come from the copy. The postings move
-    twice: to meet their term's idf, in as many shards as the term's count
-    asks for, and to be scaled by their text's length.
+    terms. Texts are read and parted once; document counts come from the copy.
     """
-    postings = durable(term_counts(df, id_col, text))
+    postings = stored(term_counts(df, id_col, text), "counts")
     total = df.agg(F.count("*")).scalar()
-    shards = F.ceil(F.col("df") / SHARD_POSTINGS).cast("int")
-    idf = durable(document_counts(postings)).select(
-        "term",
-        (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"),
-        shards.alias("shards"),
-    )
-    hot = idf.where("shards > 1").select("term", "shards")
-    salted = postings.join(hot, "term", "left").withColumn(
-        "shard",
-        F.when(F.col("shards").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(id_col), F.col("shards")).cast("int")
-        ),
-    )
-    copies = idf.select(
-        "term", "idf", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    )
-    raw = salted.join(copies, ["term", "shard"]).select(
-        id_col, "term", (F.col("tf") * F.col("idf")).alias("raw")
-    )
+    idf = F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0
+    return postings, stored(document_counts(postings).withColumn("idf", idf), "idf")
+
+
+def weighed(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """``postings`` with the columns of their ``terms`` (term, df, idf, ...) and raw = tf * idf.
+
+    Most postings are of few terms. Those terms are sent to the postings, a
+    table of bounded size, in which every term is that has more postings than
+    a task is to hold; only the postings of rarer terms move.
+    """
+    hot = F.col("df") > SHARD_POSTINGS
+    frequent = terms.where(~hot & (F.length("term") <= COMMON_LENGTH)).orderBy(F.desc("df"), "term").limit(COMMON_TERMS)
+    common = stored(terms.where(hot).unionByName(frequent), "common")
+    here = postings.join(F.broadcast(common), "term")
+    rare = postings.join(F.broadcast(common.select("term")), "term", "left_anti").join(terms, "term")
+    return here.unionByName(rare).withColumn("raw", F.col("tf") * F.col("idf"))
+
+
+def tfidf(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
+    """(id, term, weight) with smoothed idf and rows of length one.
+
+    Rare postings move to meet their term's idf, and all of them to be scaled
+    by their text's length.
+    """
+    raw = weighed(*counted(df, id_col, text))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
 
+def numbered_rows(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, columns, weights) of texts with terms, and the vocabulary (term, df, idf, column).
+
+    Weights are those of :func:`tfidf`, in the order of the columns, which are
+    in that of the terms. Texts of one id are a row together.
+    """
+    postings, terms = counted(df, id_col, text)
+    place = F.col("column").cast("int")
+    vocabulary = stored(with_row_index(terms, ["term"], "column").withColumn("column", place), "vocabulary")
+    raw = weighed(postings, vocabulary)
+    cells = F.sort_array(F.collect_list(F.struct("column", "raw")))  # the words of one text
+    rows = raw.groupBy(id_col).agg(cells.alias("c"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    weights = F.transform("c.raw", lambda own: own / F.col("norm"))
+    return rows.select(id_col, F.col("c.column").alias("columns"), weights.alias("weights")), vocabulary
+
+
 def tfidf_vectors(
     df: DataFrame, id_col: str = "id", text: str = "text", out: str = "features"
 ) -> tuple[DataFrame, DataFrame]:
@@ -107,15 +130,12 @@ def tfidf_vectors(
     Columns are numbered in the order of the terms. A text without terms has
     an empty vector.
     """
-    weights = durable(tfidf(df, id_col, text))
-    vocabulary = durable(with_row_index(weights.select("term").distinct(), ["term"], "column"))
+    rows, vocabulary = numbered_rows(df, id_col, text)
     width = vocabulary.count()
-    cell = F.struct(F.col("column").cast("int").alias("column"), "weight")
-    rows = weights.join(vocabulary, "term").groupBy(id_col).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     every = df.select(id_col).join(rows, id_col, "left").select(
         id_col,
-        F.coalesce(F.col("cells.column"), F.array().cast("array<int>")).alias("indices"),
-        F.coalesce(F.col("cells.weight"), F.array().cast("array<double>")).alias("values"),
+        F.coalesce(F.col("columns"), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.col("weights"), F.array().cast("array<double>")).alias("values"),
     )
     schema = T.StructType([df.schema[id_col], T.StructField(out, VectorUDT())])
 
@@ -129,7 +149,7 @@ def tfidf_vectors(
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), vector], names=[id_col, out])
 
-    return every.mapInArrow(build, schema), vocabulary
+    return every.mapInArrow(build, schema), vocabulary.select("term", F.col("column").cast("long").alias("column"))
 
 
 @dataclass

@@ -209,6 +209,42 @@ def test_impacts_against_every_cosine(spark, monkeypatch):
     assert 0 < seen.skipped < seen.blocks
 
 
+@pytest.mark.parametrize("common", [0, 2, 1 << 16])
+def test_tfidf_of_common_and_rare_terms(spark, monkeypatch, common):
+    """Common terms stay with their texts, rare ones move: the same weights, and columns in the order of the terms."""
+    monkeypatch.setattr(M, "COMMON_TERMS", common)
+    long = "x" * (M.COMMON_LENGTH + 1)
+    texts = [(1, f"the cat the {long}"), (2, "the dog"), (2, f"a bird {long}"), (None, "the cat"), (3, ""), (4, None)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    tf = {}
+    for at, text in texts:
+        for word in (w for w in (text or "").split() if len(w) > 1):
+            tf.setdefault(at, {}).setdefault((text, word), 0)
+            tf[at][text, word] += 1
+    terms = sorted({word for own in tf.values() for _, word in own})
+    found = [word for own in tf.values() for _, word in own]
+    idf = {t: np.log((1 + len(texts)) / (1 + found.count(t))) + 1 for t in terms}
+    want = {}
+    for at, own in tf.items():
+        raw = sorted((word, n * idf[word]) for (_, word), n in own.items())
+        size = sum(x * x for _, x in raw) ** 0.5
+        want[at] = [(word, pytest.approx(x / size)) for word, x in raw]
+    long_form = {}
+    for r in M.tfidf(df).orderBy("term").collect():
+        long_form.setdefault(r.id, []).append((r.term, r.weight))
+    assert long_form == want
+    vectors, vocabulary = M.tfidf_vectors(df)
+    assert [(r.term, r.column) for r in vocabulary.orderBy("column").collect()] == [(t, i) for i, t in enumerate(terms)]
+    seen = [(r.id, [(terms[i], x) for i, x in zip(r.features.indices, r.features.values)]) for r in vectors.collect()]
+    assert sorted(seen, key=str) == sorted(((at, want.get(at, []) if at else []) for at, _ in texts), key=str)
+
+
+def test_common_terms_stay_with_their_texts(spark):
+    df = spark.createDataFrame([(1, "the cat"), (2, "the dog")], "id bigint, text string")
+    plan = M.tfidf(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "shard" not in plan
+
+
 def test_tfidf_weights(spark):
     df = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc I"), (3, "?")], "id bigint, text string")
     two = df.where("id < 3")
