@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.operators.tfidf import document_counts, term_counts, tfidf
-from codequarry.session import durable
+from codequarry.operators.tfidf import numbered_rows, term_counts
 
 # Postings of a block.
 BLOCK_POSTINGS = 512
@@ -24,7 +24,7 @@ BLOCK_POSTINGS = 512
 
 @dataclass
 class ImpactIndex:
-    """Postings (term, high, ids, weights), rows (id, terms, weights) and (term, idf), as stored."""
+    """Postings (column, high, ids, weights), rows (id, columns, weights) and (term, idf, column), as stored."""
 
     postings: DataFrame
     rows: DataFrame
@@ -33,41 +33,48 @@ class ImpactIndex:
 
     def weigh(self, text: str) -> dict[str, float]:
         """The text's terms that the index knows, weighed as its rows are."""
+        return {term: own for term, _, own in self._known(text)}
+
+    def _query(self, text: str) -> dict[int, float]:
+        return {column: own for _, column, own in self._known(text)}
+
+    def _known(self, text: str) -> list[tuple[str, int, float]]:
         spark = self.rows.sparkSession
         own = term_counts(spark.createDataFrame([(0, text)], "q int, text string"), "q", "text")
-        found = {r.term: r.tf * r.idf for r in own.join(self.idf, "term").collect()}  # words of the query
-        size = sum(w * w for w in found.values()) ** 0.5
-        return {term: w / size for term, w in found.items()}
+        found = [(r.term, r.column, r.tf * r.idf) for r in own.join(self.idf, "term").collect()]  # words of the query
+        size = sum(w * w for _, _, w in found) ** 0.5
+        return [(term, column, w / size) for term, column, w in found]
 
-    def _blocks(self, query: dict[str, float]) -> DataFrame:
-        known = self.postings.where(F.col("term").isin(sorted(query)))  # reaches the scan
+    def _blocks(self, query: dict[int, float]) -> DataFrame:
+        known = self.postings.where(F.col("column").isin(sorted(query)))  # reaches the scan
         return known.withColumn("reach", F.col("high") * _weight(query))
 
-    def _scored(self, found: DataFrame, query: dict[str, float]) -> DataFrame:
-        """(id, score) of the rows in the blocks."""
+    def _scored(self, found: DataFrame, query: dict[int, float], few: bool = False) -> DataFrame:
+        """(id, score) of the rows in the blocks, which may be said to be few."""
         near = found.select(F.explode("ids").alias(self.id_col)).distinct()
+        near = F.broadcast(near) if few else near
         rows = self.rows.join(near, self.id_col, "left_semi")
         weights = F.create_map(*[F.lit(x) for pair in sorted(query.items()) for x in pair])
-        parts = F.zip_with("terms", "weights", lambda t, w: F.coalesce(F.try_element_at(weights, t), F.lit(0.0)) * w)
+        parts = F.zip_with("columns", "weights", lambda t, w: F.coalesce(F.try_element_at(weights, t), F.lit(0.0)) * w)
         score = F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
         return rows.select(self.id_col, score.alias("score")).where("score > 0")
 
-    def _floor(self, query: dict[str, float], k: int) -> float:
+    def _floor(self, query: dict[int, float], k: int) -> float:
         """A score that ``k`` rows reach, by the first block of each term."""
-        first = Window.partitionBy("term").orderBy(F.desc("reach"))
+        first = Window.partitionBy("column").orderBy(F.desc("reach"))
         head = self._blocks(query).withColumn("n", F.row_number().over(first)).where("n = 1")
-        best = self._scored(head, query).orderBy(F.desc("score")).limit(k)
+        best = self._scored(head, query, few=True).orderBy(F.desc("score")).limit(k)
         seen = best.agg(F.count("*").alias("n"), F.min("score").alias("low")).first()
         return seen.low if seen.n == k else 0.0
 
-    def needed(self, query: dict[str, float], k: int) -> DataFrame:
+    def needed(self, query: dict[int, float], k: int) -> DataFrame:
         """The blocks that can hold one of the best ``k``, and may not be left out."""
         share = self._floor(query, k) / max(len(query), 1)
         return self._blocks(query).where(F.col("reach") >= share * (1 - 1e-9))
 
     def search(self, text: str, k: int) -> DataFrame:
         """(id, score): the best ``k`` rows by the cosine with ``text``, none without a common term."""
-        query = self.weigh(text)
+        query = self._query(text)
         if not query:
             return self.rows.limit(0).select(self.id_col, F.lit(0.0).alias("score"))
         found = self._scored(self.needed(query, k), query)
@@ -75,64 +82,80 @@ class ImpactIndex:
 
     def skipped(self, text: str, k: int) -> DataFrame:
         """One row: postings blocks of the text's terms, and those that a search leaves unread."""
-        query = self.weigh(text)
+        query = self._query(text)
         read = self.needed(query, k).agg(F.count("*")).scalar() if query else F.lit(0)
         return self._blocks(query).agg(F.count("*").alias("blocks")).select("blocks", (F.col("blocks") - read).alias("skipped"))
 
 
-def _weight(query: dict[str, float]) -> Column:
+def _weight(query: dict[int, float]) -> Column:
     weight = F.lit(0.0)
-    for term, own in sorted(query.items()):
-        weight = F.when(F.col("term") == term, own).otherwise(weight)
+    for column, own in sorted(query.items()):
+        weight = F.when(F.col("column") == column, own).otherwise(weight)
     return weight
 
 
+def posting_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(column, high, ids, weights) of sorted (place, weight, id): each column cut after every ``most``.
+
+    Blocks are ranges of the batches that came; the last, which the next batch
+    may go on with, is kept for it.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        columns = batch.column(0).to_numpy() >> 32
+        at = np.arange(len(columns))
+        first = np.maximum.accumulate(np.where(np.append(True, columns[1:] != columns[:-1]), at, 0))
+        starts = np.flatnonzero((at - first) % most == 0)
+        if len(starts) > 1:
+            yield _cut(batch.slice(0, starts[-1]), starts[:-1])
+        held = batch.slice(starts[-1])
+    if held is not None:
+        yield _cut(held, np.zeros(1, np.int64))
+
+
+def _cut(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    places, weights, ids = batch.columns
+    columns = (places.to_numpy()[starts] >> 32).astype(np.int32)
+    high = np.maximum.reduceat(weights.to_numpy(), starts)
+    ends = pa.array(np.append(starts, batch.num_rows), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, values) for values in (ids, weights)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns), pa.array(high), *lists], names=["column", "high", "ids", "weights"]
+    )
+
+
 def build_impacts(df: DataFrame, path: str, id_col: str = "id", text: str = "text") -> ImpactIndex:
     """TF-IDF weights of whole texts as postings and as rows, written below ``path``.
 
     A term's postings are sorted over as many tasks as they need, so no term
-    is too frequent. Texts without terms are in no posting and found by nothing.
+    is too frequent: by one number, the term's column and 32 bits of the
+    weight. Texts without terms are in no posting and found by nothing.
     """
-    spark = df.sparkSession
-    weights = durable(tfidf(df, id_col, text))
+    read = df.sparkSession.read
     ids = df.schema[id_col].dataType.simpleString()
-    ordered = weights.select("term", "weight", id_col).repartitionByRange("term", F.desc("weight"), id_col)
-    ordered = ordered.sortWithinPartitions("term", F.desc("weight"), id_col)
-
-    def block(term: str, weights: list[float], held: list, kind: pa.DataType) -> pa.RecordBatch:
-        columns = [pa.array([term], pa.string()), pa.array([weights[0]], pa.float64())]
-        columns += [pa.array([held], pa.list_(kind)), pa.array([weights], pa.list_(pa.float64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["term", "high", "ids", "weights"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, weights, held, kind = None, [], [], None
-        for batch in batches:
-            kind = batch.column(2).type
-            for own, weight, key in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (own != term or len(held) >= BLOCK_POSTINGS):
-                    yield block(term, weights, held, kind)
-                    weights, held = [], []
-                term = own
-                weights.append(weight)
-                held.append(key)
-        if held:
-            yield block(term, weights, held, kind)
-
-    schema = f"term string, high double, ids array<{ids}>, weights array<double>"
-    ordered.mapInArrow(cut, schema).write.mode("overwrite").parquet(f"{path}/postings")
-    cell = F.struct("term", "weight")
-    rows = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(cell)).alias("c"))  # the words of one text
-    rows.select(id_col, F.col("c.term").alias("terms"), F.col("c.weight").alias("weights")).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/rows")
-    total = df.count()
-    counts = document_counts(weights)
-    idf = counts.select("term", (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    idf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/idf")
-    read = spark.read
+    rows, vocabulary = numbered_rows(df, id_col, text)
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = read.schema(f"`{id_col}` {ids}, columns array<int>, weights array<double>").parquet(f"{path}/rows")
+    cells = F.arrays_zip(F.col("columns").alias("column"), F.col("weights").alias("weight"))
+    weights = rows.select(id_col, F.inline(cells))
+    low = F.least(F.floor(F.greatest(1 - F.col("weight"), F.lit(0.0)) * (1 << 32)), F.lit((1 << 32) - 1))
+    place = F.shiftleft(F.col("column").cast("long"), 32) + low
+    ordered = weights.select(place.alias("place"), "weight", id_col).repartitionByRange("place", id_col)
+    most = BLOCK_POSTINGS
+    cut = ordered.sortWithinPartitions("place").mapInArrow(
+        lambda batches: posting_blocks(batches, most),
+        f"column int, high double, ids array<{ids}>, weights array<double>",
+    )
+    cut.write.mode("overwrite").parquet(f"{path}/postings")
+    idf = vocabulary.select("term", "idf", "column").repartitionByRange("term").sortWithinPartitions("term")
+    idf.write.mode("overwrite").parquet(f"{path}/idf")
     return ImpactIndex(
-        read.schema(schema).parquet(f"{path}/postings"),
-        read.schema(f"`{id_col}` {ids}, terms array<string>, weights array<double>").parquet(f"{path}/rows"),
-        read.schema("term string, idf double").parquet(f"{path}/idf"),
+        read.schema(cut.schema).parquet(f"{path}/postings"),
+        rows,
+        read.schema("term string, idf double, column int").parquet(f"{path}/idf"),
         id_col,
     )

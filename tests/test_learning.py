@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
@@ -209,6 +210,28 @@ def test_impacts_against_every_cosine(spark, monkeypatch):
     assert 0 < seen.skipped < seen.blocks
 
 
+def test_blocks_of_postings():
+    """Blocks are cut in batches, not one by one, and are the same however the postings come."""
+    rng = np.random.default_rng(5)
+    columns = np.sort(np.minimum(rng.pareto(0.5, 300).astype(np.int64), 60))
+    weights, ids = rng.random(300), [None if i % 7 == 0 else f"t{i}" for i in range(300)]
+    rows = pa.record_batch(
+        [pa.array((columns << 32) + rng.integers(0, 1 << 32, 300)), pa.array(weights), pa.array(ids)],
+        names=["place", "weight", "id"],
+    )
+    want = []
+    for column in np.unique(columns).tolist():
+        own = np.flatnonzero(columns == column).tolist()
+        for block in (own[i : i + 4] for i in range(0, len(own), 4)):
+            held = [weights[i] for i in block]
+            want.append((column, max(held), [ids[i] for i in block], held))
+    for size in (1, 5, 64, 300):
+        parts = [rows.slice(i, size) for i in range(0, 300, size)] + [rows.slice(0, 0)]
+        found = list(impacts.posting_blocks(iter(parts), 4))
+        assert [tuple(r.values()) for b in found for r in b.to_pylist()] == want
+        assert len(found) <= len(parts)
+
+
 @pytest.mark.parametrize("common", [0, 2, 1 << 16])
 def test_tfidf_of_common_and_rare_terms(spark, monkeypatch, common):
     """Common terms stay with their texts, rare ones move: the same weights, and columns in the order of the terms."""
