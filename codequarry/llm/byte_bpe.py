@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 from codequarry.llm.common import Recent, texts
 
-NO_PAIR = 1 << 62
+# Above all ranks, and one digit to Python, which compares such numbers faster.
+NO_PAIR = (1 << 30) - 1
+# Children of a node of the tree.
+FAN = 32
 # Bytes of each memo in a Python worker.
 MEMO_BYTES = 64 << 20
 # A space that follows white space: cutting there would divide a run of it.
@@ -25,19 +28,23 @@ RUN = re.compile(r"\s ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """A rank file: one token in base 64 and its rank on each line."""
+    """A rank file: one token in base 64 and its rank, below NO_PAIR, on each line."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    if max(ranks.values(), default=0) >= NO_PAIR:
+        raise ValueError(f"ranks must be below {NO_PAIR}")
+    return ranks
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece.
 
     Leaf ``i`` of the tree holds the rank of the pair whose left token starts
-    at byte ``i``; an inner node holds the least rank below it. The root tells
-    whether a merge is left, and a walk down, left child first on ties, finds
-    the leftmost pair of least rank. A merge changes three leaves: the pair
-    gone, the pair that now starts there, and the pair of the left neighbour.
+    at byte ``i``; an inner node holds the least rank of its FAN children. The
+    least of the top level tells whether a merge is left, and a walk down, the
+    first equal child each time, finds the leftmost pair of least rank. A merge
+    changes three leaves: the pair gone, the pair that now starts there, and
+    the pair of the left neighbour. Most pieces are short and all leaf.
     """
     whole = ranks.get(piece)
     if whole is not None:
@@ -45,45 +52,48 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     if n == 0:
         return []
-    width = 1 << (n - 1).bit_length()
-    tree = [NO_PAIR] * (2 * width)
-    for i in range(n - 1):
-        tree[width + i] = ranks.get(piece[i : i + 2], NO_PAIR)
-    for node in range(width - 1, 0, -1):
-        left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = left if left <= right else right
-
-    def put(leaf: int, rank: int) -> None:
-        node = width + leaf
-        tree[node] = rank
-        node >>= 1
-        while node:
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left <= right else right
-            if tree[node] == least:
+    get = ranks.get
+    leaves = [get(piece[i : i + 2], NO_PAIR) for i in range(n - 1)]
+    leaves.append(NO_PAIR)
+    levels = [leaves]  # the top level last
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top, inner = levels[-1], levels[-2::-1]
+
+    def renew(leaf: int) -> None:
+        below = leaves
+        for level in levels[1:]:
+            leaf //= FAN
+            least = min(below[FAN * leaf : FAN * leaf + FAN])
+            if level[leaf] == least:
                 return
-            tree[node] = least
-            node >>= 1
+            level[leaf] = least
+            below = level
 
     end = list(range(1, n + 1))  # where the live token that starts here ends
     before = list(range(-1, n))  # the live token that ends here starts
-    while tree[1] < NO_PAIR:
-        node, least = 1, tree[1]
-        while node < width:
-            node *= 2
-            if tree[node] != least:
-                node += 1
-        i = node - width
+    while (least := min(top)) < NO_PAIR:
+        i = top.index(least)
+        for below in inner:
+            i = below.index(least, FAN * i, FAN * i + FAN)
         middle = end[i]
         stop = end[middle]
         end[i] = stop
-        put(middle, NO_PAIR)
-        put(i, ranks.get(piece[i : end[stop]], NO_PAIR) if stop < n else NO_PAIR)
+        leaves[middle] = NO_PAIR
         if stop < n:
+            leaves[i] = get(piece[i : end[stop]], NO_PAIR)
             before[stop] = i
+        else:
+            leaves[i] = NO_PAIR
         if i:
             left = before[i]
-            put(left, ranks.get(piece[left:stop], NO_PAIR))
+            leaves[left] = get(piece[left:stop], NO_PAIR)
+        if inner:
+            renew(middle)
+            renew(i)
+            if i:
+                renew(left)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -113,7 +123,8 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
+        found = self.find(chunk)
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

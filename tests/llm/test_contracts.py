@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -107,6 +108,25 @@ def test_another_tokenizer_gets_whole_texts():
     assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text).ids)
 
 
+@pytest.mark.parametrize("children", [2, 3, 32])
+def test_trees_of_any_width(monkeypatch, children):
+    """The leftmost pair of least rank is merged, however many levels the tree has."""
+    monkeypatch.setattr(byte_bpe, "FAN", children)
+    rng = np.random.default_rng(6)
+    ranks = byte_bpe.read_ranks(queries.BYTE_RANKS)
+    for size in (1, 2, 3, 9, 32, 33, 100, 1100):
+        for letters in (b"a", b"the an", bytes(range(256))):
+            piece = bytes(rng.choice(list(letters), size).tolist())
+            parts = [piece] if piece in ranks else [piece[i : i + 1] for i in range(size)]
+            while True:
+                pairs = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:])]
+                if not pairs or min(pairs) == 1 << 40:
+                    break
+                at = pairs.index(min(pairs))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            assert byte_bpe.merge_piece(piece, ranks) == [ranks[part] for part in parts]
+
+
 def test_another_pattern_is_matched_whole():
     pattern = r"\S+\s*|\s+"
     ranks = byte_bpe.read_ranks(queries.BYTE_RANKS)
