@@ -223,13 +223,14 @@ class WordEncoder:
         self.cut = re.compile(b"(" + b"|".join(longest) + b")").split if longest else lambda raw: [raw]
         if self.by_words:  # all special tokens are cut out before
             self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.words = Recent(self._word, MEMO_BYTES)
         self.show = {byte: _shown(byte) for byte in range(256)}
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._piece(word.decode())
         text = word.decode()
-        if text.isascii() and text.isalpha():
-            return self._piece(text)
         if not _SIMPLE.fullmatch(text):
             return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = _PARTS.findall(text)
@@ -238,7 +239,7 @@ class WordEncoder:
         return self._piece("".join(map(self.show.__getitem__, word)))
 
     def _piece(self, shown: str) -> bytes:
-        return _packed([token.id for token in self.tokenizer.model.tokenize(shown)])
+        return _packed([token.id for token in self.tokenize(shown)])
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
@@ -254,7 +255,10 @@ class WordEncoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _FORMATS[len(ids)].pack(*ids) if len(ids) < len(_FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(32)]
 
 
 @functools.lru_cache(maxsize=2)

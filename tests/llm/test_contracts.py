@@ -98,6 +98,15 @@ def test_words_against_the_library():
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_simple_words_ask_the_model_alone():
+    """Words of letters, digits and marks need nothing else of the library, however many ids they have."""
+    own, plain = (token_files.WordEncoder(queries.WORD_TOKENIZER) for _ in range(2))
+    text = "Some words, 2 of them l\u00e4nger " + "zqxj" * 40
+    ids = plain.tokenizer.encode(text, add_special_tokens=False).ids
+    own.tokenizer = None
+    assert own.encode(text) == b"".join(i.to_bytes(4, "little") for i in ids) and len(ids) > 40
+
+
 def test_another_tokenizer_gets_whole_texts():
     from tokenizers import Tokenizer
 
