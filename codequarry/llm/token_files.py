@@ -45,7 +45,7 @@ PERCENT = 90
 # Ids after which a segment is closed; a longer document has a segment to itself.
 SEGMENT_IDS = 1 << 17
 # Bytes of the words that each Python worker remembers.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 32 << 20
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:

@@ -155,6 +155,15 @@ def test_memos_hold_few_bytes():
     assert len(memo) + len(memo.old) <= 2 * 20_000 / Recent.ENTRY + 2 and not any(len(x) > 256 for x in memo)
 
 
+def test_memos_keep_what_comes_again():
+    from codequarry.llm.common import Recent
+
+    memo = Recent(lambda x: x * 2, 20_000)
+    for i in range(5_000):  # items that come once, between one that comes often
+        assert memo[f"once {i}"] == f"once {i}" * 2 and memo["often"] == "oftenoften"
+    assert len(memo) + len(memo.old) < 50 and "often" in memo
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_packed_ids(wide):
     """Outliers of 32 bits, block edges, and parts by block."""
