@@ -1,9 +1,10 @@
 """Exact silhouettes: blocks of rows met by blocks of rows, on executors.
 
-Every pair of rows is measured once for all labellings, and no pair is a row.
-A task meets a lane of blocks with another lane and adds up, for each of its
-rows, what it is away from each cluster; the sums of a block's rows then come
-together, and give the scores where the last of them arrives.
+Every pair of rows is measured for all labellings at once, and no pair is a row.
+A task meets a lane of blocks with another lane and adds up, for each row of
+both, what it is away from each cluster of the other lane; lanes meet once, and
+only within a lane is a pair measured from either side. The sums of a block's
+rows then come together, and give the scores where the last of them arrives.
 """
 
 from __future__ import annotations
@@ -53,11 +54,13 @@ def _blocks(points: DataFrame, id_col: str) -> DataFrame:
     return points.mapInArrow(run, f"block long, rows int, ids array<{kind}>, labels array<long>, x binary")
 
 
-def _distance_sums(x: np.ndarray, y: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Summed distance from each row of ``x`` to the rows of ``y`` that each column marks."""
-    squares = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)
-    gaps = np.sqrt(np.maximum(squares - 2.0 * (x @ y.T), 0.0))
-    return gaps @ member
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """From each row of ``x`` to each row of ``y``."""
+    gaps = x @ y.T
+    gaps *= 2.0
+    np.subtract(np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y), gaps, out=gaps)
+    np.maximum(gaps, 0.0, out=gaps)
+    return np.sqrt(gaps, out=gaps)
 
 
 def _scores(own: np.ndarray, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -77,6 +80,17 @@ def _members(labels: np.ndarray, table: _Table) -> np.ndarray:
     return np.stack([labels[:, way] == cluster for way, cluster, _ in table], axis=1).astype(np.float64)
 
 
+def _meetings(blocks: DataFrame, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of every two lanes, ``here`` not above ``there``, and of a lane with itself; ids go there only."""
+    dealt = blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int"))
+    below = F.explode(F.sequence(F.lit(0), "lane"))
+    here = dealt.withColumnRenamed("lane", "here").withColumn(
+        "there", F.explode(F.sequence("here", F.lit(lanes - 1)))
+    ).withColumn("ids", F.expr("if(here = there, ids, null)"))
+    there = dealt.select("block", "rows", "labels", "x", F.col("lane").alias("there"), below.alias("here"))
+    return here, there
+
+
 def labelled_silhouettes(points: DataFrame, id_col: str) -> DataFrame:
     """(id, labels, scores): silhouettes of rows (id, vec, labels) under several labellings.
 
@@ -92,33 +106,41 @@ def labelled_silhouettes(points: DataFrame, id_col: str) -> DataFrame:
     sizes = cells.groupBy(F.pmod("at", F.lit(max(ways, 1))).alias("way"), "cluster").agg(F.count("*").alias("n"))
     table = [tuple(r) for r in sizes.orderBy("way", "cluster").collect()]  # a row a cluster
     lanes = max(1, -(-blocks.count() // LANE_BLOCKS))
-    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
-    rows = blocks.withColumn("here", lane).withColumn("there", every)
-    others = blocks.select("rows", "labels", "x", lane.alias("facing")).withColumn("from", every)
+    rows, others = _meetings(blocks, lanes)
 
     def meet(key: tuple, own: pa.Table, facing: pa.Table) -> pa.Table:
-        first = key[0].as_py() == key[1].as_py()
-        if not len(facing):
-            own = own.slice(0, 0)
+        same = key[0].as_py() == key[1].as_py()
+        if not len(own) or not len(facing):
+            own, facing = own.slice(0, 0), facing.slice(0, 0)
         sides = []
         for n, labels, x in zip(*(facing[c].to_pylist() for c in ("rows", "labels", "x"))):
             y = np.frombuffer(x).reshape(n, -1)
             # Measured from the middle of the block, so that few digits cancel.
             middle = y.mean(axis=0)
             sides.append((y - middle, _members(np.array(labels, np.int64).reshape(n, ways), table), middle))
-        out = []
-        for n, raw in zip(own["rows"].to_pylist(), own["x"].to_pylist()):
-            x = np.frombuffer(raw).reshape(n, -1)
-            out.append(sum(_distance_sums(x - middle, y, member) for y, member, middle in sides).tobytes())
+        out, back = [], [0.0] * len(sides)
+        for n, labels, raw in zip(*(own[c].to_pylist() for c in ("rows", "labels", "x"))):
+            x, total = np.frombuffer(raw).reshape(n, -1), 0.0
+            members = None if same else _members(np.array(labels, np.int64).reshape(n, ways), table)
+            for i, (y, facing_members, middle) in enumerate(sides):
+                gaps = _distances(x - middle, y)
+                total = total + gaps @ facing_members
+                if not same:
+                    back[i] = back[i] + gaps.T @ members
+            out.append(total.tobytes())
+        numbers = own["block"].to_pylist()
         # Ids and labels go along once, with the sums of the lane's own rows.
-        ids = own["ids"] if first else pa.nulls(len(own), own["ids"].type)
-        labels = own["labels"] if first else pa.nulls(len(own), own["labels"].type)
+        ids, labels = own["ids"], own["labels"]
+        if not same:
+            numbers += facing["block"].to_pylist()
+            out += [sums.tobytes() for sums in back]
+            ids, labels = pa.nulls(len(out), ids.type), pa.nulls(len(out), labels.type)
         return pa.table(
-            [own["block"], ids, labels, pa.array(out, pa.binary())], names=["block", "ids", "labels", "sums"]
+            [pa.array(numbers, pa.int64()), ids, labels, pa.array(out, pa.binary())],
+            names=["block", "ids", "labels", "sums"],
         )
 
-    pairs = rows.groupBy("here", "there").cogroup(others.groupBy("from", "facing"))
+    pairs = rows.groupBy("here", "there").cogroup(others.groupBy("here", "there"))
     partial = pairs.applyInArrow(meet, f"block long, ids array<{kind}>, labels array<long>, sums binary")
     longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
 

@@ -425,6 +425,17 @@ def test_rejected_rows_are_counted(spark, cloud):
     assert {tuple(r) for r in fit.rejected.collect()} == {("another width", 2), ("no vector", 1), ("gap", 1)}
 
 
+def test_lanes_meet_once(spark):
+    """Every two lanes have one task, whichever side a pair is seen from; ids are sent to one of them."""
+    blocks = spark.range(40).selectExpr("id AS block", "1 AS rows", "array(id) AS ids", "array(id) AS labels", "X'00' AS x")
+    here, there = silhouettes._meetings(blocks, 4)
+    met = here.drop("labels").join(there.select("here", "there", F.col("block").alias("other")), ["here", "there"]).collect()
+    lanes = {r.block: r.here for r in met if r.here == r.there}
+    pairs = sorted((r.block, r.other) for r in met)
+    assert len(pairs) == len(set(pairs)) and {frozenset(p) for p in pairs} == {frozenset((i, j)) for i in range(40) for j in range(40)}
+    assert all(lanes[i] <= lanes[j] for i, j in pairs) and all((r.ids is not None) == (r.here == r.there) for r in met)
+
+
 def test_sweep_of_repeated_and_null_ids(spark, cloud):
     """Scores and costs of a numpy sweep from the same starts; ids do not matter."""
     df, x = cloud
