@@ -22,7 +22,7 @@ NO_PAIR = (1 << 30) - 1
 # Children of a node of the tree.
 FAN = 32
 # Bytes of each memo in a Python worker.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
 # A space that follows white space: cutting there would divide a run of it.
 RUN = re.compile(r"\s ")
 
@@ -124,7 +124,8 @@ class Codec:
 
     def _chunk(self, chunk: str) -> bytes:
         found = self.find(chunk)
-        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+        # A piece that is a whole chunk is remembered as that.
+        return self._piece(found[0]) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
