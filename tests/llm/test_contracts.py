@@ -205,6 +205,24 @@ def test_op3_rows_of_equal_and_null_keys(spark, monkeypatch, words):
         )
 
 
+@pytest.mark.parametrize("pairs", [1 << 19, 3])
+def test_op3_every_window_is_looked_for_nearby(spark, monkeypatch, pairs):
+    """Windows anywhere in an item, against plain Python given each of them as an item."""
+    monkeypatch.setattr(decontamination, "NEAR_PAIRS", pairs, raising=False)
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(rng.choice(list("abcdefghijkl"), n))
+    items = [(i, words(n)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 7, 9, 11, 13])] + [(77, "m n o p q r s"), (9, "a a b a")]
+    rows = [(i, words(n)) for i, n in enumerate([0, 3, 5, 8, 13, 40, 90, 200])]
+    rows += [(1, "x n p y o z"), (None, "o x n p"), (None, None), (50, "m n o"), (51, "n x x x p o")]
+    windows = [(i, " ".join(t.split()[at : at + 3])) for i, t in items for at in range(max(1, len(t.split()) - 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find_passages(docs, tests, 3, 2).collect()
+    near = sorted(((r.doc_id, len(r.near)) for r in found), key=str)
+    assert near == sorted(brute.near_items(rows, windows, 3, 2), key=str)
+    assert [r.near for r in found if r.doc_id == 1 and r.n_words == 6] == [["77"]]  # n o p is no tile of the item
+
+
 def test_op4(spark, tables):
     folder, rows, _ = tables
     got = result(spark, "op4_language_id", folder, ["doc_id", "held_out", "lang_pred", "score"])
