@@ -5,6 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from codequarry import session
 from codequarry.operators import clustering as C
 from codequarry.operators import impacts, lloyd, moments, sketch_svd
 from codequarry.operators import reduction as R
@@ -141,6 +142,39 @@ def test_steps_keep_components_in_a_table(spark):
     assert np.allclose(matrix(scored.select("id", "vec")), x @ model.components, atol=1e-9)
 
 
+@pytest.mark.parametrize("cells", [1 << 23, 64 * 15])
+def test_steps_leave_little_on_disk(spark, monkeypatch, tmp_path, cells):
+    """Files do not add up with the steps, in one part of columns or in many."""
+    for name, value in (("PART_CELLS", cells), ("BLOCK_ROWS", 30), ("TOLERANCE", 0.0)):
+        monkeypatch.setattr(sketch_svd, name, value, raising=False)
+    rng = np.random.default_rng(9)
+    x = np.where(rng.random((200, 300)) < 0.1, rng.normal(size=(200, 300)), 0.0)
+    x[5], x[:, 2] = 0.0, 0.0
+    df = session.durable(sparse_rows(spark, x))
+    sizes = []
+    for most in (3, 9):
+        monkeypatch.setattr(sketch_svd, "MOST_STEPS", most)
+        monkeypatch.setattr(session, "checkpoint_dir", lambda _, most=most: str(tmp_path / str(most)))
+        spark.sparkContext.setCheckpointDir(str(tmp_path / str(most)))
+        model, scored = sketch_svd.fit_svd_steps(df, 5)
+        assert [len(r.vec) for r in scored.collect()] == [5] * 200
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / str(most)).rglob("*") if f.is_file()))
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    assert sizes[1] < 1.2 * sizes[0]
+    v = np.array([r.vec for r in model.components.orderBy("column").collect()])
+    assert v.shape == (300, 5) and np.allclose(v.T @ v, np.eye(5), atol=1e-9)
+    assert np.allclose(matrix(scored), x @ v, atol=1e-9) and all(c[np.abs(c).argmax()] > 0 for c in v.T)
+    assert np.allclose(model.ratios, matrix(scored).var(axis=0) / x.var(axis=0).sum())
+
+
+def test_steps_of_nothing(spark):
+    empty = sparse_rows(spark, np.zeros((3, 5)))
+    for rows in (empty, empty.limit(0)):
+        model, scored = sketch_svd.fit_svd_steps(rows, 2)
+        assert len(model.singular_values) == 0 and [r.vec for r in scored.collect()] == [[]] * rows.count()
+        assert model.components.count() == (5 if rows.count() else 0)
+
+
 def sparse_rows(spark, x):
     rows = [(i, Vectors.sparse(len(r), [(j, float(v)) for j, v in enumerate(r) if v])) for i, r in enumerate(x)]
     return spark.createDataFrame(rows, ["id", "features"]).repartition(3)
