@@ -24,8 +24,10 @@ from codequarry.functions.vectors import Kernel, l2_kernel, lengths, matrix, met
 from codequarry.session import durable
 
 # Pivots of an index, pivots of a join at most, rows drawn for each pivot, rows
-# of a cell that one task meets with so many queries. Rows that a task deals to
-# cells at a time, and numbers in the copies that it sends at a time.
+# that one task meets with so many queries at least where there are as many.
+# Rows that a task deals to cells at a time, and numbers in the copies that it
+# sends at a time. Numbers in the rows, and in the queries, that meet in one
+# task at most.
 INDEX_PIVOTS = 8
 MOST_PIVOTS = 256
 DRAWN = 16
@@ -33,6 +35,11 @@ CELL_ROWS = 4096
 QUERY_ROWS = 1024
 DEAL_ROWS = 256
 SENT_CELLS = 1 << 20
+LANE_CELLS = 1 << 23
+BAND_CELLS = 1 << 22
+# Rows and queries whose distances are in memory at once.
+NEAR_ROWS = 1024
+NEAR_QUERIES = 256
 # What rounding may add to or take from a bound, as a share of the distances it comes from.
 SLACK = 1e-9
 
@@ -242,10 +249,11 @@ def knn_join(
     radii and its ``k`` least distances are known, so a query knows a distance
     within which ``k`` rows lie, and goes to the cells that can hold a nearer
     one. Under Minkowski with p < 1, which has no such bounds, all rows are one
-    cell. Large cells are cut into parts of CELL_ROWS, and the queries of a
-    cell into parts of QUERY_ROWS; a part meets a part in one task. Vectors of
-    other widths than the pivots' have a cell for each width. The driver sees
-    the cells only.
+    cell. Cells are put together in lanes, as large as a task can hold, and
+    large cells are cut; queries are dealt to bands. A lane meets a band in one
+    task, so a row is sent once for a band, and a query once for a lane, with
+    the cells there that it must meet. Vectors of other widths than the
+    pivots' have a cell for each width. The driver sees the cells only.
     """
     space = Space(metric, p)
     kernel, _ = metric_kernel(metric, p)
@@ -274,10 +282,10 @@ def knn_join(
                     [kept.column(0), kept.column(1), pa.array(cell), pa.array(r)], names=["id", "x", "cell", "r"]
                 )
 
-    numbers = F.col(vec).cast("array<double>")
+    x_kind, q_kind = (_kept_kind(f, c) for f, c in ((df, vec), (queries, "qvec")))
     dealt = durable(
-        df.select(F.col(id_col).alias("id"), numbers.alias("x")).mapInArrow(
-            deal, f"id {id_kind}, x array<double>, cell int, r double"
+        df.select(F.col(id_col).alias("id"), F.col(vec).cast(x_kind).alias("x")).mapInArrow(
+            deal, f"id {id_kind}, x {x_kind}, cell int, r double"
         )
     )
     ranked = dealt.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("r"))).where(F.col("n") <= k)
@@ -312,61 +320,137 @@ def knn_join(
                     enough = within.shape[1] >= k
                     bound = np.partition(within, k - 1, axis=1)[:, k - 1] if enough else np.full(len(x), np.inf)
                     meets = low <= (bound + slack.max(axis=1, initial=0.0))[:, None]
-                    query, column = np.nonzero(meets)
-                    cell = np.array(inside, np.int32)[column]
+                    column = np.nonzero(meets)[1]
+                    cell, counts = np.array(inside, np.int32)[column], meets.sum(axis=1)
                 elif -1 - own in table.value:
-                    query, cell = np.arange(len(rows)), np.full(len(rows), -1 - own, np.int32)
+                    cell, counts = np.full(len(rows), -1 - own, np.int32), np.ones(len(rows), np.int64)
                 else:
                     continue
-                step = max(1, SENT_CELLS // own)  # a query goes to many cells, each time with its vector
-                for start in range(0, len(query), step):
-                    kept = batch.take(pa.array(rows[query[start : start + step]]))
-                    cells = pa.array(cell[start : start + step], pa.int32())
-                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), cells], names=["qid", "q", "cell"])
+                kept = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, _lists(counts, cell)], names=["qid", "q", "cells"])
 
     asked = durable(
-        queries.select("qid", F.col("qvec").cast("array<double>").alias("q")).mapInArrow(
-            ask, f"qid {qid_kind}, q array<double>, cell int"
+        queries.select("qid", F.col("qvec").cast(q_kind).alias("q")).mapInArrow(
+            ask, f"qid {qid_kind}, q {q_kind}, cells array<int>"
         )
     )
-    asking = {row.cell: row.n for row in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = [(c, -(-row.rows // CELL_ROWS), -(-asking.get(c, 0) // QUERY_ROWS)) for c, row in cells.items()]
-    parts = F.broadcast(spark.createDataFrame(plan, "cell int, parts long, bands long").where("bands > 0"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = dealt.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id", "x"), "parts")).withColumn("band", every("bands"))
-    right = asked.join(parts, "cell").withColumn("band", F.pmod(F.xxhash64("qid", "q"), "bands")).withColumn("part", every("parts"))
-    left = left.select(F.col("cell").alias("c"), F.col("part").alias("l"), F.col("band").alias("b"), "id", "x")
+    needed = {row.cell for row in asked.select(F.explode("cells").alias("cell")).distinct().collect()}
+    side = int(np.ceil((2 * spark.sparkContext.defaultParallelism) ** 0.5))  # so that all tasks have work
+    lanes = _lanes({c: (cells[c].rows, width if c >= 0 else -1 - c) for c in needed}, -(-total // side))
+    widest = max([width, *(-1 - c for c in needed)])
+    asking = asked.count()
+    band = max(QUERY_ROWS, min(-(-asking // side), BAND_CELLS // max(widest, 1)))
+    bands = max(1, -(-asking // band))
+    routes = spark.sparkContext.broadcast(lanes)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries once for every lane that has cells of theirs, with these."""
+        known = np.array(sorted(routes.value), np.int32)
+        many = np.array([len(routes.value[c]) for c in known.tolist()], np.int64)
+        first = np.cumsum(many) - many
+        flat = np.array([lane for c in known.tolist() for lane in routes.value[c]], np.int32)
+        for batch in _slices(batches, DEAL_ROWS):
+            met = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            query = np.repeat(np.arange(batch.num_rows), lengths(batch.column(2)))
+            at = np.searchsorted(known, met)
+            copy = np.repeat(np.arange(len(met)), many[at])
+            inner = np.arange(len(copy)) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+            lane, query, met = flat[first[at][copy] + inner], query[copy], met[copy]
+            order = np.lexsort((met, lane, query))
+            lane, query, met = lane[order], query[order], met[order]
+            starts = np.flatnonzero(np.append(True, (query[1:] != query[:-1]) | (lane[1:] != lane[:-1]))[: len(query)])
+            counts = np.diff(np.append(starts, len(query)))
+            longest = max(1, int(lengths(batch.column(1)).max(initial=1)))
+            step = max(1, SENT_CELLS // longest)
+            for start in range(0, len(starts), step):
+                some = starts[start : start + step]
+                kept = batch.take(pa.array(query[some]))
+                own = _lists(counts[start : start + step], met[some[0] : some[-1] + counts[start : start + step][-1]])
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1), own, pa.array(lane[some], pa.int32())], names=["qid", "q", "cells", "lane"]
+                )
+
+    plan = F.broadcast(spark.createDataFrame(sorted(lanes.items()), "cell int, lanes array<int>"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))
+    own = F.get("lanes", F.pmod(F.xxhash64("id", "x"), F.size("lanes")).cast("int"))
+    left = dealt.join(plan, "cell").select(own.alias("l"), every.alias("b"), "id", "x", "cell")
+    right = asked.mapInArrow(send, f"qid {qid_kind}, q {q_kind}, cells array<int>, lane int")
+    right = right.withColumn("band", F.pmod(F.xxhash64("qid", "q"), F.lit(bands)).cast("int"))
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, x = rows["id"].combine_chunks(), rows["x"].combine_chunks()
-        qids, q = asked["qid"].combine_chunks(), asked["q"].combine_chunks()
-        kinds = qids.type, ids.type, pa.float64()
-        if not len(ids) or not len(qids):
+        kinds = asked.schema.field("qid").type, rows.schema.field("id").type, pa.float64()
+        if not len(rows) or not len(asked):
             return pa.table([pa.array([], kind) for kind in kinds], names=["qid", "id", "score"])
-        rank = pc.sort_indices(ids, null_placement="at_start")
-        ids, x = ids.take(rank), x.take(rank)
-        own = int(lengths(x)[0])
-        x, q = matrix(x, own), matrix(q, own)
-        best = _Best(len(q), k)
-        for start in range(0, len(x), 1024):
-            part = x[start : start + 1024]
-            for first in range(0, len(q), 256):
-                some = q[first : first + 256]
-                query, row = _close(part, some, best.worst[first : first + 256], space, k)
-                with np.errstate(all="ignore"):
-                    badness = sign * kernel(part[row], some[query])
-                good = np.isfinite(badness) & (badness <= best.worst[first + query])
-                best.add(first + query[good], start + row[good], badness[good])
-        columns = [qids.take(pa.array(best.query)), ids.take(pa.array(best.row)), pa.array(sign * best.badness)]
-        return pa.table(columns, names=["qid", "id", "score"])
-
-    pairs = left.groupBy("c", "l", "b").cogroup(right.select("cell", "part", "band", "qid", "q").groupBy("cell", "part", "band"))
+        ids, x, cell = (rows[c].combine_chunks() for c in ("id", "x", "cell"))
+        qids, q, cells = (asked[c].combine_chunks() for c in ("qid", "q", "cells"))
+        # Rows by cell, those of a cell in the order of the ids, which parts equal scores.
+        rank = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+        ids, cell = ids.take(pa.array(rank)), cell.to_numpy()[rank]
+        by_cell = np.argsort(cell, kind="stable")
+        size = int(lengths(x.slice(0, 1))[0])
+        x, cell = matrix(x.take(pa.array(rank[by_cell])), size), cell[by_cell]
+        found, starts = np.unique(cell, return_index=True)
+        spans = list(zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(cell)]))
+        # Queries that must meet the same cells are together.
+        ends = np.cumsum(lengths(cells))
+        met = cells.flatten().to_numpy()
+        order = np.argsort(met[ends - lengths(cells)], kind="stable")
+        out = []
+        for start in range(0, len(order), NEAR_QUERIES):
+            own = order[start : start + NEAR_QUERIES]
+            y = matrix(q.take(pa.array(own)), size)
+            asks = [cells[int(i)].values.to_numpy() for i in own]
+            named, who = np.concatenate(asks), np.repeat(np.arange(len(own)), [len(a) for a in asks])
+            best = _Best(len(own), k)
+            for c, a, b in spans:
+                some = who[named == c]
+                for at in range(a, b if len(some) else a, NEAR_ROWS):
+                    part = x[at : min(b, at + NEAR_ROWS)]
+                    query, row = _close(part, y[some], best.worst[some], space, k)
+                    with np.errstate(all="ignore"):
+                        badness = sign * kernel(part[row], y[some[query]])
+                    good = np.isfinite(badness) & (badness <= best.worst[some[query]])
+                    best.add(some[query[good]], by_cell[at + row[good]], badness[good])
+            columns = qids.take(pa.array(own[best.query])), ids.take(pa.array(best.row)), pa.array(sign * best.badness)
+            out.append(pa.table(list(columns), names=["qid", "id", "score"]))
+        return pa.concat_tables(out)
+
+    pairs = left.groupBy("l", "b").cogroup(right.groupBy("lane", "band"))
     found = pairs.applyInArrow(meet, f"qid {qid_kind}, id {id_kind}, score double")
     best = F.desc("score") if space.larger_is_nearer else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(best, "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
+def _kept_kind(df: DataFrame, vec: str) -> str:
+    """The type in which vectors travel: floats as they are, half as long, and all else as doubles."""
+    kind = df.schema[vec].dataType.simpleString()
+    return kind if kind == "array<float>" else "array<double>"
+
+
+def _lists(counts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+
+
+def _lanes(cells: dict[int, tuple[int, int]], share: int) -> dict[int, list[int]]:
+    """The lanes of every cell, of (rows, width) each: as many rows as ``share``, but not over what a task holds.
+
+    A cell with more rows than a lane is dealt to several; a lane has cells of one width.
+    """
+    lanes: dict[int, list[int]] = {}
+    lane, load, last = -1, 0.0, None
+    for c, (rows, width) in sorted(cells.items(), key=lambda item: (item[1][1], item[0])):
+        most = max(CELL_ROWS, min(share, LANE_CELLS // width))
+        parts = -(-rows // most)
+        for _ in range(parts):
+            if width != last or load + rows / parts > most:
+                lane, load, last = lane + 1, 0.0, width
+            load += rows / parts
+            lanes.setdefault(c, []).append(lane)
+    return {c: sorted(set(own)) for c, own in lanes.items()}
+
+
 def _close(x: np.ndarray, q: np.ndarray, worst: np.ndarray, space: Space, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs that may be among a query's best ``k``: a product tells most that are not."""
     if space.metric == "minkowski" and space.p != 2:

@@ -135,6 +135,24 @@ def test_knn_join_sends_few_copies_at_a_time(spark, monkeypatch):
     assert sorted(pivots.knn_join(df, queries, 4, "l2").collect()) == whole and len(whole) == 300 * 4 + 1
 
 
+@pytest.mark.parametrize("cells", [1 << 23, 150])
+def test_knn_join_writes_a_query_once(spark, monkeypatch, cells):
+    """Where every query meets nearly every cell, its vector isn't written for each of them."""
+    for name, value in (("CELL_ROWS", 20), ("QUERY_ROWS", 20), ("LANE_CELLS", cells), ("BAND_CELLS", cells)):
+        monkeypatch.setattr(pivots, name, value, raising=False)
+    x = np.random.default_rng(6).normal(size=(500, 12)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>").repartition(4)
+    written = []
+    join = pivots.durable
+    monkeypatch.setattr(pivots, "durable", lambda t: written.append(join(t)) or written[-1])
+    found = pivots.knn_join(df, df.selectExpr("id AS qid", "vec AS qvec"), 3, "l2").collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    near = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert {(r.qid, r["rank"]): r.id for r in found} == {(q, i + 1): near[q, i] for q in range(500) for i in range(3)}
+    assert written[0].select("cell").distinct().count() > 4
+    assert [t.count() for t in written] == [500, 500]
+
+
 def test_knn_join_skips_cells(spark, monkeypatch):
     """Rows in clusters far apart: a query meets the cells of its own."""
     monkeypatch.setattr(pivots, "CELL_ROWS", 100)
