@@ -17,9 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators.tfidf import numbered_rows, term_counts
+from codequarry.session import discard, write_table
 
 # Postings of a block.
 BLOCK_POSTINGS = 512
+# Postings that an index is built from at a time: shuffle files of so many are on disk at once.
+SLICE_POSTINGS = 1 << 27
+# Ranges of columns that are counted for the slices.
+SLICE_BINS = 4096
 
 
 @dataclass
@@ -128,31 +133,59 @@ def _cut(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
     )
 
 
+def _spans(vocabulary: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of columns with about SLICE_POSTINGS postings each: one, if there are no more."""
+    seen = vocabulary.agg(F.max("column").alias("last"), F.sum("df").alias("postings")).first()
+    end = (seen.last or 0) + 1
+    if (seen.postings or 0) <= SLICE_POSTINGS:
+        return [(0, end)]
+    size = -(-end // SLICE_BINS)
+    bins = vocabulary.groupBy(F.floor(F.col("column") / size).alias("bin")).agg(F.sum("df").alias("n"))
+    starts, held = [0], 0
+    for row in bins.orderBy("bin").collect():  # SLICE_BINS rows at most
+        if held and held + row.n > SLICE_POSTINGS:
+            starts.append(row.bin * size)
+            held = 0
+        held += row.n
+    return list(zip(starts, [*starts[1:], end]))
+
+
 def build_impacts(df: DataFrame, path: str, id_col: str = "id", text: str = "text") -> ImpactIndex:
     """TF-IDF weights of whole texts as postings and as rows, written below ``path``.
 
     A term's postings are sorted over as many tasks as they need, so no term
     is too frequent: by one number, the term's column and 32 bits of the
-    weight. Texts without terms are in no posting and found by nothing.
+    weight. Texts without terms are in no posting and found by nothing. What
+    the rows are made from is deleted before postings are sorted. Both are
+    made in slices of about SLICE_POSTINGS, of ids and of columns, whose
+    shuffle files go when a slice is written.
     """
     read = df.sparkSession.read
     ids = df.schema[id_col].dataType.simpleString()
-    rows, vocabulary = numbered_rows(df, id_col, text)
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    scratch: list[DataFrame] = []
+    rows, vocabulary = numbered_rows(df, id_col, text, scratch)
+    spans = _spans(vocabulary)
+    part = F.pmod(F.xxhash64(id_col), F.lit(len(spans)))
+    for i in range(len(spans)):
+        write_table(rows.where(part == i) if i or spans[1:] else rows, f"{path}/rows", "append" if i else "overwrite")
+    idf = vocabulary.select("term", "idf", "column").repartitionByRange("term").sortWithinPartitions("term")
+    write_table(idf, f"{path}/idf", "overwrite")
+    for table in scratch:
+        discard(table)
     rows = read.schema(f"`{id_col}` {ids}, columns array<int>, weights array<double>").parquet(f"{path}/rows")
     cells = F.arrays_zip(F.col("columns").alias("column"), F.col("weights").alias("weight"))
     weights = rows.select(id_col, F.inline(cells))
     low = F.least(F.floor(F.greatest(1 - F.col("weight"), F.lit(0.0)) * (1 << 32)), F.lit((1 << 32) - 1))
     place = F.shiftleft(F.col("column").cast("long"), 32) + low
-    ordered = weights.select(place.alias("place"), "weight", id_col).repartitionByRange("place", id_col)
     most = BLOCK_POSTINGS
-    cut = ordered.sortWithinPartitions("place").mapInArrow(
-        lambda batches: posting_blocks(batches, most),
-        f"column int, high double, ids array<{ids}>, weights array<double>",
-    )
-    cut.write.mode("overwrite").parquet(f"{path}/postings")
-    idf = vocabulary.select("term", "idf", "column").repartitionByRange("term").sortWithinPartitions("term")
-    idf.write.mode("overwrite").parquet(f"{path}/idf")
+    for i, (low_column, end) in enumerate(spans):
+        some = weights.where(F.col("column").between(low_column, end - 1)) if spans[1:] else weights
+        ordered = some.select(place.alias("place"), "weight", id_col).repartitionByRange("place", id_col)
+        cut = ordered.sortWithinPartitions("place").mapInArrow(
+            lambda batches: posting_blocks(batches, most),
+            f"column int, high double, ids array<{ids}>, weights array<double>",
+        )
+        write_table(cut, f"{path}/postings", "append" if i else "overwrite")
     return ImpactIndex(
         read.schema(cut.schema).parquet(f"{path}/postings"),
         rows,

@@ -80,7 +80,7 @@ def counted(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame
     return postings, stored(document_counts(postings).withColumn("idf", idf), "idf")
 
 
-def weighed(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def weighed(postings: DataFrame, terms: DataFrame, scratch: list[DataFrame] | None = None) -> DataFrame:
     """``postings`` with the columns of their ``terms`` (term, df, idf, ...) and raw = tf * idf.
 
     Most postings are of few terms. Those terms are sent to the postings, a
@@ -90,6 +90,8 @@ def weighed(postings: DataFrame, terms: DataFrame) -> DataFrame:
     hot = F.col("df") > SHARD_POSTINGS
     frequent = terms.where(~hot & (F.length("term") <= COMMON_LENGTH)).orderBy(F.desc("df"), "term").limit(COMMON_TERMS)
     common = stored(terms.where(hot).unionByName(frequent), "common")
+    if scratch is not None:
+        scratch.append(common)
     here = postings.join(F.broadcast(common), "term")
     rare = postings.join(F.broadcast(common.select("term")), "term", "left_anti").join(terms, "term")
     return here.unionByName(rare).withColumn("raw", F.col("tf") * F.col("idf"))
@@ -106,20 +108,29 @@ def tfidf(df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
     return raw.select(id_col, "term", (F.col("raw") / norm).alias("weight"))
 
 
-def numbered_rows(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+def numbered_rows(
+    df: DataFrame, id_col: str, text: str, scratch: list[DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(id, columns, weights) of texts with terms, and the vocabulary (term, df, idf, column).
 
     Weights are those of :func:`tfidf`, in the order of the columns, which are
-    in that of the terms. Texts of one id are a row together.
+    in that of the terms. Texts of one id are a row together. Squares are
+    added in that order too, so equal texts have equal weights to the last
+    digit. The tables that the two are read from are added to ``scratch``, for
+    callers that write both and need these no more.
     """
     postings, terms = counted(df, id_col, text)
     place = F.col("column").cast("int")
     vocabulary = stored(with_row_index(terms, ["term"], "column").withColumn("column", place), "vocabulary")
-    raw = weighed(postings, vocabulary)
+    raw = weighed(postings, vocabulary, scratch)
+    if scratch is not None:
+        scratch += [postings, terms, vocabulary]
     cells = F.sort_array(F.collect_list(F.struct("column", "raw")))  # the words of one text
-    rows = raw.groupBy(id_col).agg(cells.alias("c"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    weights = F.transform("c.raw", lambda own: own / F.col("norm"))
-    return rows.select(id_col, F.col("c.column").alias("columns"), weights.alias("weights")), vocabulary
+    squares = F.aggregate("c.raw", F.lit(0.0), lambda total, own: total + own * own)
+    rows = raw.groupBy(id_col).agg(cells.alias("c"))
+    # The length is an element of an array, so that Spark works it out once a row, not once a word.
+    weights = F.transform(F.array(F.sqrt(squares)), lambda norm: F.transform("c.raw", lambda own: own / norm))
+    return rows.select(id_col, F.col("c.column").alias("columns"), weights[0].alias("weights")), vocabulary
 
 
 def tfidf_vectors(

@@ -222,6 +222,23 @@ def test_sketch_svd_of_nothing(spark):
     assert len(model.singular_values) == 0 and scored.count() == 0
 
 
+@pytest.mark.parametrize("postings", [1 << 27, 5000])
+def test_impacts_leave_their_tables_alone(spark, monkeypatch, tmp_path, postings):
+    """Of all that is written on the way the index stays; equal texts have equal scores, and the lowest ids win."""
+    monkeypatch.setattr(impacts, "SLICE_POSTINGS", postings, raising=False)
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: str(tmp_path))
+    rng = np.random.default_rng(12)
+    same = " ".join(f"w{int(v)}" for v in rng.integers(0, 5000, 300))
+    texts = [(i, same if i % 3 else f"{same} x{i}") for i in range(90)]
+    df = spark.createDataFrame(texts, "id bigint, text string").repartition(7)
+    index = impacts.build_impacts(df, str(tmp_path / "index"))
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["index"]
+    assert index.rows.count() == 90 and index.rows.select(F.sum(F.size("columns"))).first()[0] == index.postings.select(
+        F.sum(F.size("ids"))
+    ).first()[0]
+    assert [r.id for r in index.search(same, 20).collect()] == [i for i in range(90) if i % 3][:20]
+
+
 def test_impacts_against_every_cosine(spark, monkeypatch):
     monkeypatch.setattr(impacts, "BLOCK_POSTINGS", 8)
     rng = np.random.default_rng(3)
